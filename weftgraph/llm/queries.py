@@ -40,6 +40,12 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), piece_model(), keep=["doc_id"])
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_warc": op3_warc,
     "op4_pieces": op4_pieces,
+    "op5_hmm": op5_hmm,
     "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_url_filter": op9_url_filter,
