@@ -1,40 +1,19 @@
-"""Helpers that the corpus operators share: the shared folder, written tables, free column names."""
+"""Helpers that the corpus operators share: written tables, free column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import new_folder, shared_dir, written
+
+__all__ = ["SPACES", "col", "free_names", "new_folder", "shared_dir", "table", "written"]
 #: White space of every contract here, as a Java and Python character class.
 SPACES = "[\\x20\\x09-\\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses; the caller's cluster clears the folder."""
-    return f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_names(columns: Iterable[str], *names: str) -> list[str]:
     """The names, each with as many underscores before it as make it clash with no column (case ignored)."""
     taken, out = {c.lower() for c in columns}, []
