@@ -15,6 +15,7 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import col, free_names
 
@@ -163,7 +164,7 @@ def _utf8(run: bytearray) -> str:
 
 
 #: What ``encode_decode`` can return.
-OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
+OUTPUTS = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded": T.StringType(), "decoded_sha256": T.StringType()}
 
 
 def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256"), keep: list[str] | None = None, end: bool = True) -> DataFrame:
