@@ -128,24 +128,27 @@ def internal_density(edges: DataFrame, members: DataFrame) -> DataFrame:
 def eigenvector(edges: DataFrame, tol: float = 1e-9, most: int = 200, rounds: int | None = None) -> DataFrame:
     """node, eigenvector: power iteration from equal values on A + I (which converges on bipartite graphs too), norm 1.
 
-    Stops when no value moves by ``tol``, or after exactly ``rounds`` rounds. The table is written every few rounds,
-    so that lineage stays short.
+    Stops when no value moves by ``tol``, or after exactly ``rounds`` rounds. A round reads the values once; they are
+    written (and brought back to norm 1) after every round, or every fifth where nothing is compared, so that lineage
+    and plans stay short and values finite.
     """
-    near = graph.adjacency(edges)
-    now = graph.vertices(edges).select("node", F.lit(1.0).alias("x"))
-    for k in range(rounds if rounds is not None else most):
-        pushed = near.join(now.select(F.col("node").alias("u"), "x"), "u").select(F.col("v").alias("node"), "x").unionByName(now)
-        raw = pushed.groupBy("node").agg(F.sum("x").alias("y"))
-        norm = raw.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
-        new = raw.crossJoin(F.broadcast(norm)).select("node", (F.col("y") / F.col("norm")).alias("x"))
+    nodes = graph.vertices(edges)
+    near = written(graph.adjacency(edges).unionByName(nodes.select(F.col("node").alias("u"), F.col("node").alias("v"))), "near")
+    now = nodes.select("node", F.lit(1.0).alias("x"))
+    for k in range(1, (rounds if rounds is not None else most) + 1):
+        raw = near.join(now.select(F.col("node").alias("u"), "x"), "u").groupBy(F.col("v").alias("node")).agg(F.sum("x").alias("x"))
+        if rounds is not None and k % 5 and k < rounds:
+            now = raw
+            continue
+        raw = written(raw, "eigenvector")
+        norm = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
+        new = raw.select("node", (F.col("x") / F.lit(norm)).alias("x"))
         if rounds is None:
-            new = written(new, "eigenvector")
             moved = new.join(now.withColumnRenamed("x", "old"), "node").agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0]
-            now = new
             if moved is None or moved < tol:
+                now = new
                 break
-        else:
-            now = written(new, "eigenvector") if k % 5 == 4 else new
+        now = new
     return now.select("node", F.col("x").alias("eigenvector"))
 
 
