@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..plans.tables import new_folder, shared_dir, written
 
-__all__ = ["SPACES", "col", "free_names", "new_folder", "shared_dir", "table", "written"]
+__all__ = ["SPACES", "col", "free_names", "map_arrow", "new_folder", "shared_dir", "table", "written"]
 #: White space of every contract here, as a Java and Python character class.
 SPACES = "[\\x20\\x09-\\x0D]"
 
@@ -30,5 +32,13 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_arrow(df: DataFrame, scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` by position: columns may have names with dots in them."""
+    names = [f"c{i}" for i in range(len(schema.fields))]
+    plain = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(names, schema.fields, strict=True)])
+    mapped = df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(lambda batches: (b.rename_columns(names) for b in scan(batches)), plain)
+    return mapped.toDF(*schema.names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

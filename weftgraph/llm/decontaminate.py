@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_names
+from .common import col, free_names, map_arrow
 
 WINDOW = 13
 #: Words of benchmark items that are searched at a time: a larger benchmark is searched in blocks, each over all rows.
@@ -231,7 +231,7 @@ def found_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     for f in schema.fields:
         f.nullable = True
     for block in _blocks(benchmark, item_col, bench_text, block_words):
-        out = out.mapInArrow(_scan(Phrases.of(block, window), docs.columns.index(text_col), len(docs.columns)), schema)
+        out = map_arrow(out, _scan(Phrases.of(block, window), docs.columns.index(text_col), len(docs.columns)), schema)
     return out
 
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, col, free_names, written
+from .common import SPACES, col, free_names, map_arrow, written
 
 #: Characters of the normalised text in a sort key; the digest of the whole orders the rest. Splitters go through
 #: the driver, so that they must not hold whole texts.
@@ -153,7 +153,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if last is not None:
             yield out(last, [mark])
 
-    rows = written(ordered.mapInArrow(scan, schema), "content-sort")
+    rows = written(map_arrow(ordered, scan, schema), "content-sort")
     ends = rows.where(col(edge_c).isNotNull()).select(col(edge_c).alias("edge"), col(pid_c).alias("pid"), col(mark_c).alias("mark"))
     again = ends.join(ends.groupBy("edge").agg(F.min("pid").alias("first_pid")), "edge").where("pid > first_pid")
     again = F.broadcast(again.select(F.col("pid").alias(pid_c), F.col("mark").alias(mark_c)))  # two rows a partition at most

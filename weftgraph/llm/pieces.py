@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import col, free_names
+from .common import col, free_names, map_arrow
 
 SPACE = "▁"
 #: Stretches whose ids a task remembers; beyond that it starts anew.
@@ -208,4 +208,4 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", outp
                         made[o].append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(made[o], kinds[o]) for o in outputs)], [*b.schema.names[:-1], *names])
 
-    return src.mapInArrow(scan, schema)
+    return map_arrow(src, scan, schema)

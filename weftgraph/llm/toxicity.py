@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_names, written
+from .common import col, free_names, map_arrow, written
 
 #: Labelled rows that the classifier is fitted on, at most (all, where there are fewer): a uniform choice by the
 #: hash of the id. Everything else covers all rows.
@@ -318,7 +318,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             made = [pa.array(score, pa.float64()), pa.array([int(s >= CUT) for s in score], pa.int32()), pa.array(found, arrow)]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *names])
 
-    return docs.mapInArrow(scan, schema)
+    return map_arrow(docs, scan, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> DataFrame:
