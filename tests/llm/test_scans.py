@@ -139,7 +139,7 @@ def test_secrets(spark, small):
     token = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
     planted = [(20_000 + i, f"Grüße 😀 the value {token(40)} was left here") for i in range(60)]
     plain = [(30_000 + i, "internationalisationsverantwortlichkeiten donaudampfschifffahrtsgesellschaftskapitaen") for i in range(20)]
-    docs = documents(spark, small) + planted + plain + [(-1, None), (-2, ""), (-3, "API_key = 'abc' token:abcdef ſecret=abcdefg toKen=abcdefg"), (-4, "AKIA" + "A" * 16 + " AKIA" + "B" * 15), (-5, "f" * 24 + "A" + "0" * 23), (None, "passwd: hunter22"), (-4, "x")]
+    docs = documents(spark, small) + planted + plain + [(-1, None), (-2, ""), (-3, "API_key = 'abc' token:abcdef ſecret=abcdefg toKen=abcdefg"), (-4, "AKIA" + "A" * 16 + " AKIA" + "B" * 15), (-5, "f" * 24 + "A" + "0" * 23), (None, "passwd: hunter22"), (-5, "f" * 24 + "A" + "0" * 23)]
     got = secrets.scan_secrets(spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, spans int")).collect()
     want = []
     for i, t in docs:
