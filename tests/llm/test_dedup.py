@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 
+from weftgraph.llm import near
 from weftgraph.llm.exact import exact_groups, without_copies
 from weftgraph.llm.near import near_components, without_near_copies
 
@@ -107,3 +108,12 @@ def test_near_awkward(spark):
     left = without_near_copies(frame(spark, rows), 5, 80)
     assert left.columns == ["doc_id", "text", "norm", "SHA", "keep.id"] and left.count() == 4
     assert near_components(frame(spark, []), 5, 80).count() == 0
+
+
+def test_near_blocks(spark, monkeypatch):
+    """Buckets that are dealt to many blocks, with pivots that leave much to them."""
+    monkeypatch.setattr(near, "BLOCK", 3)
+    monkeypatch.setattr(near, "PIVOTS", 1)
+    rows = varied(9, 5, 40)
+    got = near_components(frame(spark, rows), 2, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2, 80)
