@@ -74,6 +74,53 @@ def test_eigenvector_and_components(spark, toy):
     assert graph.components(two.where("false")).count() == 0
 
 
+def brute_betweenness(pairs):
+    """Paths counted pair by pair: a node on a shortest path between two others gets its share of them."""
+    ids, near = sorted({x for p in pairs for x in p}), {}
+    for u, v in pairs:
+        if u != v:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+    far, paths = {}, {}
+    for s in ids:
+        far[s], paths[s], front = {s: 0}, {s: 1}, [s]
+        while front:
+            ahead = {}
+            for x in front:
+                for y in near.get(x, ()):
+                    if y not in far[s]:
+                        ahead[y] = ahead.get(y, 0) + paths[s][x]
+            far[s] |= dict.fromkeys(ahead, far[s][front[0]] + 1)
+            paths[s] |= ahead
+            front = list(ahead)
+    on = lambda s, v, t: v in far[s] and t in far[v] and far[s][v] + far[v][t] == far[s][t]
+    return {v: sum(paths[s][v] * paths[v][t] / paths[s][t] for s in ids for t in far[s] if s < t and v not in (s, t) and on(s, v, t)) for v in ids}
+
+
+def test_betweenness(spark, small):
+    from weftgraph.plans.fixture import Fixture
+
+    same = lambda got, want: got.keys() == want.keys() and all(math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-9) for i, w in want.items())
+    odd = [*TOY, (0, 1), (1, 0), (6, 7), (7, 8), (20, 21), (21, 22), (30, 30)]
+    edges = spark.createDataFrame(odd, "u long, v long")
+    want = brute_betweenness(odd)
+    assert same(by_node(structure.betweenness(edges), "betweenness"), want)
+    assert same(by_node(structure.betweenness(edges, block_rows=100), "betweenness"), want)  # in blocks of four
+    some = by_node(structure.betweenness(edges, spark.createDataFrame([(0,), (20,)], "node long")), "betweenness")
+    assert some[21] == 13 / 2 / 2 and some[30] == 0
+    assert set(by_node(structure.betweenness(edges.where("v > 29")), "betweenness").values()) == {0.0}
+    assert structure.betweenness(edges.where("false")).count() == 0
+    # the query walks from every node here, since the bound asks for more sources than there are
+    pairs = [(r.u, r.v) for r in Fixture(spark, small).edges.collect()]
+    assert same(by_node(entry.queries()["betweenness_sampled"](spark, small), "betweenness"), brute_betweenness(pairs))
+
+
+def test_sources_for():
+    assert structure.sources_for(20_000, 0.01) == 20_000
+    assert structure.sources_for(10**6, 0.01) == math.ceil(math.log(2e7) * 5000) < 10**6
+    assert structure.sources_for(0, 0.01) == 0
+
+
 def test_bags_of_edges(spark):
     edges = spark.createDataFrame([(0, 1), (0, 1), (1, 1), (1, 2)], "u long, v long")
     assert by_node(graph.degrees(edges), "degree") == {0: 2, 1: 5, 2: 1}

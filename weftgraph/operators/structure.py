@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import uuid
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_finite
+from ..functions.columns import draw_key, is_finite
 from ..plans.rank import ranked
-from ..plans.tables import written
+from ..plans.tables import dropped, new_folder, written
 from . import graph
 from .homophily import internal_edges
 
+#: Rows that a block of sources makes when its walks cross every edge, about; a block has one source at least.
+BLOCK_ROWS = 100_000_000
+
 
 def triangles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, triangles on the simple graph.
@@ -152,54 +155,72 @@ def eigenvector(edges: DataFrame, tol: float = 1e-9, most: int = 200, rounds: in
     return now.select("node", F.col("x").alias("eigenvector"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, most_edges: int = 20_000_000) -> DataFrame:
-    """node, betweenness: shortest-path dependencies from the sources (all nodes: exact), scaled to all sources.
+def sources_for(n: int, epsilon: float, delta: float = 0.1) -> int:
+    """How many sources of ``n`` nodes keep every node's normalised betweenness within ``epsilon``, with chance 1 - ``delta``.
 
-    Each task walks the whole graph from its share of the sources, so that the adjacency is shipped: the number of
-    edges is checked first, and a larger graph raises ValueError.
+    A source's share of a node's normalised betweenness lies between 0 and 1, so that Hoeffding's bound holds for one
+    node and the union bound for all; where that asks for more sources than there are, all are walked.
     """
-    simple = graph.simplified(edges)
-    if simple.count() > most_edges:
-        raise ValueError(f"more than {most_edges} edges can't be shipped; sample the graph first")
-    pdf = simple.toPandas()
-    ids = np.unique(np.concatenate([pdf["u"], pdf["v"]])) if len(pdf) else np.empty(0, np.int64)
-    a, b = np.searchsorted(ids, pdf["u"]), np.searchsorted(ids, pdf["v"])
-    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-    order = np.argsort(src, kind="stable")
-    ends = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=len(ids)))))
-    shipped = edges.sparkSession.sparkContext.broadcast((ids, ends, dst[order]))
-    sources = graph.vertices(edges) if sources is None else sources
-    n_sources = sources.count()
-    if not n_sources or not len(ids):
-        return graph.vertices(edges).select("node", F.lit(0.0).alias("betweenness"))
-    scale = len(ids) / n_sources
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, ends, near = shipped.value
-        total = np.zeros(len(ids))
-        for pdf in batches:
-            for s in np.searchsorted(ids, pdf["node"].to_numpy()):
-                depth, paths = np.full(len(ids), -1), np.zeros(len(ids))
-                depth[s], paths[s] = 0, 1.0
-                layers, links = [np.array([s])], []
-                while len(layers[-1]):
-                    front = layers[-1]
-                    count = ends[front + 1] - ends[front]
-                    frm = np.repeat(front, count)
-                    to = near[np.repeat(ends[front] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-                    fresh = (depth[to] < 0) | (depth[to] == len(layers))
-                    frm, to = frm[fresh], to[fresh]
-                    depth[to] = len(layers)
-                    np.add.at(paths, to, paths[frm])
-                    links.append((frm, to))
-                    layers.append(np.unique(to))
-                back = np.zeros(len(ids))
-                for frm, to in reversed(links):
-                    np.add.at(back, frm, paths[frm] / paths[to] * (1 + back[to]))
-                back[s] = 0
-                total += back
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"node": ids[at], "x": total[at]})
-
-    parts = sources.select("node").mapInPandas(walk, "node long, x double").groupBy("node").agg(F.sum("x").alias("x"))
-    return graph.vertices(edges).join(parts, "node", "left").select("node", (F.coalesce("x", F.lit(0.0)) * scale / 2).alias("betweenness"))
+    return min(n, math.ceil(math.log(2 * n / delta) / (2 * epsilon * epsilon))) if n else 0
+
+
+def _levels(near: DataFrame, start: DataFrame, name: str) -> list[DataFrame]:
+    """source, node, paths for each distance from the sources: how many shortest paths lead there.
+
+    Neighbours of a level lie in it, in the one before or in the next, so that only two levels are held against it.
+    """
+    levels = [start]
+    while True:
+        met = levels[-1].join(near, "node").select("source", F.col("next").alias("node"), "paths", F.lit(False).alias("old"))
+        for level in levels[-2:]:
+            met = met.unionByName(level.select("source", "node", F.lit(0.0).alias("paths"), F.lit(True).alias("old")))
+        ahead = met.groupBy("source", "node").agg(F.sum("paths").alias("paths"), F.max("old").alias("old")).where("not old")
+        ahead = written(ahead.select("source", "node", "paths"), f"{name}/level")
+        if ahead.isEmpty():
+            return levels
+        levels.append(ahead)
+
+
+def _dependencies(near: DataFrame, levels: list[DataFrame], name: str) -> list[DataFrame]:
+    """source, node, paths, dep for each level between the sources and the farthest nodes, the farthest first."""
+    out, below = [], levels[-1].withColumn("dep", F.lit(0.0))
+    for level in levels[-2:0:-1]:
+        up = below.select("source", "node", ((1 + F.col("dep")) / F.col("paths")).alias("share")).join(near, "node")
+        up = up.select("source", F.col("next").alias("node"), "share", F.lit(None).cast("double").alias("paths"))
+        own = level.select("source", "node", F.lit(0.0).alias("share"), "paths")
+        here = up.unionByName(own).groupBy("source", "node").agg(F.sum("share").alias("share"), F.max("paths").alias("paths")).where("paths is not null")
+        below = written(here.select("source", "node", "paths", (F.col("paths") * F.col("share")).alias("dep")), f"{name}/dependencies")
+        out.append(below)
+    return out
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, epsilon: float | None = None, delta: float = 0.1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """node, betweenness: shortest-path dependencies from the sources, scaled to all sources; each pair of ends counts once.
+
+    Without ``sources``, all nodes are walked from (exact), or with ``epsilon`` as many random ones as ``sources_for``
+    says: then betweenness / (n (n-1) / 2) is right within ``epsilon`` for all nodes at once, with chance 1 - ``delta``.
+    Sources go in blocks that make about ``block_rows`` rows in each direction; each level of a block is joined to
+    the adjacency and written to the shared folder, and a block's tables go when it has been added up.
+    """
+    spark = edges.sparkSession
+    nodes = written(graph.vertices(edges), "nodes")
+    near = written(graph.adjacency(graph.simplified(edges)).withColumnsRenamed({"u": "node", "v": "next"}), "near")
+    n, links = nodes.count(), near.count()
+    chosen = ranked((nodes if sources is None else sources).select("node"), [draw_key("sources", F.col("node")).asc(), F.col("node").asc()], name="source")
+    if sources is None and epsilon is not None:
+        chosen = chosen.where(F.col("source") < sources_for(n, epsilon, delta))
+    chosen = written(chosen.select("source", "node", F.lit(1.0).alias("paths")), "sources")
+    n_sources = chosen.count()
+    step, total, any_dep = max(1, block_rows // max(links, 1)), new_folder(spark, "betweenness"), False
+    for first in range(0, n_sources, step):
+        name = f"walk-{uuid.uuid4().hex}"
+        levels = _levels(near, chosen.where((F.col("source") >= first) & (F.col("source") < first + step)), name)
+        found = _dependencies(near, levels, name)
+        if found:
+            reduce(DataFrame.unionByName, found).groupBy("node").agg(F.sum("dep").alias("x")).write.mode("append").parquet(total)
+            any_dep = True
+        dropped(spark, name)
+    if not any_dep:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"))
+    parts = spark.read.parquet(total).groupBy("node").agg(F.sum("x").alias("x"))
+    return nodes.join(parts, "node", "left").select("node", (F.coalesce("x", F.lit(0.0)) * (n / n_sources) / 2).alias("betweenness"))

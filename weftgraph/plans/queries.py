@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import draw_key
 from ..operators import curves, describe, graph, homophily, ier, removal, scalars, structure
 from .fixture import Fixture, rounded
 from .tables import written
@@ -64,10 +63,6 @@ def _all_metrics(g: Fixture) -> DataFrame:
     return structure.with_delta(structure.restricted(t, g.nodes))
 
 
-def _sources(g: Fixture) -> DataFrame:
-    return g.nodes.orderBy(draw_key("sources", F.col("node")), "node").limit(64)
-
-
 TABLES: dict[str, Callable[[Fixture], DataFrame]] = {
     "edges_canonical": lambda g: graph.simplified(g.edges),
     "adjacency": lambda g: graph.adjacency(g.edges),
@@ -94,7 +89,7 @@ TABLES: dict[str, Callable[[Fixture], DataFrame]] = {
     "mean_isolation": lambda g: structure.mean_isolation(g.edges, g.members),
     "internal_edge_density": lambda g: structure.internal_density(g.edges, g.members),
     "eigenvector_centrality": lambda g: structure.eigenvector(g.edges, rounds=30),
-    "betweenness_sampled": lambda g: structure.betweenness(g.edges, _sources(g)),
+    "betweenness_sampled": lambda g: structure.betweenness(g.edges, epsilon=0.01),
     "connected_components": lambda g: graph.components(g.edges, g.nodes),
     "giant_component": lambda g: graph.giant(g.edges, g.nodes),
     "induced_subgraph": lambda g: graph.induced(g.edges, g.degrees.where("degree >= 10")),

@@ -28,3 +28,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Delete the tables that were ``written`` under names that begin with ``folder``/, when nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weftgraph/{folder}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
