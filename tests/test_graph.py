@@ -121,6 +121,21 @@ def test_sources_for():
     assert structure.sources_for(0, 0.01) == 0
 
 
+def test_eigenvector_settles(spark, small):
+    import numpy as np
+
+    from weftgraph.plans.fixture import Fixture
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        structure.eigenvector(path, most=3)
+    got = by_node(entry.queries()["eigenvector_centrality"](spark, small), "eigenvector")
+    ids, pairs = sorted(got), [(r.u, r.v) for r in Fixture(spark, small).edges.collect()]
+    x, u, v = np.array([got[i] for i in ids]), *np.searchsorted(ids, np.array(pairs)).T
+    new = x + np.bincount(u, x[v], len(x)) + np.bincount(v, x[u], len(x))
+    assert np.abs(new / np.linalg.norm(new) - x).max() < 1.1e-9  # another round moves nothing by the tolerance
+
+
 def test_bags_of_edges(spark):
     edges = spark.createDataFrame([(0, 1), (0, 1), (1, 1), (1, 2)], "u long, v long")
     assert by_node(graph.degrees(edges), "degree") == {0: 2, 1: 5, 2: 1}

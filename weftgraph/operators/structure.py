@@ -131,7 +131,8 @@ def internal_density(edges: DataFrame, members: DataFrame) -> DataFrame:
 def eigenvector(edges: DataFrame, tol: float = 1e-9, most: int = 200, rounds: int | None = None) -> DataFrame:
     """node, eigenvector: power iteration from equal values on A + I (which converges on bipartite graphs too), norm 1.
 
-    Stops when no value moves by ``tol``, or after exactly ``rounds`` rounds. A round reads the values once; they are
+    Stops when no value moves by ``tol``, or after exactly ``rounds`` rounds; without ``rounds``, values that still
+    move after ``most`` rounds raise RuntimeError. A round reads the values once; they are
     written (and brought back to norm 1) after every round, or every fifth where nothing is compared, so that lineage
     and plans stay short and values finite.
     """
@@ -152,6 +153,9 @@ def eigenvector(edges: DataFrame, tol: float = 1e-9, most: int = 200, rounds: in
                 now = new
                 break
         now = new
+    else:
+        if rounds is None:
+            raise RuntimeError(f"eigenvector centrality did not settle within {tol} in {most} rounds")
     return now.select("node", F.col("x").alias("eigenvector"))
 
 

@@ -88,7 +88,7 @@ TABLES: dict[str, Callable[[Fixture], DataFrame]] = {
     "community_isolation": lambda g: structure.isolation(g.edges, g.members),
     "mean_isolation": lambda g: structure.mean_isolation(g.edges, g.members),
     "internal_edge_density": lambda g: structure.internal_density(g.edges, g.members),
-    "eigenvector_centrality": lambda g: structure.eigenvector(g.edges, rounds=30),
+    "eigenvector_centrality": lambda g: structure.eigenvector(g.edges),
     "betweenness_sampled": lambda g: structure.betweenness(g.edges, epsilon=0.01),
     "connected_components": lambda g: graph.components(g.edges, g.nodes),
     "giant_component": lambda g: graph.giant(g.edges, g.nodes),
