@@ -201,6 +201,16 @@ def test_warc_missing_segment(spark, tmp_path):
 # pieces
 
 
+def test_pieces_checks_every_row(spark, monkeypatch):
+    whole = pieces.Pieces
+    monkeypatch.setattr(pieces, "Pieces", type("Odd", (whole,), {"encode": lambda self, text, end=True: whole.encode(self, text.replace("rare", "common"), end)}))
+    texts = [(i, "a rare text" if i == 150 else f"text {i}") for i in range(200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    assert pieces.encode_decode(df.where("doc_id <> 150"), piece_model()).count() == 199
+    with pytest.raises(Exception, match="encodes or decodes this text otherwise: 'a rare text'"):
+        pieces.encode_decode(df, piece_model()).collect()
+
+
 def test_pieces(spark, small):
     rng = random.Random(2)
     noise = ["".join(chr(rng.choice([32, 9, 10, 0x2581, 0xE9, 0x4E2D, 0x1F600, 0x0, 0xFFFD, 0x300, *range(97, 105)])) for _ in range(rng.randint(1, 60))) for _ in range(300)]

@@ -22,6 +22,8 @@ from .common import col, free_names, map_arrow
 SPACE = "▁"
 #: Stretches whose ids a task remembers; beyond that it starts anew.
 MEMO = 300_000
+#: Rows that are checked against the library in one call.
+CHECKED = 64
 
 
 class Pieces:
@@ -136,6 +138,14 @@ class Pieces:
                 return text[1:] if isinstance(s, str) and s[0] == " " and i in self.starts else text
         return text
 
+    def check(self, texts: list[str], encoded: list[list[int]], decodings: list[str], end: bool = True) -> None:
+        """ValueError if the library encodes or decodes any of the texts otherwise."""
+        if encoded == self.library.encode(texts, add_eos=end, num_threads=1) and decodings == self.library.decode(encoded, num_threads=1):
+            return
+        for text, ids, decoded in zip(texts, encoded, decodings, strict=True):
+            if ids != self.library.encode(text, add_eos=end) or decoded != self.library.decode(ids):
+                raise ValueError("the library encodes or decodes this text otherwise: " + repr(text[:200]))
+
     @property
     def starts(self) -> frozenset[int]:
         found = self.__dict__.get("_starts")
@@ -189,23 +199,23 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", outp
         pieces = Pieces(model.value)
         for b in batches:
             made: dict[str, list] = {o: [] for o in outputs}
-            for k, text in enumerate(b.column(b.num_columns - 1)):
-                text = text.as_py() or ""
-                ids = pieces.encode(text, end)
-                decoded = pieces.decode(ids)
-                if k == 0 and (ids != pieces.library.encode(text, add_eos=end) or decoded != pieces.library.decode(ids)):
-                    raise ValueError("the library encodes or decodes this text otherwise: " + repr(text[:200]))
-                for o in outputs:
-                    if o == "ids":
-                        made[o].append(ids)
-                    elif o == "n_tokens":
-                        made[o].append(len(ids))
-                    elif o == "ids_sha256":
-                        made[o].append(hashlib.sha256(" ".join([pieces.as_text[i] for i in ids]).encode()).hexdigest())
-                    elif o == "decoded":
-                        made[o].append(decoded)
-                    else:
-                        made[o].append(hashlib.sha256(decoded.encode()).hexdigest())
+            for at in range(0, b.num_rows, CHECKED):
+                texts = [text or "" for text in b.column(b.num_columns - 1).slice(at, CHECKED).to_pylist()]
+                encoded = [pieces.encode(text, end) for text in texts]
+                decodings = [pieces.decode(ids) for ids in encoded]
+                pieces.check(texts, encoded, decodings, end)
+                for ids, decoded in zip(encoded, decodings, strict=True):
+                    for o in outputs:
+                        if o == "ids":
+                            made[o].append(ids)
+                        elif o == "n_tokens":
+                            made[o].append(len(ids))
+                        elif o == "ids_sha256":
+                            made[o].append(hashlib.sha256(" ".join([pieces.as_text[i] for i in ids]).encode()).hexdigest())
+                        elif o == "decoded":
+                            made[o].append(decoded)
+                        else:
+                            made[o].append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(made[o], kinds[o]) for o in outputs)], [*b.schema.names[:-1], *names])
 
     return map_arrow(src, scan, schema)
