@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import hmm, toxicity
 
@@ -42,10 +43,83 @@ def test_segments_are_the_maximal_ones():
             assert np.allclose([x for *_, x in got], [x for *_, x in want])
 
 
-def test_log_odds_weigh_by_the_prior():
-    delta, z = toxicity.log_odds(np.array([20.0, 0.0, 10.0]), np.array([0.0, 20.0, 10.0]), 100.0, 100.0)
-    assert delta[0] > 2 and delta[1] == pytest.approx(-delta[0]) and delta[2] == pytest.approx(0)
-    assert z[0] > 4 and z[1] < -4 and abs(z[2]) < 1e-6
+def test_segments_in_linear_time():
+    """Falling totals, where every candidate starts lower than all before it, and rising ones, which all merge."""
+    import time
+
+    for step, want in (([1.0, -2.0], 100_000), ([2.0, -1.0], 1), ([-2.0, 1.0], 100_000)):
+        begin = time.process_time()
+        assert len(toxicity.segments(np.array(step * 100_000))) == want
+        assert time.process_time() - begin < 2
+
+
+def test_log_odds_weigh_by_the_prior(spark):
+    """Against Dirichlet log-odds written out for each term."""
+    rows, (n1, n2) = [(20.0, 0.0), (0.0, 20.0), (10.0, 10.0), (3.0, 1.0), (100.0, 300.0)], (100.0, 300.0)
+    d, z = toxicity.log_odds(F.col("t"), F.col("c"), n1, n2)
+    got = spark.createDataFrame(rows, "t double, c double").select(d.alias("d"), z.alias("z")).collect()
+    prior = toxicity.PRIOR * n1
+    assert got[-1].d == pytest.approx(0, abs=1e-6) and got[-1].z == pytest.approx(0, abs=1e-6)
+    for (t, c), r in zip(rows[:-1], got, strict=False):
+        own = prior * (t + c) / (n1 + n2)
+        assert r.d == pytest.approx(math.log((t + own) / (n1 + prior - t - own)) - math.log((c + own) / (n2 + prior - c - own)), abs=1e-3)
+        like = sum(y * math.log(y / ((t + c) * n / (n1 + n2))) for y, n in ((t, n1), (c, n2)) if y)
+        assert r.z == pytest.approx(math.copysign(math.sqrt(2 * like), r.d), abs=1e-6)
+
+
+def plain_scores(rows, labels):
+    """The whole score in plain Python: terms counted text by text, best segments by definition, the model's own curve."""
+    train = [(t, labels[i]) for i, t in rows if i in labels and zlib.crc32(str(i).encode()) % 4 != 2]
+    n1, n2 = sum(y for _, y in train), sum(1 - y for _, y in train)
+    counts = {0: Counter(), 1: Counter()}
+    for t, y in train:
+        counts[y].update({x for w in toxicity.words(t) for x in toxicity.terms(w)})
+    often = [w for w, n in counts[1].items() if n >= toxicity.LEAST]
+    scores, prior = {}, toxicity.PRIOR * min(n1, n2)
+    for w in often:
+        t, c = counts[1][w], counts[0][w]
+        own, more = prior * (t + c) / (n1 + n2), 1 + 1e-6
+        delta = math.log((t + own) / ((n1 + prior) * more - t - own)) - math.log((c + own) / ((n2 + prior) * more - c - own))
+        like = sum(y * math.log(y * (n1 + n2) / ((t + c) * n)) for y, n in ((t, n1), (c, n2)) if y)
+        if delta > toxicity.DRIFT and like > 0 and math.sqrt(2 * like) >= math.sqrt(2 * math.log(max(len(often), 2))):
+            scores[w] = min(delta, toxicity.MOST)
+    return scores
+
+
+def test_whole_score(spark, monkeypatch):
+    """Terms, segments and scores of a small table against plain Python."""
+    monkeypatch.setattr(toxicity, "FOLDS", 1 << 40)  # every row counts for the terms, and all calibrate
+    rng = np.random.default_rng(12)
+    plain, bad = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)], ["vileone", "viletwo", "foulness", "rotten"]
+    rows, labels = [], {}
+    for i in range(300):
+        y = int(i % 5 == 0)
+        w = list(rng.choice(plain, rng.integers(5, 40)))
+        for _ in range(3 * y):
+            w.insert(rng.integers(len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w)))
+        labels[i] = y
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    want = plain_scores(rows, labels)
+    assert model.copies == 0 and model.fitted == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in labels)
+    assert want.keys() == model.scores_of.keys() and {"vileone", "rotten"} <= want.keys()
+    assert all(model.scores_of[w] == pytest.approx(x) for w, x in want.items())
+    for r in toxicity.scored(docs, model).collect():
+        s = np.array([max(model.scores_of.get(t, 0.0) for t in toxicity.terms(w)) - toxicity.DRIFT for w in toxicity.words(r.text)])
+        found = [(a, b, x, model.height * len(s) * math.exp(-model.decay * x)) for a, b, x in brute_segments(s)]
+        assert r.score == pytest.approx(model.probability(model.evidence(found)))
+    assert model.slope > 0 and sum(r.predicted == labels[r.doc_id] for r in toxicity.scored(docs, model).collect()) >= 285
+
+
+def test_near_copies_count_once_and_by_label(spark):
+    """A copy with the same label is left out of the fit; one with another label, and other writing, is not."""
+    text = [" ".join(f"w{chr(97 + (i * k) % 26)}{chr(97 + i // 5)}" for i in range(90)) for k in (3, 5, 7)]
+    free = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:6]
+    rows = list(zip(free, [text[0], text[0] + " more", text[0], text[1], text[1], text[2]], strict=True))
+    labels = list(zip(free, [1, 1, 0, 0, 0, 1], strict=True))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert (model.fitted, model.copies) == (4, 2)
 
 
 def test_held_out_toxicity(spark):

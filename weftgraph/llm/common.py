@@ -1,19 +1,35 @@
-"""Helpers that the corpus operators share: written tables, free column names."""
+"""Helpers that the corpus operators share: written tables, free column names, bounded memory of Python tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import ctypes
+import re
+import sys
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from itertools import chain
+from typing import Any, AnyStr
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..plans.tables import new_folder, shared_dir, written
+from ..plans.tables import dropped, new_folder, shared_dir, written
 
-__all__ = ["SPACES", "col", "free_names", "map_arrow", "new_folder", "shared_dir", "table", "written"]
+__all__ = ["SPACES", "Memo", "col", "dropped", "free_names", "hot_join", "in_arrow", "map_arrow", "new_folder", "shared_dir", "stretches", "table", "values", "written"]
 #: White space of every contract here, as a Java and Python character class.
 SPACES = "[\\x20\\x09-\\x0D]"
+#: Bytes that each of a memo's two generations holds, about.
+MEMO_BYTES = 12 << 20
+#: Rows of a batch whose values are Python objects at the same time.
+ROWS = 64
+#: Bytes or characters of a text whose words are Python objects at the same time, about.
+STRETCH = 1 << 20
+#: A key with one in so many rows or more is hot: there are at most that many hot keys, whatever the input.
+HOT = 10_000
+_SPACE, _SPACE_BYTE = re.compile(SPACES), re.compile(SPACES.encode())
+
+Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def free_names(columns: Iterable[str], *names: str) -> list[str]:
@@ -32,13 +48,89 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def map_arrow(df: DataFrame, scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
-    """``mapInArrow`` by position: columns may have names with dots in them."""
+def _given_back(scan: Scan) -> Scan:
+    """``scan``, which gives free memory back to the system in the end: Spark's Python workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
+def in_arrow(df: DataFrame, scan: Scan, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` whose tasks give their memory back."""
+    return df.mapInArrow(_given_back(scan), schema)
+
+
+def map_arrow(df: DataFrame, scan: Scan, schema: StructType) -> DataFrame:
+    """``in_arrow`` by position: columns may have names with dots in them."""
     names = [f"c{i}" for i in range(len(schema.fields))]
     plain = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(names, schema.fields, strict=True)])
-    mapped = df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(lambda batches: (b.rename_columns(names) for b in scan(batches)), plain)
+    mapped = in_arrow(df.toDF(*(f"c{i}" for i in range(len(df.columns)))), lambda batches: (b.rename_columns(names) for b in scan(batches)), plain)
     return mapped.toDF(*schema.names)
 
 
+def values(column: pa.Array) -> Iterator[Any]:
+    """The values of an Arrow column; only a few are Python objects at a time."""
+    for at in range(0, len(column), ROWS):
+        yield from column.slice(at, ROWS).to_pylist()
+
+
+def stretches(text: AnyStr | None, size: int | None = None) -> Iterator[AnyStr]:
+    """The text cut at white space, so that the words of a very long one are never held all at once; a null has none."""
+    if not text:
+        return
+    size, at, space = size or STRETCH, 0, _SPACE if isinstance(text, str) else _SPACE_BYTE
+    while len(text) - at > size:
+        cut = space.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
+class Memo:
+    """What a function gives for keys of late, in two generations of bounded size: frequent keys outlive the change."""
+
+    def __init__(self, make: Callable[[Hashable], Any], most: int | None = None):
+        self.make, self.most = make, most or MEMO_BYTES
+        self.young: dict = {}
+        self.old: dict = {}
+        self.held = 0
+
+    def of(self, keys: list) -> Iterator[Any]:
+        """The values of the keys, in order."""
+        return chain.from_iterable(self._parts(keys))
+
+    def _parts(self, keys: list) -> Iterator[Iterator[Any]]:
+        for at in range(0, len(keys), 4096):
+            part, young, old = keys[at : at + 4096] if len(keys) > 4096 else keys, self.young, self.old
+            for k in part:
+                if k not in young:
+                    young[k] = v = old[k] if k in old else self.make(k)
+                    self.held += sys.getsizeof(k) + sys.getsizeof(v) + 110
+            yield map(young.__getitem__, part)
+            if self.held > self.most:
+                self.old, self.young, self.held = young, {}, 0
+
+
+def hot_join(rows: DataFrame, by_key: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined with a written table of one row a key; ``n`` is a column of that, how many of the rows have the key.
+
+    Hot keys go to the rows by broadcast (they are at most ``HOT``), so that no task gets all rows of one; the rest is
+    joined by a shuffle.
+    """
+    total = by_key.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.col(n) * HOT >= F.lit(total)
+    few = F.broadcast(by_key.where(hot))
+    cold = rows.join(F.broadcast(by_key.where(hot).select(key)), key, "left_anti").join(by_key.where(~hot), key)
+    return rows.join(few, key).unionByName(cold)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

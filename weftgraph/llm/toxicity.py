@@ -1,9 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
-Words and their stems get log-odds of toxic against clean documents under informative Dirichlet priors; those
-that are sure beyond what chance finds among so many terms score. A linear-time scan finds every maximal segment of
-positive total, and extreme-value statistics say how surprising a segment is in clean writing of that length.
-The evidence of a document's segments becomes a probability by a logistic curve.
+Words and their stems get log-odds of toxic against clean documents under an informative Dirichlet prior: each
+term's pseudo-counts follow its share of all fitted documents. Those that are sure beyond what chance finds among so
+many terms score. A linear-time scan finds every maximal segment of positive total, and extreme-value statistics say
+how surprising a segment is in clean writing of that length. The evidence of a document's segments becomes a
+probability by a logistic curve.
 """
 
 from __future__ import annotations
@@ -17,26 +18,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_names, map_arrow, written
+from .common import Memo, col, free_names, in_arrow, map_arrow, stretches, values, written
 
 #: Labelled rows that the classifier is fitted on, at most (all, where there are fewer): a uniform choice by the
 #: hash of the id. Everything else covers all rows.
 FIT_ROWS = 60_000
-#: Terms of a model, at most; of more, those whose log-odds are surest.
-TERMS = 200_000
 #: Lengths of the stems that count as terms beside whole words.
 STEMS = (4, 5, 6, 7)
-#: Dirichlet prior of a term, in documents, split between the classes as the documents are.
-PRIOR = 1.0
+#: Strength of the Dirichlet prior, in documents of the rarer class.
+PRIOR = 4.0
+#: Toxic documents that a term needs; fewer can't make it sure.
+LEAST = 3
 #: What every word loses, so that ordinary writing drifts down; bound of a score.
 DRIFT, MOST = 0.5, 8.0
 #: Every how manieth document of the sample calibrates and isn't counted for the terms.
 FOLDS = 4
 #: Documents with this score or more are toxic.
 CUT = 0.3
+#: Terms that a task counts before it hands them on.
+HELD_TERMS = 100_000
+#: Bits of the filter through which terms of clean documents pass, a power of two.
+FILTER = 1 << 20
+#: Sketches of a text, each of three minima.
+SKETCHES = 3
+_MIX = [int(x) * 2 + 1 for x in np.random.default_rng(5).integers(2**60, 2**63, 3 * SKETCHES)]
 _WORD = re.compile(r"[^\W\d_]+")
 _KEY = "crc32(cast(cast({} as string) as binary))"
 
@@ -50,38 +58,47 @@ def terms(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds under the prior of terms in so many toxic and clean documents, and the root of twice their likelihood ratio."""
-    share = n_toxic / (n_toxic + n_clean)
-    delta = np.log((toxic + PRIOR * share) / n_toxic) - np.log((clean + PRIOR * (1 - share)) / n_clean)
-    both = toxic + clean
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0.0) + np.where(clean > 0, clean * np.log(clean / (both * (1 - share))), 0.0)
-    return delta, np.sqrt(2 * np.maximum(ratio, 0.0)) * np.sign(delta)
+def log_odds(toxic: Column, clean: Column, n_toxic: float, n_clean: float) -> tuple[Column, Column]:
+    """Log-odds of terms in so many toxic and clean documents, and the signed root of twice their likelihood ratio.
+
+    The prior has ``PRIOR`` documents of the rarer class for each class; a term's part of them is its share of all
+    documents. As in a Dirichlet model, the prior is in the numerators and in what is left of the totals (a
+    millionth more of those, so that a term of all documents has log-odds of 0).
+    """
+    n, prior = n_toxic + n_clean, PRIOR * min(n_toxic, n_clean)
+    own = (toxic + clean) * (prior / n)
+    odds = lambda y, m: F.log((y + own) / ((m + prior) * (1 + 1e-6) - y - own))
+    delta = odds(toxic, n_toxic) - odds(clean, n_clean)
+    part = lambda y, m: F.when(y > 0, y * F.log(y * n / ((toxic + clean) * m))).otherwise(0.0)
+    ratio = part(toxic, n_toxic) + part(clean, n_clean)
+    return delta, F.sqrt(2 * F.greatest(ratio, F.lit(0.0))) * F.signum(delta)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) in linear time.
 
     Runs of scores that aren't positive are only passed over by their sums; each positive score joins the list of
-    candidates, which are merged as long as an earlier one starts lower and ends lower.
+    candidates, which are merged as long as an earlier one starts lower and ends lower. A candidate links to the
+    nearest earlier one that starts lower, and the search for that goes along links: what a link passes over is never
+    looked at again. Where nothing starts lower, all candidates so far are settled and leave the list.
     """
     total = np.concatenate(([0.0], np.cumsum(scores)))
-    stack: list[tuple[int, int, float, float]] = []  # start, end, cumulative total before and after
-    for i in np.flatnonzero(scores > 0).tolist():
-        start, end, left, right = i, i + 1, float(total[i]), float(total[i + 1])
-        while True:
-            j = len(stack) - 1
-            passed = []
-            while j >= 0 and stack[j][2] >= left:
-                passed.append(stack[j])
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
-                break
-            start, left = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((start, end, left, right))
-    return [(s, e, r - l) for s, e, l, r in stack]
+    at = np.flatnonzero(scores > 0)
+    out: list[tuple[int, int, float]] = []
+    open_: list[tuple[int, int, float, float, int]] = []  # start, end, total before and after, link
+    for i, left, right in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist(), strict=True):
+        start, link = i, len(open_) - 1
+        while link >= 0 and open_[link][2] >= left:
+            link = open_[link][4]
+        while link >= 0 and open_[link][3] < right:
+            start, _, left, _, before = open_[link]
+            del open_[link:]
+            link = before
+        if link < 0:
+            out += [(s, e, r - x) for s, e, x, r, _ in open_]
+            open_.clear()
+        open_.append((start, i + 1, left, right, link))
+    return out + [(s, e, r - x) for s, e, x, r, _ in open_]
 
 
 @dataclass
@@ -93,10 +110,11 @@ class Model:
     height: float = 0.1  # K of the expected number of such segments, K * length * exp(-lambda * score)
     slope: float = 1.0
     offset: float = -3.0
-    memo_size: int = 400_000
+    fitted: int = 0
+    copies: int = 0
 
     def __post_init__(self):
-        self.memo: dict[str, float] = {}
+        self.memo = Memo(self.score)
 
     def state(self) -> tuple:
         """Plain values, for broadcasting."""
@@ -107,20 +125,15 @@ class Model:
         get = self.scores_of.get
         return max([get(t, 0.0) for t in terms(word)]) - DRIFT
 
-    def scores(self, tokens: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > self.memo_size:
-            memo.clear()
-        for w in tokens:
-            if w not in memo:
-                memo[w] = self.score(w)
-        return np.fromiter(map(memo.__getitem__, tokens), np.float64, len(tokens))
+    def scores(self, text: str | None) -> np.ndarray:
+        """The score of each word."""
+        parts = [np.fromiter(self.memo.of(w), np.float64, len(w)) for part in stretches(text) for w in (words(part),)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.empty(0)])
 
     def passages(self, text: str | None) -> list[tuple[int, int, float, float]]:
         """Every maximal segment in words: start, end, score, and its expected number in clean writing of that length."""
-        tokens = words(text)
-        scores = self.scores(tokens)
-        m = max(len(tokens), 1)
+        scores = self.scores(text)
+        m = max(len(scores), 1)
         return [(s, e, x, self.height * m * math.exp(-self.decay * x)) for s, e, x in segments(scores)]
 
     def evidence(self, passages: Iterable[tuple[int, int, float, float]]) -> float:
@@ -144,11 +157,12 @@ def _in_training(id_col: str) -> str:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """text, toxic and held (kept back for calibrating) of the rows to fit on, written to the shared folder.
+    """text, toxic, held (kept back for calibrating) and first of the rows to fit on, written to the shared folder.
 
-    They are labelled, in training, at most ``rows``, chosen by the hash of the id, and of near copies mostly one
-    stays: else a copied text's rare words would pass for toxic ones. The chosen labels have a proven bound, so
-    that they go to the texts; only chosen texts are written.
+    They are labelled, in training, and at most ``rows``, chosen by the hash of the id. ``first`` is false for what is
+    left out because another row with the same label is nearly its copy (and has a smaller id): else a copied text's
+    rare words would pass for toxic ones. The chosen labels have a proven bound, so that they go to the texts; only
+    chosen texts are written.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").where(_in_training("id"))
     known = known.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -161,71 +175,88 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, row
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks = [_sketch(t) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([m[i] for m in marks], pa.int64()) for i in range(2))], [*b.schema.names, "one", "two"])
+            marks = [_sketch(t) for t in values(b.column(3))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([m[i] for m in marks], pa.int64()) for i in range(SKETCHES))], [*b.schema.names, *names])
 
-    made = written(src.mapInArrow(sketch, src.withColumns({"one": F.lit(0).cast("long"), "two": F.lit(0).cast("long")}).schema), "labelled")
-    ids = made.groupBy("one").agg(F.min("id").alias("id"), F.min_by("two", "id").alias("two")).groupBy("two").agg(F.min("id").alias("id")).select("id")
-    return made.join(F.broadcast(ids), "id", "left_semi").select("text", "toxic", "held")  # as many ids as chosen labels at most
+    names = [f"s{i}" for i in range(SKETCHES)]
+    made = written(in_arrow(src, sketch, src.withColumns({n: F.lit(0).cast("long") for n in names}).schema), "labelled")
+    one = made.select("id", "toxic", *names)
+    for n in names:
+        one = one.groupBy("toxic", n).agg(F.min_by(F.struct("id", *(x for x in names if x != n)), "id").alias("r")).select("toxic", n, "r.*")
+    # as many ids as chosen labels at most
+    return made.join(F.broadcast(one.select("id", F.lit(True).alias("first"))), "id", "left").select("text", "toxic", "held", F.coalesce("first", F.lit(False)).alias("first"))
 
 
-def _sketch(text: str | None) -> tuple[int, int]:
-    """Two pairs of minima over runs of three words; near copies mostly share a pair."""
-    w = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in words(text)] or [0], np.uint64)
+def _sketch(text: str | None) -> list[int]:
+    """Triples of minima over runs of three words; near copies mostly share one, others hardly ever."""
+    w = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for part in stretches(text) for x in words(part)] or [0], np.uint64)
     if len(w) > 2:
         w = w[:-2] * np.uint64(0x9E3779B97F4A7C15) + w[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + w[2:] * np.uint64(0x165667B19E3779F9)
     w ^= w >> np.uint64(29)
-    low = [(w * np.uint64(a)).min() for a in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-    pair = (np.array(low[::2]) * np.uint64(31) + np.array(low[1::2])).view(np.int64)
-    return int(pair[0]), int(pair[1])
+    low = [int((w * np.uint64(a)).min()) for a in _MIX]
+    return [hash(tuple(low[i::SKETCHES])) for i in range(SKETCHES)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model:
-    """Fit on labelled training rows. What the driver gets is bounded by TERMS and by the bins of the calibration.
+    """Fit on labelled training rows. All terms that are sure make the model; they are terms of ``rows`` documents at most.
 
-    Without labels, or with labels of one kind only, every word is neutral and every score is the offset's.
+    Without labels, or with labels of one kind only, every word is neutral and every score is the offset's. What the
+    model's ``fitted`` and ``copies`` say: rows fitted on, and rows left out as near copies of those.
     """
-    texts = labelled(docs, labels, id_col, text_col, rows)
-    n = {(r.toxic, r.held): r.n for r in texts.groupBy("toxic", "held").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = float(n.get((1, False), 0)), float(n.get((0, False), 0))
-    model = Model({})
+    whole = labelled(docs, labels, id_col, text_col, rows)
+    n = {(r.toxic, r.held): r for r in whole.groupBy("toxic", "held").agg(F.sum(F.col("first").cast("long")).alias("n"), F.sum((~F.col("first")).cast("long")).alias("gone")).collect()}
+    texts = whole.where("first").select("text", "toxic", "held")
+    count = lambda toxic, held: n[toxic, held].n if (toxic, held) in n else 0
+    n_toxic, n_clean = float(count(1, False)), float(count(0, False))
+    model = Model({}, fitted=sum(r.n for r in n.values()), copies=sum(r.gone for r in n.values()))
     if not n_toxic or not n_clean:
         return model
     fitted = texts.where("not held")
     # a term of few toxic documents can't be sure, so that it needs no count in clean ones
-    often = _term_counts(fitted.where("toxic = 1"), None).where("n >= 3")
-    often = often.orderBy(F.desc("n"), "term").limit(4 * TERMS).toPandas()
-    context = texts.sparkSession.sparkContext.broadcast(set(often["term"]))
-    clean = _term_counts(fitted.where("toxic = 0"), context).toPandas().set_index("term")["n"]
-    c = clean.reindex(often["term"], fill_value=0).to_numpy(float)
-    delta, z = log_odds(often["n"].to_numpy(float), c, n_toxic, n_clean)
-    sure = np.flatnonzero((z >= math.sqrt(2 * math.log(max(len(z), 2)))) & (delta > DRIFT))
-    sure = sure[np.argsort(-z[sure], kind="stable")][:TERMS]
-    names = often["term"].to_numpy()
-    model.scores_of = {names[i]: min(float(delta[i]), MOST) for i in sure}
-    _calibrate(model, texts.where("held") if n.get((1, True)) and n.get((0, True)) else texts)
+    often = written(_term_counts(fitted.where("toxic = 1")).where(F.col("n") >= LEAST), "toxic-terms")
+    clean = _term_counts(fitted.where("toxic = 0"), often).withColumnRenamed("n", "c")
+    both = often.join(clean, "term", "left").select("term", F.col("n").cast("double").alias("n"), F.coalesce(F.col("c").cast("double"), F.lit(0.0)).alias("c"))
+    delta, z = log_odds(F.col("n"), F.col("c"), n_toxic, n_clean)
+    surest = math.sqrt(2 * math.log(max(often.count(), 2)))
+    sure = both.select("term", delta.alias("delta"), z.alias("z")).where((F.col("z") >= surest) & (F.col("delta") > DRIFT))
+    found = sure.select("term", F.least("delta", F.lit(MOST)).alias("score")).toPandas()
+    model.scores_of = dict(zip(found["term"], found["score"].tolist(), strict=True))
+    _calibrate(model, texts.where("held") if count(1, True) and count(0, True) else texts)
     return model
 
 
-def _term_counts(texts: DataFrame, of) -> DataFrame:
-    """term, n: in how many texts each term is, of all terms or of those that a broadcast set has."""
+def _term_counts(texts: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """term, n: in how many texts each term is; of those only, if given, that are like one of a table (and a few others).
+
+    Tasks get a filter of ``FILTER`` bits for that table, whatever its size.
+    """
+    bits = None
+    if like is not None:
+        held = np.zeros(FILTER, bool)
+        at = like.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER)).alias("at")).distinct().toPandas()["at"]  # FILTER rows at most
+        held[at.to_numpy(np.int64)] = True
+        bits = texts.sparkSession.sparkContext.broadcast(np.packbits(held))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = of.value if of is not None else None, Counter()
+        known = np.unpackbits(bits.value).tobytes() if bits is not None else None
+        passing = Memo(lambda w: tuple(t for t in terms(w) if known is None or known[zlib.crc32(t.encode()) & (FILTER - 1)]))
+        seen: Counter[str] = Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                found = {t for w in set(words(text)) for t in terms(w)}
-                seen.update(found if known is None else found & known)
-                if len(seen) > 300_000:
+            for text in values(b.column(0)):
+                found: set[str] = set()
+                for part in stretches(text):
+                    found.update(words(part))
+                seen.update({t for ts in passing.of(list(found)) for t in ts})
+                if len(seen) > HELD_TERMS:
                     yield out()
                     seen.clear()
         yield out()
 
-    return texts.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return in_arrow(texts.select("text"), count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _calibrate(model: Model, texts: DataFrame) -> None:
@@ -233,19 +264,19 @@ def _calibrate(model: Model, texts: DataFrame) -> None:
     context = texts.sparkSession.sparkContext.broadcast(model.state())
 
     def clean_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hist, best = Model(*context.value), np.zeros(4001, np.int64), []
+        m, hist, best = Model(*context.value), np.zeros(4001, np.int64), {}
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tokens = words(text)
-                s = m.scores(tokens)
+            for text, toxic in zip(values(b.column(0)), b.column(1).to_pylist(), strict=True):
+                s = m.scores(text)
                 top = max((x for _, _, x in segments(s)), default=0.0)
-                best.append((int(toxic > 0), round(math.log2(max(len(tokens), 1))), min(round(top * 10), 3000)))
+                key = (1 + int(toxic > 0), round(math.log2(max(len(s), 1))), min(round(top * 10), 3000))
+                best[key] = best.get(key, 0) + 1
                 if not toxic:
                     hist += np.bincount(np.clip(np.round((s + DRIFT) * 200), 0, 4000).astype(int), minlength=4001)
-        rows = [(0, 0, i, int(n)) for i, n in enumerate(hist) if n] + [(1 + t, length, top, 1) for t, length, top in best]
+        rows = [(0, 0, i, int(n)) for i, n in enumerate(hist) if n] + [(*k, n) for k, n in best.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["what", "length", "at", "n"])
 
-    seen = texts.select("text", "toxic").mapInArrow(clean_scores, "what long, length long, at long, n long").groupBy("what", "length", "at").agg(F.sum("n").alias("n")).toPandas()
+    seen = in_arrow(texts.select("text", "toxic"), clean_scores, "what long, length long, at long, n long").groupBy("what", "length", "at").agg(F.sum("n").alias("n")).toPandas()
     words_ = seen[seen["what"] == 0]
     score, weight = words_["at"].to_numpy() / 200 - DRIFT, words_["n"].to_numpy(float)
     weight /= max(weight.sum(), 1.0)
@@ -268,12 +299,12 @@ def _calibrate(model: Model, texts: DataFrame) -> None:
     def evidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mo, counts = Model(*context.value), {}
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, toxic in zip(values(b.column(0)), b.column(1).to_pylist(), strict=True):
                 key = (int(toxic > 0), int(mo.evidence(mo.passages(text)) * 10))
                 counts[key] = counts.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in counts], pa.int64()) for i in range(2)] + [pa.array(list(counts.values()), pa.int64())], ["toxic", "at", "n"])
 
-    rows = texts.select("text", "toxic").mapInArrow(evidences, "toxic long, at long, n long").groupBy("toxic", "at").agg(F.sum("n").alias("n")).toPandas()
+    rows = in_arrow(texts.select("text", "toxic"), evidences, "toxic long, at long, n long").groupBy("toxic", "at").agg(F.sum("n").alias("n")).toPandas()
     model.slope, model.offset = _logistic(rows["at"].to_numpy() / 10, rows["toxic"].to_numpy(float), rows["n"].to_numpy(float))
 
 
@@ -311,7 +342,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         m = Model(*shared.value)
         for b in batches:
             score, found = [], []
-            for text in b.column(at).to_pylist():
+            for text in values(b.column(at)):
                 passages = m.passages(text)
                 score.append(m.probability(m.evidence(passages)))
                 found.append([{"start": s, "end": e, "score": x, "expected": n} for s, e, x, n in passages if n < 0.05])
