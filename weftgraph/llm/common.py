@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import sys
-from collections.abc import Callable, Hashable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 from typing import Any, AnyStr
 
@@ -21,6 +21,8 @@ __all__ = ["SPACES", "Memo", "col", "dropped", "free_names", "hot_join", "in_arr
 SPACES = "[\\x20\\x09-\\x0D]"
 #: Bytes that each of a memo's two generations holds, about.
 MEMO_BYTES = 12 << 20
+#: Keys that a memo looks up at a time.
+PART = 1 << 17
 #: Rows of a batch whose values are Python objects at the same time.
 ROWS = 64
 #: Bytes or characters of a text whose words are Python objects at the same time, about.
@@ -95,9 +97,12 @@ def stretches(text: AnyStr | None, size: int | None = None) -> Iterator[AnyStr]:
 
 
 class Memo:
-    """What a function gives for keys of late, in two generations of bounded size: frequent keys outlive the change."""
+    """What a function gives for keys of late, in two generations of bounded size: frequent keys outlive the change.
 
-    def __init__(self, make: Callable[[Hashable], Any], most: int | None = None):
+    ``make`` gets a list of different keys and returns their values in order.
+    """
+
+    def __init__(self, make: Callable[[list], Iterable[Any]], most: int | None = None):
         self.make, self.most = make, most or MEMO_BYTES
         self.young: dict = {}
         self.old: dict = {}
@@ -108,12 +113,16 @@ class Memo:
         return chain.from_iterable(self._parts(keys))
 
     def _parts(self, keys: list) -> Iterator[Iterator[Any]]:
-        for at in range(0, len(keys), 4096):
-            part, young, old = keys[at : at + 4096] if len(keys) > 4096 else keys, self.young, self.old
-            for k in part:
-                if k not in young:
-                    young[k] = v = old[k] if k in old else self.make(k)
-                    self.held += sys.getsizeof(k) + sys.getsizeof(v) + 110
+        for at in range(0, len(keys), PART):
+            part, young, old = keys[at : at + PART] if len(keys) > PART else keys, self.young, self.old
+            new = [k for k in part if k not in young]
+            if new:
+                new = dict.fromkeys(new)
+                again = [k for k in new if k in old]
+                made = [k for k in new if k not in old]
+                young.update(zip(again, map(old.__getitem__, again), strict=True))
+                young.update(zip(made, self.make(made), strict=True))
+                self.held += sum(map(sys.getsizeof, new)) + sum(sys.getsizeof(young[k]) for k in new) + 110 * len(new)
             yield map(young.__getitem__, part)
             if self.held > self.most:
                 self.old, self.young, self.held = young, {}, 0

@@ -114,7 +114,7 @@ class Model:
     copies: int = 0
 
     def __post_init__(self):
-        self.memo = Memo(self.score)
+        self.memo = Memo(lambda words: map(self.score, words))
 
     def state(self) -> tuple:
         """Plain values, for broadcasting."""
@@ -239,7 +239,7 @@ def _term_counts(texts: DataFrame, like: DataFrame | None = None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(bits.value).tobytes() if bits is not None else None
-        passing = Memo(lambda w: tuple(t for t in terms(w) if known is None or known[zlib.crc32(t.encode()) & (FILTER - 1)]))
+        passing = Memo(lambda ws: [tuple(t for t in terms(w) if known is None or known[zlib.crc32(t.encode()) & (FILTER - 1)]) for w in ws])
         seen: Counter[str] = Counter()
 
         def out():
