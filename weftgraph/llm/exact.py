@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, col, free_names, map_arrow, written
+from .common import SPACES, col, free_names, in_arrow, map_arrow, written
 
 #: Characters of the normalised text in a sort key; the digest of the whole orders the rest. Splitters go through
 #: the driver, so that they must not hold whole texts.
@@ -60,26 +60,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
     ordered = _sorted(src, "doc_id", "text", "norm", "sha", partitions).select("doc_id", "sha", "norm")
-    schema = f"doc_id {id_type}, text_sha256 string, lead boolean, keep {id_type}, size long, pid int, run long, edge string"
+    schema = f"doc_id {id_type}, text_sha256 string, lead boolean, keep {id_type}, size long, pid int, run long, open boolean, edge string"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, run, before, open_ids, open_sha = TaskContext.get().partitionId(), 0, None, [], None
 
-        def block(ids, shas, first, sizes, number, edge):
+        def block(ids, shas, first, sizes, number, open_, edge):
             n = len(ids)
             lead = np.zeros(n, bool)
             lead[np.unique(first)] = True
             return pa.RecordBatch.from_arrays(
-                [ids, shas, pa.array(lead), ids.take(pa.array(first)), pa.array(sizes), pa.array(np.full(n, pid, np.int32)), pa.array(number), edge],
-                ["doc_id", "text_sha256", "lead", "keep", "size", "pid", "run", "edge"],
+                [ids, shas, pa.array(lead), ids.take(pa.array(first)), pa.array(sizes), pa.array(np.full(n, pid, np.int32)), pa.array(number), pa.array(open_), edge],
+                ["doc_id", "text_sha256", "lead", "keep", "size", "pid", "run", "open", "edge"],
             )
 
         def closed(text):
-            """The open run's rows; its first row carries the text if the run touches an end of the partition."""
+            """The last run's rows; open, and its first row carries the text, if the run touches an end of the partition."""
             ids = pa.concat_arrays(open_ids)
             n = len(ids)
             edge = pa.concat_arrays([pa.array([text], pa.string()), pa.nulls(n - 1, pa.string())])
-            return block(ids, pa.array([open_sha] * n, pa.string()), np.zeros(n, np.int64), np.full(n, n, np.int64), np.full(n, run, np.int64), edge)
+            return block(ids, pa.array([open_sha] * n, pa.string()), np.zeros(n, np.int64), np.full(n, n, np.int64), np.full(n, run, np.int64), np.full(n, text is not None), edge)
 
         for b in batches:
             if not b.num_rows:
@@ -95,27 +95,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 run += 1
             if len(starts) > 1:
                 sizes, lo, hi = np.diff(starts), starts[0], starts[-1]
+                number = np.repeat(run + np.arange(len(sizes)), sizes)
                 edge = pa.nulls(hi - lo, pa.string())
                 if run == 0:
                     edge = pa.concat_arrays([pa.array([texts[int(lo)].as_py()], pa.string()), edge[1:]])
-                yield block(ids[lo:hi], shas[lo:hi], np.repeat(starts[:-1] - lo, sizes), np.repeat(sizes, sizes).astype(np.int64), np.repeat(run + np.arange(len(sizes)), sizes), edge)
+                yield block(ids[lo:hi], shas[lo:hi], np.repeat(starts[:-1] - lo, sizes), np.repeat(sizes, sizes).astype(np.int64), number, number == 0, edge)
                 run += len(sizes)
             open_ids, open_sha, before = [ids[starts[-1] :]], shas[int(starts[-1])].as_py(), texts[len(texts) - 1]
         if open_ids:
             yield closed(before.as_py())
 
-    rows = written(ordered.mapInArrow(scan, schema), "content-sort")
+    rows = written(in_arrow(ordered, scan, schema), "content-sort")
     ends = rows.where("edge is not null").select("edge", "keep", "size", "pid", "run")
     whole = ends.groupBy("edge").agg(F.min("keep").alias("all_keep"), F.sum("size").alias("all_size"), F.min("pid").alias("first_pid"))
-    # two rows a partition at most, whatever the input
-    fixed = F.broadcast(ends.join(whole, "edge").select("pid", "run", "all_keep", "all_size", "first_pid"))
-    return rows.join(fixed, ["pid", "run"], "left").select(
-        "doc_id",
-        F.coalesce("all_keep", "keep").alias("keep_id"),
-        F.coalesce("all_size", "size").alias("group_size"),
-        (F.col("lead") & (F.coalesce("first_pid", "pid") == F.col("pid"))).alias("kept"),
-        "text_sha256",
-    )
+    fixed = ends.join(whole, "edge").select("pid", "run", "all_keep", "all_size", "first_pid")
+    # only rows of the runs at the partitions' ends meet what is known of those runs
+    mended = rows.where("open").join(fixed, ["pid", "run"])
+    kept = F.col("lead").alias("kept")
+    return (
+        rows.where("not open").select("doc_id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), kept, "text_sha256")
+        .unionByName(mended.select("doc_id", F.col("all_keep").alias("keep_id"), F.col("all_size").alias("group_size"), (F.col("lead") & (F.col("first_pid") == F.col("pid"))).alias("kept"), "text_sha256"))
+    )
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
@@ -156,5 +156,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(map_arrow(ordered, scan, schema), "content-sort")
     ends = rows.where(col(edge_c).isNotNull()).select(col(edge_c).alias("edge"), col(pid_c).alias("pid"), col(mark_c).alias("mark"))
     again = ends.join(ends.groupBy("edge").agg(F.min("pid").alias("first_pid")), "edge").where("pid > first_pid")
-    again = F.broadcast(again.select(F.col("pid").alias(pid_c), F.col("mark").alias(mark_c)))  # two rows a partition at most
-    return rows.join(again, [pid_c, mark_c], "left_anti").select(*map(col, docs.columns))
+    again = again.select(F.col("pid").alias(pid_c), F.col("mark").alias(mark_c))
+    # the first and the last row of a partition may be kept elsewhere; no other row meets these
+    inside, ends_only = rows.where(col(edge_c).isNull()), rows.where(col(edge_c).isNotNull())
+    return inside.unionByName(ends_only.join(again, [pid_c, mark_c], "left_anti").select(*map(col, rows.columns))).select(*map(col, docs.columns))
