@@ -46,12 +46,12 @@ def naive_hits(docs, items, window=13):
     return out
 
 
-@pytest.mark.parametrize("block_words", [400_000, 50])
-def test_contamination(spark, small, block_words):
+@pytest.mark.parametrize("how", [{}, {"block": 40, "shard_bytes": 5000}, {"group_words": 3000}])
+def test_contamination(spark, small, how):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()] + [(900, None), (901, "--"), (902, "zwölf Große"), (903, "x"), (None, "x")]
     docs = documents(spark, small) + [(-1, None), (-2, ""), (-3, "A zwölf gro\u00dfe X"), (-4, "x " * 40), (-5, " ".join(t for _, t in items if t)), (-4, "x"), (None, "x")]
     got = decontaminate.contamination(
-        spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, spans int"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words
+        spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, spans int"), spark.createDataFrame(items, "item_id long, text string"), **how
     ).collect()
     want = naive_hits(docs, [("" if i is None else i, t) for i, t in items])
     rows = [(i, n, h, len(f), hashlib.sha256(",".join(f).encode()).hexdigest(), h > 0 and 20 * h >= n) for i, n, h, f in want]
@@ -59,6 +59,12 @@ def test_contamination(spark, small, block_words):
     assert sum(r[2] > 0 for r in rows) > 5
 
 
+def test_many_blocks_are_one_pass(spark, small):
+    """A benchmark of a hundred blocks is searched in one Python stage over the texts."""
+    found = decontaminate.found_spans(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet"), block=200)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_no_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
@@ -71,6 +77,9 @@ def test_index_finds_every_occurrence():
     rng = np.random.default_rng(3)
     text = rng.integers(1, 5, 700)
     index = decontaminate.FMIndex(text, 6)
+    bit = rng.integers(0, 2, 321)
+    bits = decontaminate.Bits(bit)
+    assert bits.ones(np.arange(322)).tolist() == np.concatenate(([0], np.cumsum(bit))).tolist() and (bits.at(np.arange(321)) == bit).all()
     assert [list(text[i:]) for i in decontaminate.suffix_array(text)] == sorted(list(text[i:]) for i in range(len(text)))
     phrases = np.array([text[i : i + 4] for i in range(0, 600, 7)] + [[5, 5, 5, 5]])
     for p, lo, hi in zip(phrases, *index.search(phrases), strict=True):
@@ -201,9 +210,18 @@ def test_warc_missing_segment(spark, tmp_path):
 # pieces
 
 
+def test_agendas_side_by_side():
+    """Stretches merged beside others are as those with a heap of their own."""
+    p, rng = pieces.Pieces(open(piece_model(), "rb").read()), random.Random(6)
+    signs = [*"etaoinshrdlucmfw", "é", "ß", "-", "3", "\u4e2d", "\u0301", "\U0001f600", "\u2581"]
+    some = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(2000)] + ["\u2581the", "a", "\u2581" * 40]
+    assert p.merged(some) == [p._ids(p._heaped(s)) for s in some]
+    assert p.merged([]) == []
+
+
 def test_pieces_checks_every_row(spark, monkeypatch):
     whole = pieces.Pieces
-    monkeypatch.setattr(pieces, "Pieces", type("Odd", (whole,), {"encode": lambda self, text, end=True: whole.encode(self, text.replace("rare", "common"), end)}))
+    monkeypatch.setattr(pieces, "Pieces", type("Odd", (whole,), {"encode": lambda self, texts, end=True: whole.encode(self, [t.replace("rare", "common") for t in texts], end)}))
     texts = [(i, "a rare text" if i == 150 else f"text {i}") for i in range(200)]
     df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
     assert pieces.encode_decode(df.where("doc_id <> 150"), piece_model()).count() == 199

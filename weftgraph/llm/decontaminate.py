@@ -1,15 +1,16 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is a run of documents of one partition. Its words become symbols of the benchmark's vocabulary. Stretches
-too short to hold a test phrase are left out: a word outside the vocabulary can be part of no occurrence. What is
-left is indexed (suffix array, Burrows-Wheeler transform in a wavelet matrix, sampled suffix positions). Test
-phrases are found by backward search, occurrences are located by walking to the next sampled position, and their
-spans are merged into what has to be removed.
+A shard is a run of documents of one partition, as many as a bound of bytes holds, over any number of Arrow batches.
+Its words become symbols of the benchmark's vocabulary. Stretches too short to hold a test phrase are left out: a word
+outside the vocabulary can be part of no occurrence. What is left is indexed (suffix array, Burrows-Wheeler transform
+in a wavelet matrix of packed bits, sampled suffix positions). Test phrases are found by backward search, a block of
+them at a time, occurrences are located by walking to the next sampled position, and their spans are merged into what
+has to be removed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_names, map_arrow
+from .common import col, free_names, map_arrow, stretches, written
 
 WINDOW = 13
-#: Words of benchmark items that are searched at a time: a larger benchmark is searched in blocks, each over all rows.
-BLOCK_WORDS = 400_000
-#: Symbols that one index holds at most, but for one longer document.
-SHARD_SYMBOLS = 1_000_000
+#: Words, and different words, of the benchmark items that tasks hold (what is shipped has a bound): a benchmark with
+#: more goes in groups, each over all rows, with what was found so far written in between.
+GROUP_WORDS, GROUP_VOCABULARY = 16_000_000, 500_000
+#: Test phrases that are searched at a time.
+BLOCK = 100_000
+#: Bytes of text of a shard, but for one longer document.
+SHARD_BYTES = 24 << 20
 SAMPLE = 8
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))  # a space for all that is in no word
 
@@ -58,38 +62,55 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         width *= 2
 
 
+class Bits:
+    """A bit vector in packed words, with the number of ones before each word."""
+
+    def __init__(self, bit: np.ndarray):
+        packed = np.packbits(np.append(bit, np.zeros(-len(bit) % 64 + 64, bit.dtype)).astype(bool), bitorder="little")
+        self.words = packed.view(np.uint64)
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1])).astype(np.int32)
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """How many ones lie before each position."""
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & below)
+
+    def at(self, at: np.ndarray) -> np.ndarray:
+        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+
+
 class WaveletMatrix:
     """Rank of a symbol before a position, for arrays of symbols and positions at once."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
         self.levels = max(1, int(sigma - 1).bit_length())
-        self.ones, self.zeros, self.starts = [], [], None
+        self.bits: list[Bits] = []
+        self.zeros: list[int] = []
         rest = symbols
         for level in reversed(range(self.levels)):
             bit = (rest >> level) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
+            self.bits.append(Bits(bit))
             self.zeros.append(int(len(bit) - bit.sum()))
             rest = np.concatenate((rest[bit == 0], rest[bit == 1]))
         begin = np.zeros(sigma, np.int64)  # where the walk of a symbol begins after the last level
-        for k, level in enumerate(reversed(range(self.levels))):
-            bit = (np.arange(sigma) >> level) & 1
-            ones = self.ones[k][begin]
-            begin = np.where(bit == 1, self.zeros[k] + ones, begin - ones)
-        self.starts = begin
+        self.starts = self._walk(np.arange(sigma), begin)
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, level in enumerate(reversed(range(self.levels))):
-            ones = self.ones[k][at]
+            ones = self.bits[k].ones(at)
             at = np.where((symbol >> level) & 1 == 1, self.zeros[k] + ones, at - ones)
-        return at - self.starts[symbol]
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self._walk(symbol, at) - self.starts[symbol]
 
     def access(self, at: np.ndarray) -> np.ndarray:
         symbol = np.zeros(len(at), np.int64)
         for k in range(self.levels):
-            before, after = self.ones[k][at], self.ones[k][at + 1]
-            bit = after - before
+            bit, ones = self.bits[k].at(at), self.bits[k].ones(at)
             symbol = symbol * 2 + bit
-            at = np.where(bit == 1, self.zeros[k] + before, at - before)
+            at = np.where(bit == 1, self.zeros[k] + ones, at - ones)
         return symbol
 
 
@@ -99,13 +120,12 @@ class FMIndex:
     def __init__(self, text: np.ndarray, sigma: int, sample: int = SAMPLE):
         text = np.concatenate((text, [0])).astype(np.int64)
         order = suffix_array(text)
-        bwt = text[order - 1]
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
-        self.ranks = WaveletMatrix(bwt, sigma)
+        self.ranks = WaveletMatrix(text[order - 1], sigma)
         self.n = len(text)
         marked = order % sample == 0
-        self.marked = np.concatenate(([0], np.cumsum(marked))).astype(np.int32)
-        self.sampled = order[marked]
+        self.marked = Bits(marked)
+        self.sampled = order[marked].astype(np.int32)
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of rows that start with each row of ``phrases`` (all of one length): backward search of all at once."""
@@ -125,8 +145,8 @@ class FMIndex:
         """Text positions of rows: steps back to a sampled position, and counts them."""
         out, steps, who, at = np.zeros(len(rows), np.int64), 0, np.arange(len(rows)), rows.astype(np.int64)
         while len(who):
-            hit = self.marked[at + 1] > self.marked[at]
-            out[who[hit]] = self.sampled[self.marked[at[hit]]] + steps
+            hit = self.marked.at(at) == 1
+            out[who[hit]] = self.sampled[self.marked.ones(at[hit])] + steps
             who, at = who[~hit], at[~hit]
             c = self.ranks.access(at)
             at = self.before[c] + self.ranks.rank(c, at)
@@ -136,34 +156,34 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """The test phrases of a block of benchmark items, as symbols, by length."""
+    """The test phrases of a group of benchmark items: their words as symbols end to end, and where phrases begin."""
 
     vocabulary: dict[bytes, int]
-    by_length: dict[int, np.ndarray]
-    items: dict[int, list[list[str]]]
-    used: dict[int, np.ndarray]  # by length: which symbols the phrases have
+    symbols: np.ndarray
+    names: list[str]  # of the items
+    starts: dict[int, np.ndarray]  # by length of the phrase
+    owners: dict[int, np.ndarray]  # the item of each phrase
+    used: dict[int, np.ndarray]  # which symbols phrases of a length have
 
     @classmethod
-    def of(cls, items: Iterable[tuple[str, bytes | None]], window: int) -> Phrases | None:
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            w = words(text)
-            for k in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[k : k + window]), set()).add(item)
-        if not found:
+    def of(cls, items: list[tuple[str, list[bytes]]], window: int) -> Phrases | None:
+        items = [(name, w) for name, w in items if w]
+        if not items:
             return None
         vocabulary: dict[bytes, int] = {}
-        rows: dict[int, list[list[int]]] = {}
-        owners: dict[int, list[list[str]]] = {}
-        for phrase in sorted(found):
-            rows.setdefault(len(phrase), []).append([vocabulary.setdefault(w, len(vocabulary) + 1) for w in phrase])
-            owners.setdefault(len(phrase), []).append(sorted(found[phrase]))
-        by_length = {n: np.array(r, np.int64) for n, r in rows.items()}
-        used = {}
-        for n, r in by_length.items():
+        flat = np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for _, w in items for x in w], np.int32)
+        lengths = np.array([len(w) for _, w in items])
+        begins, of = np.cumsum(lengths) - lengths, np.minimum(lengths, window)
+        starts, owners, used = {}, {}, {}
+        for n in np.unique(of).tolist():
+            who = np.flatnonzero(of == n)
+            count = lengths[who] - n + 1
+            owners[n] = np.repeat(who, count).astype(np.int32)
+            starts[n] = np.repeat(begins[who], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             used[n] = np.zeros(len(vocabulary) + 1, bool)
-            used[n][r.ravel()] = True
-        return cls(vocabulary, by_length, owners, used)
+            for b, e in zip(begins[who], begins[who] + lengths[who], strict=True):
+                used[n][flat[b:e]] = True
+        return cls(vocabulary, flat, [name for name, _ in items], starts, owners, used)
 
     def room(self, symbols: np.ndarray) -> np.ndarray:
         """Which words lie in a stretch of one phrase length's symbols that is long enough for such a phrase."""
@@ -175,92 +195,123 @@ class Phrases:
                 out[begin[k] : end[k]] = True
         return out
 
+    def blocks(self, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, symbols (a phrase a row) and items of so many phrases at a time."""
+        for n, starts in self.starts.items():
+            for at in range(0, len(starts), size):
+                yield n, self.symbols[starts[at : at + size, None] + np.arange(n)].astype(np.int64), self.owners[n][at : at + size]
+
 
-def _search(shard: list[np.ndarray], phrases: Phrases) -> list[tuple[np.ndarray, set[str]]]:
-    """For each document of a shard (its symbols, 0 outside the vocabulary), which words are hit, and by which items."""
-    texts, where, hit, items = [], [], [np.zeros(len(s), bool) for s in shard], [set() for _ in shard]
+def _search(shard: list[np.ndarray], phrases: Phrases, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard (each document's symbols, 0 outside the vocabulary): which of all its words are hit; pairs of document and item."""
+    first = np.concatenate(([0], np.cumsum([len(s) for s in shard])))
+    cover, docs, items = np.zeros(first[-1] + 1, np.int64), [], []
+    texts, where = [], []
     gap = len(phrases.vocabulary) + 1  # between stretches; no phrase has it
     for d, symbols in enumerate(shard):
         room = phrases.room(symbols)
         if room.any():
             edge = np.flatnonzero(np.diff(np.concatenate(([0], room.astype(np.int8), [0]))))
-            for a, b in zip(edge[::2], edge[1::2], strict=True):
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                 texts += [symbols[a:b], [gap]]
-                where.append((d, a, b))
+                where.append((d, first[d] + a, b - a + 1))
     if where:
         index = FMIndex(np.where((t := np.concatenate(texts)) == 0, gap, t), gap + 1)
-        docs, begins = np.array([w[0] for w in where]), np.array([w[1] for w in where])
-        offsets = np.concatenate(([0], np.cumsum([w[2] - w[1] + 1 for w in where])))
-        for n, rows in phrases.by_length.items():
+        of, begins, lengths = map(np.array, zip(*where, strict=True))
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        for n, rows, owners in phrases.blocks(block):
             lo, hi = index.search(rows)
             count = hi - lo
             which = np.repeat(np.arange(len(rows)), count)
             at = index.locate(np.repeat(lo, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count))
             stretch = np.searchsorted(offsets, at, side="right") - 1
             start = begins[stretch] + at - offsets[stretch]
-            for d, s, p in zip(docs[stretch], start, which, strict=True):
-                hit[d][s : s + n] = True
-                items[d].update(phrases.items[n][p])
-    return list(zip(hit, items, strict=True))
+            cover += np.bincount(start, minlength=len(cover)) - np.bincount(start + n, minlength=len(cover))
+            both = np.unique(of[stretch] * len(phrases.names) + owners[which])
+            docs.append(both // len(phrases.names))
+            items.append(both % len(phrases.names))
+    pairs = np.concatenate(docs) if docs else np.empty(0, np.int64), np.concatenate(items) if items else np.empty(0, np.int64)
+    return np.cumsum(cover)[:-1] > 0, *pairs
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, bytes | None]]]:
-    block, size, any_yet = [], 0, False
+def _groups(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items and their words; one group at least, of about ``most`` words."""
+    group, size, known, any_yet = [], 0, set(), False
     rows = benchmark.select(col(item_col).cast("string").alias("item"), col(text_col).cast("binary").alias("text"))
     for r in rows.toLocalIterator():
-        text = None if r.text is None else bytes(r.text)
-        block.append(("" if r.item is None else r.item, text))
-        size += len(words(text))
-        if size >= block_words:
-            yield block
-            block, size, any_yet = [], 0, True
-    if block or not any_yet:
-        yield block
-
-
-def found_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+        w = words(None if r.text is None else bytes(r.text))
+        group.append(("" if r.item is None else r.item, w))
+        size += len(w)
+        known.update(w)
+        if size >= most or len(known) >= GROUP_VOCABULARY:
+            yield group
+            group, size, known, any_yet = [], 0, set(), True
+    if group or not any_yet:
+        yield group
+
+
+def found_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW, group_words: int = GROUP_WORDS, block: int = BLOCK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with n_words, spans (merged word ranges [start, end) to remove) and items (ids as strings, sorted).
 
     The names get underscores before them where ``docs`` has such columns. Null texts have no words. A benchmark
     item of fewer words than the window is one phrase; an item without words is none. Rows are judged one by one:
-    ids may be null or repeated. A benchmark of more than ``block_words`` words is searched block by block.
+    ids may be null or repeated. Blocks of phrases are searched within one pass over the texts; only a benchmark of
+    more than ``group_words`` words takes several passes.
     """
     names = free_names(docs.columns, "n_words", "spans", "items")
     out = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.array().cast("array<struct<start:long,end:long>>").alias(names[1]), F.array().cast("array<string>").alias(names[2]))
     schema = out.schema
     for f in schema.fields:
         f.nullable = True
-    for block in _blocks(benchmark, item_col, bench_text, block_words):
-        out = map_arrow(out, _scan(Phrases.of(block, window), docs.columns.index(text_col), len(docs.columns)), schema)
+    for number, group in enumerate(_groups(benchmark, item_col, bench_text, group_words)):
+        shipped = docs.sparkSession.sparkContext.broadcast(Phrases.of(group, window))
+        out = map_arrow(written(out, "benchmark-hits") if number else out, _scan(shipped, docs.columns.index(text_col), len(docs.columns), block, shard_bytes), schema)
     return out
 
 
-def _scan(phrases: Phrases | None, text_at: int, width: int):
-    get = {} if phrases is None else phrases.vocabulary
-
+def _scan(shipped, text_at: int, width: int, block: int, shard_bytes: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases: Phrases | None = shipped.value
+        get = {}.get if phrases is None else phrases.vocabulary.get
+        held, shard, size = [], [], 0
         for b in batches:
-            shard, begin, size = [], 0, 0
-            texts = b.column(text_at).cast(pa.binary())
-            for i in range(b.num_rows):
-                w = words(texts[i].as_py())
-                shard.append(np.array([get.get(x, 0) for x in w], np.int64))
-                size += len(w)
-                if size >= SHARD_SYMBOLS * 4 or i == b.num_rows - 1:
-                    yield closed(b.slice(begin, i + 1 - begin), shard)
-                    shard, begin, size = [], i + 1, 0
-
-    def closed(rows: pa.RecordBatch, shard: list[np.ndarray]) -> pa.RecordBatch:
-        found = _search(shard, phrases) if phrases else [(np.zeros(len(s), bool), set()) for s in shard]
-        spans, items = [], []
-        for (hit, names), old, before in zip(found, rows.column(width + 1), rows.column(width + 2), strict=True):
-            for s in old.as_py() or ():  # what earlier blocks found
-                hit[s["start"] : s["end"]] = True
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-            spans.append([{"start": int(a), "end": int(e)} for a, e in zip(edge[::2], edge[1::2], strict=True)])
-            items.append(sorted(names.union(before.as_py() or ())))
-        made = [pa.array([len(s) for s in shard], pa.int64()), pa.array(spans, rows.schema.field(width + 1).type), pa.array(items, rows.schema.field(width + 2).type)]
-        return pa.RecordBatch.from_arrays([*rows.columns[:width], *made], names=rows.schema.names)
+            begin = 0
+            for i, text in enumerate(b.column(text_at).cast(pa.binary())):
+                raw = text.as_py()
+                parts = [np.array([get(x, 0) for x in words(part)], np.int32) for part in stretches(raw)]
+                shard.append(np.concatenate(parts) if parts else np.empty(0, np.int32))
+                size += len(raw or b"")
+                if size >= shard_bytes:
+                    held.append(b.slice(begin, i + 1 - begin))
+                    yield from closed(held, shard, phrases)
+                    held, shard, size, begin = [], [], 0, i + 1
+            if begin < b.num_rows:
+                held.append(b.slice(begin))
+        yield from closed(held, shard, phrases)
+
+    def closed(held: list[pa.RecordBatch], shard: list[np.ndarray], phrases: Phrases | None) -> Iterator[pa.RecordBatch]:
+        """The rows of a shard with what is found in it, and what earlier groups of items found."""
+        if phrases is not None:
+            hit, docs, items = _search(shard, phrases, block)
+        else:
+            hit, docs, items = np.zeros(sum(map(len, shard)), bool), np.empty(0, np.int64), np.empty(0, np.int64)
+        of: dict[int, set[str]] = {}
+        for d, i in zip(docs.tolist(), items.tolist(), strict=True):
+            of.setdefault(d, set()).add(phrases.names[i])
+        d, at = 0, 0
+        for rows in held:
+            spans, names, counts = [], [], []
+            for old, before in zip(rows.column(width + 1), rows.column(width + 2), strict=True):
+                own = hit[at : at + len(shard[d])]
+                for s in old.as_py() or ():
+                    own[s["start"] : s["end"]] = True
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0])))).tolist() if own.any() else []
+                spans.append([{"start": a, "end": e} for a, e in zip(edge[::2], edge[1::2], strict=True)])
+                names.append(sorted(of.get(d, set()).union(before.as_py() or ())))
+                counts.append(len(own))
+                d, at = d + 1, at + len(own)
+            made = [pa.array(counts, pa.int64()), pa.array(spans, rows.schema.field(width + 1).type), pa.array(names, rows.schema.field(width + 2).type)]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:width], *made], names=rows.schema.names)
 
     return scan
 
