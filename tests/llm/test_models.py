@@ -169,18 +169,18 @@ def brute_counts(sequences, a, emit, start):
     return emissions, moves, first, total
 
 
-@pytest.mark.parametrize("stretch", [1024, 5])
-def test_expected_counts(monkeypatch, stretch):
+@pytest.mark.parametrize(("stretch", "group"), [(1024, 150_000), (5, 150_000), (5, 12), (3, 1)])
+def test_expected_counts(monkeypatch, stretch, group):
     monkeypatch.setattr(hmm, "STRETCH", stretch)
+    monkeypatch.setattr(hmm, "GROUP", group)
     rng = np.random.default_rng(8)
     model = hmm.Model.begin(np.full(6, 1 / 6), 3)
     seqs = [rng.integers(0, 6, n) for n in (1, 4, 17, 5, 10, 23)]
-    group = hmm.Group(seqs)
-    got, want = group.expected(model.moves, model.emit, model.start), brute_counts(seqs, model.moves, model.emit, model.start)
+    some = hmm.Sequences(seqs)
+    got, want = some.expected(model.moves, model.emit, model.start), brute_counts(seqs, model.moves, model.emit, model.start)
     for x, y in zip(got, want, strict=True):
         assert np.allclose(x, y)
-    before, _ = group.ends(model.moves, model.emit, model.start)
-    each = group.likelihoods(group.forward(model.moves, model.emit, before)[1])
+    each = some.likelihoods(model.moves, model.emit, model.start)
     assert np.allclose(each, [brute_counts([s], model.moves, model.emit, model.start)[3] for s in seqs])
 
 
@@ -210,6 +210,41 @@ def test_scores(spark, small):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) - 1e-9
 
 
+def test_whole_score_by_hand(spark):
+    """The model's score of every text from plain forward matrices, shapes and counts, with all tokens as symbols by hand."""
+    rng = np.random.default_rng(3)
+    often, rows = [f"w{i}" for i in range(12)], []
+    for i in range(60):
+        rows.append((i, " ".join([*rng.choice(often, rng.integers(0, 30)), *([f"once{i}"] if i % 3 else []), *(["Once7,"] if i == 7 else [])])))
+    rows += [(100, None), (101, "UNKNOWN w1 \u00fc!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(w for i, t in rows if not held(i) for w in naive_tokens(t))
+    n = sum(counts.values())
+    own = [w for w in sorted(counts, key=lambda w: (-counts[w], w)) if w != hmm.END and counts[w] >= max(1, -(-n // hmm.OWN))]
+    classes = [[w for w in counts if w != hmm.END and w not in own and hmm.shape(w) == k] for k in range(hmm.CLASSES)]
+    place = {hmm.END: 0, **{w: k + 1 for k, w in enumerate(own)}}
+    symbol = lambda w: place[w] if w in place else 1 + len(own) + hmm.shape(w)
+    frequency = np.array([counts[hmm.END], *(counts[w] for w in own), *(sum(counts[w] for w in c) for c in classes)]) + 1.0
+    model = hmm.Model.begin(frequency / frequency.sum(), hmm.STATES)
+    train = [[symbol(w) for w in naive_tokens(t)] for i, t in rows if not held(i)]
+    for _ in range(hmm.ROUNDS):
+        e, m, f, _ = brute_counts(train, model.moves, model.emit, model.start)
+        model = hmm.Model.next(e, m, f, frequency / frequency.sum())
+    got = {r.doc_id: r.score for r in hmm.score_texts(docs).collect()}
+    for i, t in rows:
+        w = naive_tokens(t)
+        states = brute_counts([[symbol(x) for x in w]], model.moves, model.emit, model.start)[3] / math.log(10)
+        inside = sum(math.log10((counts[x] + 1) / (sum(counts[y] for y in classes[hmm.shape(x)]) + len(classes[hmm.shape(x)]) + 1)) for x in w if x not in place)
+        assert got[i] == pytest.approx(states + inside, rel=1e-6), i
+
+
+def test_gain_over_the_base(spark):
+    """On held-out texts the states are worth at least a twentieth of a decimal digit a token."""
+    got = hmm.score_texts(documents(spark, "/root/testdata/sf0.1")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (got.s - got.b) / got.n > 0.05
+
+
 def test_probabilities_of_words_sum_to_one(spark):
     """Every sequence of symbols ends; over one step, all known words and one new word of each class have at most all chance."""
     model = hmm.Model.begin(np.array([0.2, 0.3, 0.5]), 2)
@@ -224,7 +259,7 @@ def test_probabilities_of_words_sum_to_one(spark):
 def test_training_raises_the_likelihood(spark, small):
     rows = [tuple(len(w) % 5 for w in (r.text or "").split()[:200]) + (5,) for r in documents(spark, small).limit(40).collect()]
     df = spark.createDataFrame([(bytearray(np.array(r, np.uint16).tobytes()),) for r in rows], "symbols binary")
-    group, frequency = hmm.Group([np.array(r) for r in rows]), np.full(6, 1 / 6)
+    group, frequency = hmm.Sequences([np.array(r) for r in rows]), np.full(6, 1 / 6)
     lls = []
     for rounds in (0, 1, 4):
         m = hmm.train(df, 6, frequency, 3, rounds)

@@ -2,7 +2,7 @@
 
 Frequent words are symbols of their own, all others are drawn within a class of their shape, with add-one
 estimates. Baum-Welch counts are summed over partitions in each round; the scaled forward recursion gives the exact
-likelihood of a text. Counts of all training words are gathered; those of rare words meet their texts in a shuffle,
+likelihood of a text, a very long one in parts that are chained exactly. Counts of all training words are gathered; those of rare words meet their texts in a shuffle,
 those of frequent words (whose number has a proven bound) are shipped, so that no join key is hot.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, written
+from .common import ROWS, col, in_arrow, stretches, written
 
 STATES, ROUNDS = 8, 3
 #: A word with at least one in so many training tokens is frequent (so there are at most that many frequent words);
@@ -26,17 +26,20 @@ STATES, ROUNDS = 8, 3
 FREQUENT, OWN = 500_000, 20_000
 #: Longest stretch of a sequence that is stepped through at once; longer ones are cut and their parts chained exactly.
 STRETCH = 1024
-#: Tokens whose state probabilities a task holds at once (but for one longer text).
-GROUP = 400_000
+#: Tokens whose state probabilities a task holds at once.
+GROUP = 150_000
+#: Tokens whose symbols a task holds at once (but for one longer text).
+HELD_TOKENS = 600_000
 #: Words that a task counts before it hands them on.
-HELD_WORDS = 400_000
+HELD_WORDS = 150_000
 END = b" "  # no word has a space
 CLASSES = 8
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of the text with A-Z in lower case, then one end."""
-    return [*(text or b"").lower().split(), END]
+def words_of(text: bytes | None) -> Iterator[list[bytes]]:
+    """Words of the text with A-Z in lower case, a stretch of it at a time."""
+    for part in stretches(text):
+        yield part.lower().split()
 
 
 def shape(word: bytes) -> int:
@@ -59,13 +62,15 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
         for b in batches:
             for t in b.column(0):
-                seen.update(tokens(t.as_py()))
-                if len(seen) > HELD_WORDS:
-                    yield out()
-                    seen.clear()
+                for w in words_of(t.as_py()):
+                    seen.update(w)
+                    if len(seen) > HELD_WORDS:
+                        yield out()
+                        seen.clear()
+                seen[END] += 1
         yield out()
 
-    partial = texts.mapInArrow(count, "token binary, c long")
+    partial = in_arrow(texts, count, "token binary, c long")
     return written(partial.groupBy("token").agg(F.sum("c").alias("c")), "token-counts")
 
 
@@ -106,7 +111,7 @@ class Vocabulary:
         rest = counts.where(F.col("token") != F.lit(END))
         rest = rest.where(F.col("c") < least) if least is not None else rest
         n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for x in rest.mapInArrow(classes, "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        for x in in_arrow(rest, classes, "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
             n[x["class"]], v[x["class"]] = x.n, x.v
         return cls(words, c, own, int(r.n), int(r.v), n, v, need)
 
@@ -122,6 +127,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, ends: int, id_col: str, tex
     log_class = np.log10(vocabulary.class_total + vocabulary.class_distinct + 1.0)
     end_log, end_known = math.log10(ends + 1), int(ends > 0)
 
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rare_type]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = shipped.value
         place = {w: i for i, w in enumerate(words)}
@@ -133,35 +140,35 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, ends: int, id_col: str, tex
         inside[own:-1] -= log_class[kind[own:-1] - first_class]
         get = place.get
         for b in batches:
-            rows = []
+            rows, made = [], []
             for text in b.column(3):
-                found = tokens(text.as_py())[:-1]
-                at = np.fromiter([get(w, -1) for w in found], np.int64, len(found))
-                symbols, other = kind[at], np.flatnonzero(at < 0)
-                rare = [found[i] for i in other.tolist()]
-                shapes = np.fromiter(map(shape, rare), np.int64, len(rare))
-                symbols[other] = first_class + shapes
-                known = len(found) - len(rare) + end_known
-                within = float(inside[at].sum() - log_class[shapes].sum())
-                counted = [{"token": w, "n": n} for w, n in Counter(rare).items()]
-                rows.append((len(found) + 1, known, float(log_c[at].sum()) + end_log, within, np.append(symbols, 0).astype(np.uint16).tobytes(), counted))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rare_type]
-            made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+                n, known, base, within, parts, others = 1, end_known, end_log, 0.0, [], Counter()
+                for found in words_of(text.as_py()):
+                    at = np.fromiter([get(w, -1) for w in found], np.int64, len(found))
+                    symbols, other = kind[at], np.flatnonzero(at < 0)
+                    rare = [found[i] for i in other.tolist()]
+                    shapes = np.fromiter(map(shape, rare), np.int64, len(rare))
+                    symbols[other] = first_class + shapes
+                    n, known = n + len(found), known + len(found) - len(rare)
+                    base, within = base + float(log_c[at].sum()), within + float(inside[at].sum() - log_class[shapes].sum())
+                    parts.append(symbols.astype(np.uint16).tobytes())
+                    others.update(rare)
+                counted = [{"token": w, "n": c} for w, c in others.items()]
+                rows.append((n, known, base, within, b"".join([*parts, bytes(2)]), counted))
+                if len(rows) == ROWS:
+                    made.append([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)])
+                    rows = []
+            made.append([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)])
+            made = [pa.concat_arrays([m[i] for m in made]) for i in range(len(kinds))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], ["uid", "doc_id", "held_out", "n_tokens", "known", "log_c", "log_in", "symbols", "rare"])
 
-    return written(src.mapInArrow(scan, schema), "sequences")
+    return written(in_arrow(src, scan, schema), "sequences")
 
 
 class Group:
-    """Sequences of a task, cut into stretches and laid out by time: step t of all stretches that reach it together."""
+    """Stretches of sequences, laid out by time: step t of all stretches that reach it together."""
 
-    def __init__(self, sequences: list[np.ndarray]):
-        parts, self.owner = [], []
-        for d, s in enumerate(sequences):
-            for i in range(0, len(s), STRETCH):
-                parts.append(s[i : i + STRETCH])
-                self.owner.append(d)
-        self.owner, self.docs = np.array(self.owner), len(sequences)
+    def __init__(self, parts: list[np.ndarray]):
         lengths = np.array([len(p) for p in parts])
         self.order = np.argsort(-lengths, kind="stable")
         lengths = lengths[self.order]
@@ -172,41 +179,22 @@ class Group:
         step = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.symbols = np.empty(len(row), np.int64)
         self.symbols[self.offset[step] + row] = np.concatenate([parts[i] for i in self.order])
-        self.last = self.offset[lengths - 1] + np.arange(len(lengths))
-        self.cut = np.flatnonzero(np.bincount(self.owner)[self.owner] > 1)  # stretches of longer sequences, in order
 
     def steps(self):
         return zip(self.active, self.offset[:-1], strict=True)
 
-    def ends(self, a: np.ndarray, emit: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """State before each stretch (row vectors) and what comes after it (column vectors), each up to a factor.
-
-        For cut sequences the product of all step matrices of a stretch is made, and the products are chained.
-        """
-        before, after = np.tile(start, (len(self.owner), 1)), np.ones((len(self.owner), len(start)))
-        if len(self.cut):
-            rows = np.sort(self.row_of[self.cut])
-            s, whole = len(start), np.tile(np.eye(len(start)), (len(rows), 1, 1))
-            for n, offset in self.steps():
-                k = np.searchsorted(rows, n)
-                if not k:
-                    break
-                x = (whole[:k].reshape(-1, s) @ a).reshape(k, s, s) * emit[self.symbols[offset + rows[:k]]][:, None, :]
-                whole[:k] = x / x.max(axis=(1, 2), keepdims=True)
-            at = np.searchsorted(rows, self.row_of[self.cut])
-            for i, k in zip(self.cut[1:], at[:-1], strict=True):
-                if self.owner[i] == self.owner[i - 1]:
-                    v = before[self.row_of[i - 1]] @ whole[k]
-                    before[self.row_of[i]] = v / v.sum()
-            for i, k in zip(self.cut[-2::-1], at[:0:-1], strict=True):
-                if self.owner[i] == self.owner[i + 1]:
-                    v = whole[k] @ after[self.row_of[i + 1]]
-                    after[self.row_of[i]] = v / v.sum()
-        return before, after
+    def products(self, a: np.ndarray, emit: np.ndarray) -> np.ndarray:
+        """The product of all step matrices of each stretch, up to a factor."""
+        s = len(a)
+        whole = np.tile(np.eye(s), (len(self.order), 1, 1))
+        for n, offset in self.steps():
+            x = (whole[:n].reshape(-1, s) @ a).reshape(n, s, s) * emit[self.symbols[offset : offset + n]][:, None, :]
+            whole[:n] = x / x.max(axis=(1, 2), keepdims=True)
+        return whole[self.row_of]
 
     def forward(self, a: np.ndarray, emit: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled state probabilities after every token, and the scales."""
-        alpha, scale, now = np.empty((len(self.symbols), len(a))), np.empty(len(self.symbols)), before
+        """Scaled state probabilities after every token, and the scales; before: of each stretch."""
+        alpha, scale, now = np.empty((len(self.symbols), len(a))), np.empty(len(self.symbols)), before[self.order]
         for n, offset in self.steps():
             x = (now[:n] @ a) * emit[self.symbols[offset : offset + n]]
             total = x.sum(axis=1)
@@ -215,51 +203,109 @@ class Group:
         return alpha, scale
 
     def likelihoods(self, scale: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the likelihood of each sequence."""
+        """Natural logarithm of the likelihood of each stretch, given what is before it."""
         row = np.concatenate([np.arange(n) for n in self.active])
-        return np.bincount(self.owner[self.order[row]], np.log(scale), self.docs)
+        return np.bincount(row, np.log(scale), len(self.order))[self.row_of]
 
-    def expected(self, a: np.ndarray, emit: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Baum-Welch counts: of emissions (symbols x states), transitions and first states, and the log-likelihood."""
-        before, after = self.ends(a, emit, start)
+    def expected(self, a: np.ndarray, emit: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Baum-Welch counts: of emissions (symbols x states) and transitions, states before each stretch, log-likelihood."""
         alpha, scale = self.forward(a, emit, before)
         states, steps = len(a), list(self.steps())
         weighted = np.empty_like(alpha)  # emission times what comes after, divided by the likelihood of the token's row
         past = np.empty_like(alpha)
-        later, first = after.copy(), np.zeros(states)
+        first, later = before[self.order], after[self.order]
         for t in range(len(steps) - 1, -1, -1):
             n, offset = steps[t]
             here, b = alpha[offset : offset + n], later[:n]
             w = emit[self.symbols[offset : offset + n]] * b
-            past[offset : offset + n] = alpha[steps[t - 1][1] : steps[t - 1][1] + n] if t else before[:n]
+            past[offset : offset + n] = alpha[steps[t - 1][1] : steps[t - 1][1] + n] if t else first[:n]
             weighted[offset : offset + n] = w / (scale[offset : offset + n] * (here * b).sum(axis=1))[:, None]
             v = w @ a.T
             later[:n] = v / v.sum(axis=1, keepdims=True)
         # gamma of a token: probability of its state given the whole text
         gamma = (past @ a) * weighted
         emissions = np.stack([np.bincount(self.symbols, gamma[:, s], len(emit)) for s in range(states)], axis=1)
-        moves = a * (past.T @ weighted)
-        opening = np.concatenate(([True], self.owner[1:] != self.owner[:-1]))
-        rows = self.row_of[opening]
-        g = before[rows] * later[rows]
-        first += (g / g.sum(axis=1, keepdims=True)).sum(axis=0)
-        return emissions, moves, first, float(np.log(scale).sum())
+        g = first * later
+        return emissions, a * (past.T @ weighted), (g / g.sum(axis=1, keepdims=True))[self.row_of], float(np.log(scale).sum())
+
 
+class Sequences:
+    """Sequences of a task, cut into stretches of a bounded length; only a group of those is worked on at a time."""
 
-def groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[Group, list]]:
-    """Groups of the sequences of a task, with their first column's values."""
+    def __init__(self, sequences: list[np.ndarray]):
+        self.parts = [s[i : i + STRETCH] for s in sequences for i in range(0, len(s), STRETCH)]
+        self.owner = np.repeat(np.arange(len(sequences)), [-(-len(s) // STRETCH) for s in sequences])
+        self.docs = len(sequences)
+        self.cut = np.flatnonzero(np.bincount(self.owner, minlength=self.docs)[self.owner] > 1)  # stretches of longer sequences, in order
+
+    def groups(self, which: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, Group]]:
+        """Numbers of stretches and their group; stretches of like length go together."""
+        lengths = np.array([len(p) for p in self.parts])
+        which = np.arange(len(lengths)) if which is None else which
+        which = which[np.argsort(-lengths[which], kind="stable")]
+        turn = np.cumsum(lengths[which]) // GROUP
+        for part in np.split(which, np.flatnonzero(np.diff(turn)) + 1):
+            if len(part):
+                yield part, Group([self.parts[i] for i in part])
+
+    def ends(self, a: np.ndarray, emit: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State before each stretch (row vectors) and what comes after it (column vectors), each up to a factor.
+
+        For cut sequences the product of all step matrices of a stretch is made, and the products are chained.
+        """
+        before, after = np.tile(start, (len(self.parts), 1)), np.ones((len(self.parts), len(start)))
+        if len(self.cut):
+            place = np.searchsorted(self.cut, np.arange(len(self.parts)))
+            whole = np.empty((len(self.cut), len(a), len(a)))
+            for which, group in self.groups(self.cut):
+                whole[place[which]] = group.products(a, emit)
+            for k, i in enumerate(self.cut[1:].tolist(), 1):
+                if self.owner[i] == self.owner[i - 1]:
+                    v = before[i - 1] @ whole[k - 1]
+                    before[i] = v / v.sum()
+            for k in range(len(self.cut) - 2, -1, -1):
+                i = int(self.cut[k])
+                if self.owner[i] == self.owner[i + 1]:
+                    v = whole[k + 1] @ after[i + 1]
+                    after[i] = v / v.sum()
+        return before, after
+
+    def likelihoods(self, a: np.ndarray, emit: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the likelihood of each sequence."""
+        before, _ = self.ends(a, emit, start)
+        out = np.zeros(self.docs)
+        for which, group in self.groups():
+            out += np.bincount(self.owner[which], group.likelihoods(group.forward(a, emit, before[which])[1]), self.docs)
+        return out
+
+    def expected(self, a: np.ndarray, emit: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Baum-Welch counts: of emissions (symbols x states), transitions and first states, and the log-likelihood."""
+        before, after = self.ends(a, emit, start)
+        opening = np.concatenate(([True], self.owner[1:] != self.owner[:-1]))
+        emissions, moves, first, total = np.zeros_like(emit), np.zeros_like(a), np.zeros(len(a)), 0.0
+        for which, group in self.groups():
+            e, m, f, ll = group.expected(a, emit, before[which], after[which])
+            emissions += e
+            moves += m
+            first += f[opening[which]].sum(axis=0)
+            total += ll
+        return emissions, moves, first, total
+
+
+def held_sequences(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[Sequences, list]]:
+    """Sequences of a task, as many as it may hold, with their first column's values."""
     held, keys, size = [], [], 0
     for b in batches:
-        for key, s in zip(b.column(0), b.column(column), strict=True):
+        for key, s in zip(b.column(0) if column else [None] * b.num_rows, b.column(column), strict=True):
             seq = np.frombuffer(s.as_py(), np.uint16)
             held.append(seq)
-            keys.append(key.as_py())
+            keys.append(key.as_py() if column else None)
             size += len(seq)
-            if size >= GROUP:
-                yield Group(held), keys
+            if size >= HELD_TOKENS:
+                yield Sequences(held), keys
                 held, keys, size = [], [], 0
     if held:
-        yield Group(held), keys
+        yield Sequences(held), keys
 
 
 @dataclass
@@ -293,15 +339,15 @@ def train(sequences: DataFrame, symbols: int, frequency: np.ndarray, states: int
         def step(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             a, emit, start = shipped.value
             sums = np.zeros((symbols + states + 1, states))
-            for group, _ in groups(batches, 0):
-                e, m, f, _ll = group.expected(a, emit, start)
+            for some, _ in held_sequences(batches, 0):
+                e, m, f, _ll = some.expected(a, emit, start)
                 sums[:symbols] += e
                 sums[symbols : symbols + states] += m
                 sums[-1] += f
             at = np.flatnonzero(sums.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(sums[at, i]) for i in range(states))], ["at", *names])
 
-        rows = sequences.mapInArrow(step, "at int, " + ", ".join(f"{n} double" for n in names)).groupBy("at").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
+        rows = in_arrow(sequences, step, "at int, " + ", ".join(f"{n} double" for n in names)).groupBy("at").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
         sums = np.zeros((symbols + states + 1, states))
         sums[rows["at"].to_numpy()] = rows[names].to_numpy()
         model = Model.next(sums[:symbols], sums[symbols:-1], sums[-1], frequency)
@@ -328,12 +374,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, emit, start = shipped.value
-        for group, uids in groups(batches, 1):
-            before, _ = group.ends(a, emit, start)
-            ll = group.likelihoods(group.forward(a, emit, before)[1])
+        for some, uids in held_sequences(batches, 1):
+            ll = some.likelihoods(a, emit, start)
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ll / math.log(10))], ["uid", "log_states"])
 
-    of_states = seqs.select("uid", "symbols").mapInArrow(likelihood, "uid long, log_states double")
+    of_states = in_arrow(seqs.select("uid", "symbols"), likelihood, "uid long, log_states double")
     rare = seqs.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.token").alias("token"), F.col("r.n").alias("n"))
     # a word is rare, so that no key is hot; words that training lacks add nothing (c = 0)
     of_rare = rare.join(counts.where(F.col("c") < vocabulary.threshold), "token").groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"), F.sum("n").alias("rare_known"))
