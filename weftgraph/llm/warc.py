@@ -12,12 +12,13 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, new_folder
+from .common import col, hot_join, in_arrow, new_folder, values, written
 
 MARK = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -78,17 +79,28 @@ def segments(kind: str, record_id: str, block: bytes, size: int, **headers: obje
         yield record("continuation", f"{record_id}:{k}", block[at : at + size], WARC_Segment_Origin_ID=f"<{record_id}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=total)
 
 
+def _named(page: object) -> str:
+    """A page's id within a record's id: escaped, after a sign that no null has."""
+    return "" if page is None else "=" + quote(str(page), safe="")
+
+
+def _page(named: str) -> str | None:
+    return unquote(named[1:]) if named else None
+
+
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, digest, refers_to: what each record will be.
 
     Of equal payloads of at least ``min_bytes`` bytes the one with the smallest page_id is a response (and repeated
     rows of it), refers_to is null there; the others revisit it. Rows without page_id are responses. Payloads never
-    meet by their content: only digests and ids are grouped, and payloads are dealt by their own id.
+    meet by their content: only digests and ids are grouped, and payloads are dealt by their own id. A payload that a
+    large share of the pages has (an empty one) finds its response by broadcast. Ids may be strings with any signs.
     """
     rows = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), F.coalesce(col(html_col), F.lit("")).cast("binary").alias("payload"))
-    digests = rows.select("page_id", base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").alias("n")).where(F.col("page_id").isNotNull() & (F.col("n") >= min_bytes))
-    first = digests.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    again = digests.join(first, ["digest", "n"]).where("page_id > first").select("page_id", "digest", "first").distinct()
+    sized = rows.select("page_id", base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").alias("n")).where(F.col("page_id").isNotNull() & (F.col("n") >= min_bytes))
+    digests = written(sized.select("page_id", "digest", F.concat_ws(":", "digest", "n").alias("key")), "digests")
+    first = digests.groupBy("key").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("rows")).where("first < last")
+    again = hot_join(digests, written(first, "repeated-digests"), "key", "rows").where("page_id > first").select("page_id", "digest", "first").distinct()
     return rows.withColumn("digest", base32_sha1(F.col("payload"))).join(again, ["page_id", "digest"], "left").withColumnRenamed("first", "refers_to")
 
 
@@ -99,9 +111,9 @@ def write_archives(records: DataFrame, path: str, segment: int = SEGMENT, chunk:
         number = 0
         for b in batches:
             out = []
-            for page, url, payload, digest, first, task in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page, url, payload, digest, first, task in zip(*map(values, b.columns), strict=True):
                 number += 1
-                rid = f"urn:x-page:{'' if page is None else page}:{task}-{number}"
+                rid = f"urn:x-page:{_named(page)}:{task}-{number}"
                 uri = re.sub(r"[\r\n]+", " ", url or "")
                 shared = {"WARC_Target_URI": uri or None, "WARC_Payload_Digest": f"sha1:{digest}"}
                 if first is None:
@@ -109,62 +121,67 @@ def write_archives(records: DataFrame, path: str, segment: int = SEGMENT, chunk:
                     out += segments("response", rid, head + chunked(payload, chunk), segment, Content_Type="application/http;msgtype=response", **shared)
                 else:
                     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-                    out.append(record("revisit", rid, head, Content_Type="application/http;msgtype=response", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<urn:x-page:{first}>", **shared))
+                    out.append(record("revisit", rid, head, Content_Type="application/http;msgtype=response", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<urn:x-page:{_named(first)}>", **shared))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     rows = records.select("page_id", "url", "payload", "digest", "refers_to", F.spark_partition_id().alias("task"))
-    lines = rows.mapInArrow(scan, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = in_arrow(rows, scan, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 _RAW = "id string, type string, page string, refers string, digest string, origin string, number int, total long, block binary"
 
 
-def _parsed(raw: bytes) -> tuple | None:
-    """A record's fields and block, None if the block isn't whole yet."""
-    head, sep, rest = raw.partition(b"\r\n\r\n")
+def _header(raw: bytes) -> tuple[dict[str, str], int, int] | None:
+    """A record's fields, where its block begins, and the block's length; None if the header isn't whole yet."""
+    end = raw.find(b"\r\n\r\n")
+    if end < 0:
+        return None
     fields = {}
-    for line in head.decode("utf-8", "replace").split("\r\n"):
+    for line in raw[:end].decode("utf-8", "replace").split("\r\n"):
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    length = int(fields.get("content-length", "0"))
-    if not sep or len(rest) < length:
-        return None
+    return fields, end + 4, int(fields.get("content-length", "0"))
+
+
+def _record(fields: dict[str, str], block: bytes) -> tuple:
     rid = fields.get("warc-record-id", "").strip("<>")
     number = fields.get("warc-segment-number")
     total = fields.get("warc-segment-total-length")
     origin = fields.get("warc-segment-origin-id", "").strip("<>") or (rid if number else None)
-    page = rid.split(":")[2] if rid.startswith("urn:x-page:") else ""
-    refers = fields.get("warc-refers-to", "").strip("<>").removeprefix("urn:x-page:") or None
+    page = _page(rid.split(":")[2]) if rid.startswith("urn:x-page:") else None
+    refers = _page(fields.get("warc-refers-to", "").strip("<>").removeprefix("urn:x-page:"))
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
-    return rid, fields.get("warc-type"), page or None, refers, digest, origin, number and int(number), total and int(total), rest[:length]
+    return rid, fields.get("warc-type"), page, refers, digest, origin, number and int(number), total and int(total), block
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record under ``path``. A block may hold the records' mark: pieces are put together until it is whole."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun: bytes | None = None
+        pieces: list[bytes] = []  # of a record that isn't whole yet
+        size, head = 0, None
         for b in batches:
             out = []
-            for raw in b.column(0).to_pylist():
-                if begun is not None:
-                    raw = begun + MARK.encode() + raw
-                    begun = None
-                elif not raw.strip():
+            for raw in values(b.column(0)):
+                if not pieces and not raw.strip():
                     continue
-                found = _parsed(raw)
-                if found is None:
-                    begun = raw
-                else:
-                    out.append(found)
+                pieces += [MARK.encode(), raw] if pieces else [raw]
+                size += len(raw) + (len(MARK) if len(pieces) > 1 else 0)
+                if head is None:
+                    pieces = [b"".join(pieces)]
+                    head = _header(pieces[0])
+                if head is not None and size >= head[1] + head[2]:
+                    fields, begin, length = head
+                    out.append(_record(fields, b"".join(pieces)[begin : begin + length]))
+                    pieces, size, head = [], 0, None
             kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in _RAW.split(", ")])
-        if begun is not None:
+        if pieces:
             raise ValueError("an archive ends within a record")
 
     lines = spark.read.option("lineSep", MARK).text(path)
-    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(scan, _RAW)
+    return in_arrow(lines.select(F.col("value").cast("binary").alias("value")), scan, _RAW)
 
 
 def reassembled(records: DataFrame) -> DataFrame:
@@ -197,7 +214,7 @@ def payloads(records: DataFrame, id_type: str = "long") -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for kind, page, refers, digest, block in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for kind, page, refers, digest, block in zip(*(values(b.column(i)) for i in range(5)), strict=True):
                 head, _, body = block.partition(b"\r\n\r\n")
                 head = head.lower()
                 if kind == "revisit":
@@ -212,7 +229,7 @@ def payloads(records: DataFrame, id_type: str = "long") -> DataFrame:
             kinds = [pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["page", "payload", "payload_bytes", "payload_digest", "record_type", "refers"])
 
-    made = records.select("type", "page", "refers", "digest", "block").mapInArrow(scan, "page string, payload binary, payload_bytes long, payload_digest string, record_type string, refers string")
+    made = in_arrow(records.select("type", "page", "refers", "digest", "block"), scan, "page string, payload binary, payload_bytes long, payload_digest string, record_type string, refers string")
     return made.select(F.col("page").cast(id_type).alias("page_id"), "payload", "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(id_type).alias("refers_to"))
 
 
