@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, written
+from .common import col, in_arrow, values, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -28,6 +28,7 @@ HEX = re.compile(r"[0-9a-f]{24,}", re.ASCII)
 #: Shortest value of an assignment; shortest candidate of the battery.
 VALUE, SHORTEST = 6, 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SHORTEST, re.ASCII)
+_SYMBOLS = re.compile(r"[A-Za-z0-9+/_-]+", re.ASCII)
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Alphabets from the smallest, in the order of their symbols' values.
 ALPHABETS = (
@@ -103,50 +104,61 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def symbol_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often each ASCII byte is in the texts of all rows. The driver gets 128 sums a task, added up by Spark."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for b in batches:
-            for t in b.column(0):
-                if t.is_valid:
-                    total += np.bincount(np.frombuffer(t.as_buffer(), np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(range(128), pa.int32()), pa.array(total[:128])], ["code", "n"])
-
+def symbol_frequencies(found: DataFrame) -> np.ndarray:
+    """How often each ASCII byte is in the texts of all rows, from ``candidates``. The driver gets 128 sums."""
     out = np.zeros(128, np.int64)
-    for r in docs.select(col(text_col).cast("binary").alias("t")).mapInArrow(scan, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for r in found.where("symbols is not null").select(F.posexplode("symbols").alias("code", "n")).groupBy("code").agg(F.sum("n").alias("n")).collect():
         out[r.code] = r.n
     return out
 
 
-_FOUND = "array<struct<start:int,end:int,encoding:int,x2:double,p_random:double>>"
+def _apart(base: list[tuple[int, int, int]], spans: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those spans that overlap none of ``base``; both in the order of their starts, so that one pass does."""
+    at, far = 0, 0  # far: where the base spans that begin before this one end at the latest
+    for s, e in spans:
+        while at < len(base) and base[at][0] < e:
+            far = max(far, base[at][2])
+            at += 1
+        if far <= s:
+            yield s, e
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base (spans of the fixed patterns) and found (candidates that overlap none, with their statistics)."""
+    """doc_id, base (spans of the fixed patterns, and how random the battery finds what they hold), found (candidates that overlap none, with their statistics), symbols.
+
+    A last row of each task has symbols: how often each ASCII byte is in its texts. Others have a null there.
+    """
     src = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, base array<struct<start:int,kind:int,end:int>>, found {_FOUND}"
-    base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, base array<struct<start:int,kind:int,end:int,p_random:double>>, found array<struct<start:int,end:int,encoding:int,x2:double,p_random:double>>, symbols array<long>"
+    base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("p_random", pa.float64())]))
     found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.int32()), ("x2", pa.float64()), ("p_random", pa.float64())]))
+    names = ["doc_id", "base", "found", "symbols"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kind = np.zeros(256, np.int64), None
         for b in batches:
-            bases, founds = [], []
-            for text in b.column(1).to_pylist():
+            bases, founds, kind = [], [], b.column(0).type
+            for text in values(b.column(1)):
                 text = text or ""
+                total += np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
                 base = base_spans(text)
                 found = []
-                for m in CANDIDATE.finditer(text):
-                    s, e = m.span()
-                    if all(e <= a or z <= s for a, _, z in base):
-                        encoding, x2, p = battery(m.group())
-                        found.append({"start": s, "end": e, "encoding": encoding, "x2": x2, "p_random": p})
-                bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
+                for s, e in _apart(base, (m.span() for m in CANDIDATE.finditer(text))):
+                    encoding, x2, p = battery(text[s:e])
+                    found.append({"start": s, "end": e, "encoding": encoding, "x2": x2, "p_random": p})
+                bases.append([{"start": s, "kind": k, "end": e, "p_random": _how_random(text[s:e])} for s, k, e in base])
                 founds.append(found)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bases, base_type), pa.array(founds, found_type)], ["doc_id", "base", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bases, base_type), pa.array(founds, found_type), pa.nulls(b.num_rows, pa.list_(pa.int64()))], names)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([[]], base_type), pa.array([[]], found_type), pa.array([total[:128].tolist()], pa.list_(pa.int64()))], names)
+
+    return in_arrow(src, scan, schema)
+
 
-    return src.mapInArrow(scan, schema)
+def _how_random(span: str) -> float | None:
+    """The battery's p-value of the last run of key symbols in a span, null where there is none."""
+    runs = _SYMBOLS.findall(span)
+    return battery(runs[-1])[2] if runs else None
 
 
 def _bin(p: float) -> int:
@@ -163,7 +175,7 @@ def thresholds(found: DataFrame, frequencies: np.ndarray) -> dict[tuple[int, int
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int, int], int] = {}
         for b in batches:
-            for row in b.column(0).to_pylist():
+            for row in values(b.column(0)):
                 for c in row or ():
                     n = c["end"] - c["start"]
                     at = _bin(ordinary_p(c["encoding"], n, c["x2"], frequencies)) if c["p_random"] >= ALPHA else 0
@@ -172,7 +184,7 @@ def thresholds(found: DataFrame, frequencies: np.ndarray) -> dict[tuple[int, int
         rows = list(counts.items())
         yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k, _ in rows], pa.int32()) for i in range(3)), pa.array([n for _, n in rows], pa.int64())], ["encoding", "length", "bin", "n"])
 
-    rows = found.select("found").mapInArrow(scan, "encoding int, length int, bin int, n long").groupBy("encoding", "length", "bin").agg(F.sum("n").alias("n")).collect()
+    rows = in_arrow(found.select("found"), scan, "encoding int, length int, bin int, n long").groupBy("encoding", "length", "bin").agg(F.sum("n").alias("n")).collect()
     out = {}
     for key in {(r.encoding, r.length) for r in rows}:
         hist = np.zeros(BINS, np.int64)
@@ -188,24 +200,24 @@ def thresholds(found: DataFrame, frequencies: np.ndarray) -> dict[tuple[int, int
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random of each row.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, base_p_random of each row.
 
-    Spans are kind:start:end in code points, by start and then kind, joined by commas. A null text is empty. Whole
+    The last has the battery's p-value for each base span, in their order. Spans are kind:start:end in code points, by start and then kind, joined by commas. A null text is empty. Whole
     texts are scanned and every row counts for the false-discovery control; repeated rows are found alike, an empty
     table gives no rows, other columns are ignored. Only counts are shuffled.
     """
     found = written(candidates(docs, id_col, text_col), "secret-candidates")
-    frequencies = symbol_frequencies(docs, text_col)
+    frequencies = symbol_frequencies(found)
     first = thresholds(found, frequencies)
-    schema = f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
+    schema = f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long, base_p_random array<double>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(spans):
             return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
         for b in batches:
-            counts, digests, texts = [], [], []
-            for base, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            counts, digests, texts, ps = [], [], [], []
+            for base, more in zip(values(b.column(1)), values(b.column(2)), strict=True):
                 spans = [(s["start"], s["kind"], s["end"]) for s in base]
                 extra = []
                 for c in more:
@@ -216,7 +228,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 counts.append([*(sum(k == i for _, k, _ in spans) for i in range(3)), len(extra)])
                 digests.append(hashlib.sha256(joined(spans).encode()).hexdigest())
                 texts.append(joined(sorted(spans + extra)))
+                ps.append([s["p_random"] for s in base])
             at = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *at[:3], pa.array(digests, pa.string()), pa.array(texts, pa.string()), at[3]], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *at[:3], pa.array(digests, pa.string()), pa.array(texts, pa.string()), at[3], pa.array(ps, pa.list_(pa.float64()))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random", "base_p_random"])
 
-    return found.mapInArrow(scan, schema)
+    return in_arrow(found.where("symbols is null").select("doc_id", "base", "found"), scan, schema)
