@@ -2,6 +2,7 @@
 
 All glob patterns are packed side by side into the bits of several 64-bit words (Shift-And). One step over one
 character moves every pattern at once; a batch of URLs moves together, so that a step costs a few array operations.
+Many patterns are several automata of a bounded width each, which the URLs pass one after the other.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, in_arrow, values
 
 #: (verdict, host and path): the production rules.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -23,6 +24,10 @@ GLOBS = (
     "*://spam-*", "*://*.spam-*", "*://cheap-*", "*://*.cheap-*", "*casino*", "*viagra*", "*pills*", "*://*-farm.*",
     "*/wp-login.php*", "*/cgi-bin/*", "*?sessionid=*", "*.exe", "*.zip", "*://*xxx*", "*/tracker/*", "*://ads.*", "*://*.ads.*",
 )
+#: State bits of one automaton, but for one longer pattern; URLs that move together.
+BITS, TOGETHER = 2048, 2048
+#: Characters of a list of patterns that is shipped to tasks, at most.
+MOST_CHARS = 64 << 20
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -102,6 +107,19 @@ class Globs:
                     one[row, word] |= bit
         return cls(step, one[2], one[0], one[1])
 
+    @classmethod
+    def several(cls, patterns: Iterable[str]) -> list[Globs]:
+        """Automata of ``BITS`` bits at most that share the patterns out."""
+        out, held, bits = [], [], 0
+        for p in patterns:
+            need = len(p.encode()) + 1
+            if held and bits + need > BITS:
+                out.append(cls.of(held))
+                held, bits = [], 0
+            held.append(p)
+            bits += need
+        return out + [cls.of(held)] if held else out
+
     def matches(self, urls: list[bytes]) -> np.ndarray:
         """For each URL, whether any pattern matches the whole of it."""
         lengths = np.array([len(u) for u in urls], np.int64)
@@ -121,22 +139,42 @@ class Globs:
         return out
 
 
+def any_matches(automata: list[Globs], urls: list[bytes]) -> np.ndarray:
+    """For each URL, whether a pattern of any automaton matches the whole of it; those with a match pass no more."""
+    out = np.zeros(len(urls), bool)
+    for at in range(0, len(urls), TOGETHER):
+        left = np.arange(at, min(at + TOGETHER, len(urls)))
+        for a in automata:
+            out[left] = a.matches([urls[i] for i in left])
+            left = left[~out[left]]
+    return out
+
+
+def read_globs(spark: SparkSession, path: str) -> list[str]:
+    """The patterns of text files, one a line; blank lines and those that begin with # are none. ValueError if they are too many to ship."""
+    lines = spark.read.text(path).select(F.trim("value").alias("p")).where("p <> '' and not startswith(p, '#')").distinct()
+    size = lines.agg(F.coalesce(F.sum(F.length("p")), F.lit(0))).first()[0]
+    if size > MOST_CHARS:
+        raise ValueError(f"{path} has patterns of {size} characters; at most {MOST_CHARS} are shipped")
+    return [r.p for r in lines.orderBy("p").collect()]
+
+
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, globs: Iterable[str] = GLOBS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, glob (whether a glob matches) of each row.
 
     The longest fitting rule decides; else a matching glob blocks, and what none matches is allowed. Null and
     malformed URLs have an empty host and path and are allowed. Every row is judged by itself: repeated rows, null
-    ids, empty tables and other columns need no care; nothing is shuffled.
+    ids, empty tables and other columns need no care; nothing is shuffled. ``globs`` may be what ``read_globs`` gives.
     """
-    table, automaton = PathRules.of(rules), Globs.of(globs)
+    table, automata = PathRules.of(rules), pages.sparkSession.sparkContext.broadcast(Globs.several(globs))
     src = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"))
     schema = f"page_id {src.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string, glob boolean"
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split = [parts(u) for u in b.column(1).to_pylist()]
+            split = [parts(u) for u in values(b.column(1))]
             found = [table.find(h, p) for h, p, _ in split]
-            hit = automaton.matches([c.encode("utf-8", "surrogatepass") for _, _, c in split])
+            hit = any_matches(automata.value, [c.encode("utf-8", "surrogatepass") for _, _, c in split])
             cols = [
                 b.column(0),
                 pa.array([h for h, _, _ in split], pa.string()),
@@ -147,11 +185,11 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, globs
             ]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "path", "rule", "verdict", "glob"])
 
-    return src.mapInArrow(judged, schema)
+    return in_arrow(src, judged, schema)
 
 
 def allowed_pages(pages: DataFrame, url_col: str = "url", **how) -> DataFrame:
-    """The rows of ``pages`` whose URL is allowed, with all their columns."""
+    """The rows of ``pages`` whose URL is allowed, with all their columns; null URLs are, repeated rows stay as many."""
     from .common import free_names
 
     (key,) = free_names(pages.columns, "url_key")
