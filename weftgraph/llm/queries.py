@@ -76,8 +76,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .sharding import shard_documents
 
-    rows, _ = shard_documents(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    rows, smap = shard_documents(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(smap.version).alias("map_version"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,23 +1,26 @@
 """Sharding by fixed virtual slots.
 
 Each record is hashed into one of thousands of virtual slots, bytes are added up per slot, and a small versioned
-table maps slots to shards. Rebalancing edits that table only; records never change their virtual slot.
+table maps slots to shards. Rebalancing writes that table's next version only; records never change their virtual slot.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, written
+from .common import col, new_folder, written
 
 SLOTS = 4096
 #: Bytes that a record costs besides its text.
 OVERHEAD = 8
+#: How far the fullest and the lightest shard may be apart, as a share of a mean shard, before slots are moved.
+SLACK = 0.05
 
 
 @dataclass(frozen=True)
@@ -40,9 +43,24 @@ class SlotMap:
         """The map as a table, with ``first``: how many rows of the same shard lie in smaller slots."""
         seen, rows = [0] * self.shards, []
         for slot, shard in enumerate(self.shard_of):
-            rows.append((self.version, slot, shard, self.bytes[slot], self.rows[slot], seen[shard]))
+            rows.append((self.shards, slot, shard, self.bytes[slot], self.rows[slot], seen[shard]))
             seen[shard] += self.rows[slot]
-        return spark.createDataFrame(rows, "version int, virtual_slot int, shard int, bytes long, rows long, first long")
+        return spark.createDataFrame(rows, "shards int, virtual_slot int, shard int, bytes long, rows long, first long")
+
+    def store(self, spark: SparkSession, folder: str) -> None:
+        """Add this version to the table under ``folder``; a version that is there already is an error."""
+        self.frame(spark).coalesce(1).write.mode("error").parquet(f"{folder}/version={self.version}")
+
+    @classmethod
+    def stored(cls, spark: SparkSession, folder: str, version: int | None = None) -> SlotMap | None:
+        """The newest version (or a given one) of the table under ``folder``, None if there is no table."""
+        try:
+            table = spark.read.parquet(folder)
+        except AnalysisException:
+            return None
+        version = version if version is not None else table.agg(F.max("version")).first()[0]
+        rows = sorted(table.where(F.col("version") == version).collect(), key=lambda r: r.virtual_slot)  # one a slot
+        return cls(version, rows[0].shards, *(tuple(r[c] for r in rows) for c in ("shard", "bytes", "rows")))
 
 
 def balanced(bytes_: list[int], rows: list[int], shards: int) -> SlotMap:
@@ -74,28 +92,47 @@ def grown(old: SlotMap, shards: int) -> SlotMap:
     return SlotMap(old.version + 1, shards, tuple(shard_of), old.bytes, old.rows)
 
 
+def rebalanced(old: SlotMap, slack: float = SLACK) -> SlotMap:
+    """The next version with the same shards: slots move from the fullest to the lightest shard; the same map if those are near enough."""
+    shard_of, loads = list(old.shard_of), old.loads()
+    most = slack * sum(loads) / old.shards
+    held: list[list[int]] = [[] for _ in loads]
+    for slot in sorted(range(len(shard_of)), key=lambda s: (old.bytes[s], s)):
+        held[shard_of[slot]].append(slot)
+    moved = False
+    while True:
+        full, light = max(range(old.shards), key=lambda s: (loads[s], -s)), min(range(old.shards), key=lambda s: (loads[s], s))
+        fits = [s for s in held[full] if 0 < old.bytes[s] <= (loads[full] - loads[light]) / 2]
+        if loads[full] - loads[light] <= most or not fits:
+            break
+        slot, moved = fits[-1], True
+        held[full].remove(slot)
+        held[light].append(slot)
+        held[light].sort(key=lambda s: (old.bytes[s], s))
+        shard_of[slot], loads[full], loads[light] = light, loads[full] - old.bytes[slot], loads[light] + old.bytes[slot]
+    return replace(old, version=old.version + 1, shard_of=tuple(shard_of)) if moved else old
+
+
 def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot of each row; a null text has no bytes."""
     text = F.coalesce(col(text_col), F.lit(""))
-    return docs.select(
-        col(id_col).alias("doc_id"),
-        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(col(id_col)), F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+    rows = docs.select(col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    # what is hashed has the text in it, so that many rows of one id don't share a slot; rows without id count by their place
+    named = F.concat_ws(":", F.col("doc_id").cast("string"), "text_crc32", "size", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id().cast("string")))
+    return rows.withColumn("virtual_slot", F.pmod(F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int"))
 
 
-def slot_map(rows: DataFrame, shards: int, slots: int = SLOTS) -> SlotMap:
-    """A first map for what ``slotted`` returned. The driver gets one row per virtual slot, never more than ``slots``."""
+def slot_totals(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
+    """Bytes and rows of each virtual slot of what ``slotted`` returned. The driver gets one row per slot, never more than ``slots``."""
     bytes_, count = [0] * slots, [0] * slots
     for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect():
         bytes_[r.virtual_slot], count[r.virtual_slot] = r.b, r.n
-    return balanced(bytes_, count, shards)
+    return bytes_, count
 
 
 def assigned(rows: DataFrame, smap: SlotMap) -> DataFrame:
     """Each row's shard by the map, and its gapless place in that shard: by virtual slot, then id, then crc."""
-    place = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    place = Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
     held = F.broadcast(smap.frame(rows.sparkSession).select("virtual_slot", "shard", "first"))
     return (
         rows.withColumn("at", F.row_number().over(place).cast("long"))
@@ -104,13 +141,30 @@ def assigned(rows: DataFrame, smap: SlotMap) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, SlotMap]:
-    """Shards of near-equal bytes. Returns the rows with their shards, and the slot map.
+def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """Shards of near-equal bytes. Returns the rows with their shards, and the slot map, whose versions are stored under ``folder``.
+
+    A map that is stored there already is kept, so that records stay where they are: with more shards than it has it
+    is grown, and where shards have come to differ by more than ``SLACK`` it is rebalanced; either way only some slots
+    move, and the next version is stored. Without ``folder``, a new one is used.
 
-    Sizes are equal up to the largest virtual slot. Nulls: a null text counts no bytes but the overhead, null ids
-    share one slot. Repeated rows share a virtual slot and get places of their own. An empty table gives no rows.
-    Other columns are ignored. Only ids, sizes and checksums are shuffled, never texts.
+    Sizes are equal up to the largest virtual slot. Nulls: a null text counts no bytes but the overhead; rows with null
+    ids are spread by their place in the table. Repeated rows share a virtual slot and get places of their own. An
+    empty table gives no rows. Other columns are ignored. Only ids, sizes and checksums are shuffled, never texts.
     """
+    spark = docs.sparkSession
+    folder = folder or new_folder(spark, "slot-map")
     rows = written(slotted(docs, id_col, text_col, slots), "slotted")
-    smap = slot_map(rows, shards, slots)
+    bytes_, count = slot_totals(rows, slots)
+    old = SlotMap.stored(spark, folder)
+    if old is None:
+        balanced(bytes_, count, shards).store(spark, folder)
+    else:
+        if len(old.shard_of) != slots or shards < old.shards:
+            raise ValueError(f"the stored map has {len(old.shard_of)} slots and {old.shards} shards")
+        now = replace(old, bytes=tuple(bytes_), rows=tuple(count))
+        new = grown(now, shards) if shards > old.shards else rebalanced(now)
+        if new is not now:
+            new.store(spark, folder)
+    smap = replace(SlotMap.stored(spark, folder), bytes=tuple(bytes_), rows=tuple(count))
     return assigned(rows, smap), smap
