@@ -101,6 +101,16 @@ def test_near_components(spark, small, k):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_query_finds_every_link(spark):
+    """Recall of the near-duplicate query on a thousand documents against all pairs."""
+    from weftgraph.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    want = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()], 2, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op8_minhash"](spark, sf).collect()} == want
+    assert sum(i != c for i, (_, c) in want.items()) > 100
+
+
 def test_near_awkward(spark):
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, None), (7, "a b c")]
     got = near_components(frame(spark, rows), 5, 80).collect()
