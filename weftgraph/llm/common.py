@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import re
-import sys
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 from typing import Any, AnyStr
@@ -21,8 +20,12 @@ __all__ = ["SPACES", "Memo", "col", "dropped", "free_names", "hot_join", "in_arr
 SPACES = "[\\x20\\x09-\\x0D]"
 #: Bytes that each of a memo's two generations holds, about.
 MEMO_BYTES = 12 << 20
+#: Bytes of a memo's entry besides its key's letters, about.
+ENTRY = 230
 #: Keys that a memo looks up at a time.
 PART = 1 << 17
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 1000
 #: Rows of a batch whose values are Python objects at the same time.
 ROWS = 64
 #: Bytes or characters of a text whose words are Python objects at the same time, about.
@@ -64,7 +67,14 @@ def _given_back(scan: Scan) -> Scan:
 
 
 def in_arrow(df: DataFrame, scan: Scan, schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` whose tasks give their memory back."""
+    """``mapInArrow`` over small batches, whose tasks give their memory back.
+
+    Spark's default of 10,000 rows a batch is for narrow rows: a batch of texts is held several times over, by the
+    executor and by its Python worker. The session's setting is lowered to ``BATCH_ROWS``, and stays where it is lower.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
     return df.mapInArrow(_given_back(scan), schema)
 
 
@@ -122,7 +132,7 @@ class Memo:
                 made = [k for k in new if k not in old]
                 young.update(zip(again, map(old.__getitem__, again), strict=True))
                 young.update(zip(made, self.make(made), strict=True))
-                self.held += sum(map(sys.getsizeof, new)) + sum(sys.getsizeof(young[k]) for k in new) + 110 * len(new)
+                self.held += 2 * sum(map(len, new)) + ENTRY * len(new)
             yield map(young.__getitem__, part)
             if self.held > self.most:
                 self.old, self.young, self.held = young, {}, 0
