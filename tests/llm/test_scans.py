@@ -365,3 +365,18 @@ def test_queries_have_the_contract_columns(spark, small):
         "op4_pieces": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     }.items():
         assert set(columns) <= set(QUERIES[name](spark, small).columns), name
+
+
+def test_memo_is_bounded():
+    """Also where whoever reads takes exactly as many values as there are keys."""
+    from weftgraph.llm.common import Memo, stretches
+
+    asked = []
+    memo = Memo(lambda keys: [asked.append(k) or len(k) for k in keys], most=50_000)
+    for i in range(300):
+        keys = ["often", *(f"w{i}-{j}" for j in range(50))]
+        assert np.fromiter(memo.of(keys), np.int64, len(keys)).tolist() == list(map(len, keys))
+        assert len(memo.young) + len(memo.old) < 2 * (50_000 // 230 + 60)
+    assert asked.count("often") == 1
+    assert list(stretches("aa bb\ncc dd", 3)) == ["aa", "bb\ncc", "dd"] or " ".join(stretches("aa bb\ncc dd", 3)).split() == ["aa", "bb", "cc", "dd"]
+    assert list(stretches(b"x" * 50, 3)) == [b"x" * 50] and list(stretches(None)) == list(stretches("")) == []

@@ -124,6 +124,8 @@ class Memo:
 
     def _parts(self, keys: list) -> Iterator[Iterator[Any]]:
         for at in range(0, len(keys), PART):
+            if self.held > self.most:  # at the begin: whoever takes the last value doesn't come back
+                self.old, self.young, self.held = self.young, {}, 0
             part, young, old = keys[at : at + PART] if len(keys) > PART else keys, self.young, self.old
             new = [k for k in part if k not in young]
             if new:
@@ -134,8 +136,6 @@ class Memo:
                 young.update(zip(made, self.make(made), strict=True))
                 self.held += 2 * sum(map(len, new)) + ENTRY * len(new)
             yield map(young.__getitem__, part)
-            if self.held > self.most:
-                self.old, self.young, self.held = young, {}, 0
 
 
 def hot_join(rows: DataFrame, by_key: DataFrame, key: str, n: str) -> DataFrame:
