@@ -48,11 +48,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pieces", pieces),
 ]
 
-#: SQL can express neither the fitted model nor the encoding; tests hold the stages against brute force.
+#: SQL can express neither the fitted model nor the encoding; tests hold each stage's decisions against its operator's,
+#: and every operator against brute force or held-out labels.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents`` table, each written to the shared folder and read back by the next.
+
+    Rows with null texts or ids, repeated rows and an empty table go through as the stages' operators say.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_folder(spark, "stage-" + name.replace(" ", "-"))
