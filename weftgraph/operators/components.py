@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import written
+from ..plans.tables import dropped, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,18 +32,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def stars(edges: DataFrame, u: str = "u", v: str = "v", most: int = 100) -> DataFrame:
     """node, component of every node that an edge touches; the component is its smallest node.
 
-    Rounds go on until no edge changes; each is written to the shared folder, so that lineage stays short. A hub's
+    Rounds go on until no edge changes; each is written to the shared folder, so that lineage stays short, and then the
+    round before it is deleted. A hub's
     edges meet its minimum in a join that Spark splits if it is skewed. Loops and repeated edges change nothing; a
     node with loops only is its own component.
     """
     src = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
     own = src.where("u = v").select(F.col("u").alias("node"))
-    now = written(src.where("u <> v").distinct(), "components")
+    name = f"components-{uuid.uuid4().hex}"
+    now = written(src.where("u <> v").distinct(), f"{name}/0/edges")
     before = _mark(now)
-    for _ in range(most):
+    for k in range(1, most + 1):
         if not before[0]:
             break
-        now = written(_small_star(_large_star(now)), "components")
+        now = written(_small_star(_large_star(now)), f"{name}/{k}/edges")
+        dropped(edges.sparkSession, f"{name}/{k - 1}")
         after = _mark(now)
         if after == before:
             break

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import half_even, plain_name
+from ..plans.rank import ranked
 from ..schema import require_columns
 from . import graph
 
@@ -64,7 +65,7 @@ def cut_marker(edges: DataFrame, members: DataFrame, metrics: DataFrame, p0: flo
     from .removal import inter_edges
 
     k = max(1, half_even(p0 * metrics.count()))
-    low = metrics.orderBy(F.col(column).asc(), F.col("node").asc()).limit(k).select("node")
+    low = ranked(metrics.select("node", column), [F.col(column).asc(), F.col("node").asc()]).where(F.col("rank") < k).select("node")
     ends = inter_edges(edges, members).select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("x"))
     ratio = low.join(graph.degrees(edges), "node").join(ends, "node", "left").where("degree > 0").select((F.coalesce("x", F.lit(0)) / F.col("degree")).alias("r"))
     # k values are the result's own size

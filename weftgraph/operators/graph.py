@@ -19,8 +19,9 @@ def vertices(edges: DataFrame) -> DataFrame:
 
 
 def contiguous(edges: DataFrame) -> DataFrame:
-    """node: 0 to the largest id, ids without edges included."""
-    return edges.agg(F.max(F.greatest("u", "v")).alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("node"))
+    """node: 0 to the largest id, ids without edges included; made in parallel."""
+    largest = edges.agg(F.max(F.greatest("u", "v"))).first()[0]
+    return edges.sparkSession.range(0 if largest is None else largest + 1).select(F.col("id").alias("node"))
 
 
 def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

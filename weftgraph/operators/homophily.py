@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import written
 from . import graph
 
 
@@ -32,14 +33,17 @@ def _checked(m: DataFrame) -> DataFrame:
 
 
 def hv(edges: DataFrame, values: DataFrame) -> DataFrame:
-    """node, s, hv: each node's part of the assortativity, (s-mu) (near - d mu) / (4 M var). They sum to r / 2."""
-    t = with_neighbours(edges, values)
+    """node, s, hv: each node's part of the assortativity, (s-mu) (near - d mu) / (4 M var). They sum to r / 2.
+
+    Sums over neighbours are written, as the moments and the rows both read them.
+    """
+    t = written(with_neighbours(edges, values), "neighbours")
     return t.crossJoin(F.broadcast(_checked(moments(t)))).select("node", "s", F.expr("(s - mu) * (near - d * mu) / (2 * ends * var)").alias("hv"))
 
 
 def ghv(edges: DataFrame, values: DataFrame) -> DataFrame:
     """node, s, ghv: (s-mu) (near - d mu) / (d var), 0 without edges. Weighted by degree they average to r."""
-    t = with_neighbours(edges, values)
+    t = written(with_neighbours(edges, values), "neighbours")
     return t.crossJoin(F.broadcast(_checked(moments(t)))).select("node", "s", F.expr("if(d = 0, 0D, (s - mu) * (near - d * mu) / (d * var))").alias("ghv"))
 
 

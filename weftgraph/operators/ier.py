@@ -49,7 +49,7 @@ def target_sets(metrics: DataFrame, budget: float = 0.10) -> DataFrame:
     out = None
     for name, (column, ascending) in SETS.items():
         by = F.col(column).asc() if ascending else F.col(column).desc()
-        top = ranked(metrics.orderBy(by, F.col("node").asc()).limit(k).select("node", column), [by, F.col("node").asc()], name="place").select(F.lit(name).alias("strategy"), "node", "place")
+        top = ranked(metrics.select("node", column), [by, F.col("node").asc()], name="place").where(F.col("place") < k).select(F.lit(name).alias("strategy"), "node", "place")
         out = top if out is None else out.unionByName(top)
     return out
 

@@ -32,7 +32,8 @@ def edge_sample(edges: DataFrame, fraction: float, seed: int = 12345) -> DataFra
     if fraction >= 1:
         return edges.select("u", "v")
     take = max(1, half_even(fraction * edges.count()))
-    return edges.select("u", "v").orderBy(draw_key(seed, F.col("u"), F.col("v")), "u", "v").limit(take)
+    keyed = edges.select("u", "v", draw_key(seed, F.col("u"), F.col("v")).alias("key"))
+    return ranked(keyed, [F.col("key").asc(), F.col("u").asc(), F.col("v").asc()]).where(F.col("rank") < take).select("u", "v")
 
 
 def total_weight(inter: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, homophily, removal, scalars, structure
+from .tables import written
 
 
 def rounded(df: DataFrame, digits: int = 10) -> DataFrame:
@@ -18,7 +19,7 @@ def rounded(df: DataFrame, digits: int = 10) -> DataFrame:
 
 @dataclass
 class Fixture:
-    """Lazily made tables of one scale; a table that several results of a query need is planned once for each."""
+    """Lazily made tables of one scale. Edges and members, which everything is made from, are written once a query."""
 
     spark: SparkSession
     sf_dir: str
@@ -32,11 +33,11 @@ class Fixture:
         """Distinct pairs u < v of parts with returned lines in one order; an order has a few lines."""
         r = self.lineitem.where("l_returnflag = 'R'").select("l_orderkey", "l_partkey")
         a, b = r.withColumnRenamed("l_partkey", "u"), r.withColumnRenamed("l_partkey", "v")
-        return a.join(b, "l_orderkey").where("u < v").select("u", "v").distinct()
+        return written(a.join(b, "l_orderkey").where("u < v").select("u", "v").distinct(), "edges")
 
     @cached_property
     def members(self) -> DataFrame:
-        return self.lineitem.where("l_quantity >= 45").select(F.col("l_partkey").alias("node"), F.col("l_suppkey").cast("int").alias("comm")).distinct()
+        return written(self.lineitem.where("l_quantity >= 45").select(F.col("l_partkey").alias("node"), F.col("l_suppkey").cast("int").alias("comm")).distinct(), "members")
 
     @cached_property
     def nodes(self) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..schema import EDGES, MEMBERS, NODE_COMMS
 
 #: Names of the id column in metric tables, the likeliest first.
-ID_NAMES = ("Node ID", "node", "node_id", "id", "name", "vertex")
+ID_NAMES = ("Node ID", "node", "node_id", "nid", "id", "_id", "name", "vertex", "index")
 DELIMITERS = (",", ";", "\t", " ")
 
 
@@ -38,15 +38,19 @@ class DatasetPaths:
         return self._file("node_to_communities.csv")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """n (0-based line number), value, for files whose line numbers mean something.
+def numbered_lines(spark: SparkSession, path: str, count_blank: bool = True) -> DataFrame:
+    """n (0-based line number), value, for files whose line numbers mean something; with blank lines, or without them.
 
-    Partitions of a text scan follow the file; their counts, one row each, give each partition its first number.
+    Partitions of a text scan follow the file; their counts, one row each, give each partition its first number, and
+    lines are numbered within their partition.
     """
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("i"), "value").withColumn("part", F.shiftright("i", 33))
+    if not count_blank:
+        lines = lines.where(F.trim("value") != "")
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = lines.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.min("i").alias("i0")).select("part", "i0", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"))
-    return lines.join(F.broadcast(first), "part").select((F.col("before") + F.col("i") - F.col("i0")).alias("n"), "value")
+    first = lines.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy("i")) - 1
+    return lines.withColumn("at", at).join(first, "part").select((F.col("before") + F.col("at")).alias("n"), "value")
 
 
 def read_edges(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
@@ -62,24 +66,16 @@ def read_edges(spark: SparkSession, path: str, weighted: bool = False) -> DataFr
 def read_communities(spark: SparkSession, path: str, separator: str = "\t", count_blank: bool = False) -> DataFrame:
     """node, comm: one community a line; its number is the line's, blank lines not counted unless ``count_blank``."""
     separator = "\t" if separator == "\\t" else separator
-    lines = numbered_lines(spark, path)
-    full = lines.where(F.trim("value") != "")
-    if not count_blank:
-        blank = lines.where(F.trim("value") == "").select("n")
-        # every blank line moves the numbers after it down by one; blank lines are few
-        marks = blank.select("n", (F.row_number().over(Window.orderBy("n"))).alias("skipped"))
-        full = full.join(F.broadcast(marks.withColumnRenamed("n", "at")), F.col("at") < F.col("n"), "left").groupBy("n", "value").agg(F.coalesce(F.max("skipped"), F.lit(0)).alias("s")).select((F.col("n") - F.col("s")).alias("n"), "value")
+    full = numbered_lines(spark, path, count_blank).where(F.trim("value") != "")
     items = full.select(F.col("n").cast("int").alias("comm"), F.explode(F.split(F.trim("value"), separator)).alias("x"))
     return items.where(F.trim("x") != "").select(F.trim("x").cast("long").alias("node"), "comm")
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter that gives most fields on the first lines; ValueError if no line has two fields."""
-    head = [r.value for r in spark.read.text(path).where(F.trim("value") != "").limit(50).collect()]
-    best = max(DELIMITERS, key=lambda d: sum(len([x for x in line.split(d) if x.strip()]) > 1 for line in head))
-    if head and not any(len([x for x in line.split(best) if x.strip()]) > 1 for line in head):
-        raise ValueError(f"no line of {path} has two fields")
-    return best
+    """The delimiter by which most lines of the whole file have two fields or more; a comma where no line has (nodes without communities)."""
+    full = lambda d: F.filter(F.split(F.trim("value"), "\\Q" + d + "\\E"), lambda x: F.trim(x) != "")
+    counts = spark.read.text(path).agg(*(F.coalesce(F.sum((F.size(full(d)) > 1).cast("long")), F.lit(0)).alias(f"d{i}") for i, d in enumerate(DELIMITERS))).first()
+    return DELIMITERS[max(range(len(DELIMITERS)), key=lambda i: (counts[i], -i))]
 
 
 def read_node_communities(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
