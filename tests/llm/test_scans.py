@@ -71,6 +71,9 @@ def test_no_benchmark(spark):
     assert [(r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, none).collect()] == [(2, 0, False)]
     assert decontaminate.without_contaminated(docs, none).collect() == docs.collect()
     assert decontaminate.contamination(docs.where("false"), none).count() == 0
+    some = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    assert decontaminate.contamination(docs.where("false"), some).count() == 0
+    assert decontaminate.contamination(docs.repartition(3), some).first().n_hit == 1  # with empty partitions
 
 
 def test_index_finds_every_occurrence():

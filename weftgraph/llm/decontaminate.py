@@ -204,7 +204,7 @@ class Phrases:
 
 def _search(shard: list[np.ndarray], phrases: Phrases, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a shard (each document's symbols, 0 outside the vocabulary): which of all its words are hit; pairs of document and item."""
-    first = np.concatenate(([0], np.cumsum([len(s) for s in shard])))
+    first = np.concatenate(([0], np.cumsum(np.array([len(s) for s in shard], np.int64))))
     cover, docs, items = np.zeros(first[-1] + 1, np.int64), [], []
     texts, where = [], []
     gap = len(phrases.vocabulary) + 1  # between stretches; no phrase has it
