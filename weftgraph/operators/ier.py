@@ -144,8 +144,8 @@ def summary(obs: DataFrame, intervals: DataFrame, p: DataFrame, dataset: str, re
     )
 
 
-def deltas(null: DataFrame, obs: DataFrame, dataset: str) -> DataFrame:
-    """tau and hv_s1 minus bridgecc of both statistics, with p-values against the differences of paired repetitions."""
+def delta_statistics(null: DataFrame, obs: DataFrame) -> DataFrame:
+    """tau and hv_s1 minus bridgecc of both statistics (stub, nm), with p-values against the differences of paired repetitions."""
 
     def minus(df: DataFrame, by: list[str], cols: dict[str, str]) -> DataFrame:
         pick = lambda c, s: F.max(F.when(F.col("strategy") == s, F.col(c)))
@@ -154,7 +154,12 @@ def deltas(null: DataFrame, obs: DataFrame, dataset: str) -> DataFrame:
     d0 = minus(null, ["tau", "rep"], {"stub": "stub", "nm": "nm"})
     d1 = minus(obs, ["tau"], {"ier_stub": "stub", "ier_node_mean": "nm"})
     p = _p_values(d0, d1, ["tau"], "stub", "p_stub").join(_p_values(d0, d1, ["tau"], "nm", "p_nm"), "tau")
-    return d1.join(p, "tau").select(F.lit(dataset).alias("dataset"), "tau", F.col("nm").alias("delta_ier_node_mean"), F.col("p_nm_two").alias("p_perm_nm_delta"), F.col("stub").alias("delta_ier_stub"), F.col("p_stub_two").alias("p_perm_stub_delta"))
+    return d1.join(p, "tau")
+
+
+def deltas(null: DataFrame, obs: DataFrame, dataset: str) -> DataFrame:
+    """The published rows of ``delta_statistics``, with two-tailed p-values."""
+    return delta_statistics(null, obs).select(F.lit(dataset).alias("dataset"), "tau", F.col("nm").alias("delta_ier_node_mean"), F.col("p_nm_two").alias("p_perm_nm_delta"), F.col("stub").alias("delta_ier_stub"), F.col("p_stub_two").alias("p_perm_stub_delta"))
 
 
 def at_tau(rows: DataFrame, tau: float) -> DataFrame:

@@ -88,7 +88,7 @@ _BASE |= {
     "dn": "SELECT a.tau, a.what, a.rep, a.x - b.x AS x FROM long_n a JOIN long_n b USING (tau, what, rep) WHERE a.strategy = 'hv_s1' AND b.strategy = 'bridgecc'",
     "dob": "SELECT a.tau, a.what, a.o - b.o AS o FROM long_o a JOIN long_o b USING (tau, what) WHERE a.strategy = 'hv_s1' AND b.strategy = 'bridgecc'",
     "dmid": "SELECT tau, what, median(x) AS mid FROM dn GROUP BY ALL",
-    "dp": "SELECT tau, what, max(o) AS o, least(1.0, (count(*) FILTER (WHERE abs(x - mid) >= abs(o - mid) - 1e-12::DOUBLE) + 1)::DOUBLE / (count(*) + 1)) AS two FROM dn JOIN dob USING (tau, what) JOIN dmid USING (tau, what) GROUP BY tau, what",
+    "dp": "SELECT tau, what, max(o) AS o, least(1.0, (count(*) FILTER (WHERE x >= o - 1e-12::DOUBLE) + 1)::DOUBLE / (count(*) + 1)) AS one, least(1.0, (count(*) FILTER (WHERE abs(x - mid) >= abs(o - mid) - 1e-12::DOUBLE) + 1)::DOUBLE / (count(*) + 1)) AS two FROM dn JOIN dob USING (tau, what) JOIN dmid USING (tau, what) GROUP BY tau, what",
     "fr": "SELECT 'fixture' AS dataset, a.ier_node_mean AS nm_hv, b.ier_node_mean AS nm_br, a.ier_node_mean - b.ier_node_mean AS d, sqrt(pow((a.ier_node_mean_ci_high - a.ier_node_mean_ci_low) / 2, 2) + pow((b.ier_node_mean_ci_high - b.ier_node_mean_ci_low) / 2, 2)) AS h FROM summ a JOIN summ b USING (tau) WHERE abs(tau - 0.3) < 5e-4 AND a.strategy = 'hv_s1' AND b.strategy = 'bridgecc'",
     "gn": "SELECT node FROM comps WHERE component = (SELECT component FROM big)",
     "gdesc": "SELECT 'fixture' AS dataset, n, e, round_even(2 * e::DOUBLE / n, 2) AS mean_degree, round_even(e / (n * (n - 1) / 2.0::DOUBLE), 5) AS density, n_comms, round_even(ms::DOUBLE / n_in, 2) AS mean_m, max_m, round_even(ms::DOUBLE / n_comms, 2) AS avg_comm_size, max_c AS max_comm_size, round_even(n_in::DOUBLE / n, 4) AS prop_nodes_in_comms, round_even(n_ov::DOUBLE / n_in, 4) AS prop_overlapped, round_even(n_ov::DOUBLE / n, 4) AS prop_overlapped_all, r, avg_clustering, h_s1 FROM (SELECT count(*) AS n FROM gn), (SELECT count(*) AS e FROM edges WHERE u IN (FROM gn) AND v IN (FROM gn)), (SELECT count(*) AS n_in, sum(c)::BIGINT AS ms, max(c) AS max_m, count(*) FILTER (WHERE c > 1) AS n_ov FROM nc WHERE node IN (FROM gn)), (SELECT count(*) AS n_comms, max(c) AS max_c FROM (SELECT count(*) AS c FROM members WHERE node IN (FROM gn) GROUP BY comm)), (SELECT round_even((cr - mu * mu) / var, 4) AS r FROM m_s0), (SELECT round_even(avg(clustering), 4) AS avg_clustering FROM cc), (SELECT round_even((cr - mu * mu) / var, 4) AS h_s1 FROM m_s1)",
@@ -154,6 +154,16 @@ _FINAL = {
     "global_metrics": "SELECT * FROM gdesc",
     "dataset_descriptives": "SELECT * EXCLUDE (avg_comm_size, max_comm_size) FROM gdesc",
     "network_check": "SELECT (SELECT max(node) + 1 FROM nodes) AS n_ids, n AS n_nodes, (SELECT max(node) + 1 FROM nodes) - n AS n_isolated, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(DISTINCT component) FROM comps) AS n_components, (SELECT count(*) FROM gn) AS giant_size, 0::BIGINT AS n_self_loops, false AS has_self_loops, 0::BIGINT AS n_multiedges, false AS has_multiedges, 0::BIGINT AS n_outside FROM nn",
+    "separation_metrics": "SELECT 'fixture' AS dataset, 'Fixture' AS name, 'low_hv' AS target_strategy, (SELECT min(p) FROM (SELECT p, sum((target < p05)::INT) OVER (ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM norm) WHERE n = 3) AS p_separation, (SELECT sum(a) FROM (SELECT (p - lag(p) OVER (ORDER BY k)) * ((target - median) + lag(target - median) OVER (ORDER BY k)) / 2 AS a FROM norm)) AS AUC_difference, -(SELECT sum(a) FROM (SELECT (p - lag(p) OVER (ORDER BY k)) * ((target - median) + lag(target - median) OVER (ORDER BY k)) / 2 AS a FROM norm)) AS AUC_depletion",
+    "ier_by_degree_rows": "SELECT 'fixture' AS dataset, tau, strategy, bin AS degree_bin, count(*) AS n_nodes, sum(inter_deg)::BIGINT AS sum_inter_deg, sum(degree)::BIGINT AS sum_deg, avg(inter_deg::DOUBLE / greatest(1, degree)) AS IER_node_mean, sum(inter_deg)::DOUBLE / sum(degree) AS IER_stub FROM sets JOIN quart USING (node) JOIN idt USING (node) GROUP BY tau, strategy, bin",
+    "ier_legacy": "SELECT 'fixture' AS dataset, tau, strategy, n_selected AS k, ier_stub AS IER_stub, stub_low AS IER_stub_ci_low, stub_high AS IER_stub_ci_high, ier_node_mean AS IER_node_mean, nm_low AS IER_nm_ci_low, nm_high AS IER_nm_ci_high, p_stub_one AS p_one_stub, p_stub_two AS p_two_stub, p_nm_one AS p_one_nm, p_nm_two AS p_two_nm FROM obs JOIN boot USING (tau, strategy) JOIN pp USING (tau, strategy)"
+    " UNION ALL SELECT 'fixture', tau, 'delta(hv-bridgecc)', (SELECT max(n_selected) FROM obs), max(o) FILTER (WHERE what = 'stub'), NULL, NULL, max(o) FILTER (WHERE what = 'nm'), NULL, NULL, max(one) FILTER (WHERE what = 'stub'), max(two) FILTER (WHERE what = 'stub'), max(one) FILTER (WHERE what = 'nm'), max(two) FILTER (WHERE what = 'nm') FROM dp GROUP BY tau",
+    "hc_metrics": "SELECT comm, h_c AS hc_s1, n_members AS num_nodes, (SELECT corr(a.s, b.s) FROM adj JOIN s1 a ON a.node = u JOIN s1 b ON b.node = v) AS h_global FROM ch",
+    "hc_summary": "SELECT 'fixture' AS dataset, sum(coalesce(h_c * n_members, 0)) / sum(n_members) AS hc_weighted, (SELECT corr(a.s, b.s) FROM adj JOIN s1 a ON a.node = u JOIN s1 b ON b.node = v) AS h_global, count(*) AS n_communities FROM ch",
+    "he_metrics": "SELECT row_number() OVER (ORDER BY u, v) - 1 AS edge_id, u AS node_1, v AS node_2, h_e AS he_s1, a.s AS s1_node1, b.s AS s1_node2 FROM eh JOIN s1 a ON a.node = u JOIN s1 b ON b.node = v",
+    "sensitivity_markers": "SELECT 'fixture' AS dataset, 0.01::DOUBLE AS p0, avg(x) AS S_cut_mean, median(x) AS S_cut_median, stddev_samp(x) AS S_cut_std, (SELECT avg(s) FROM s2) AS m_mean, (SELECT avg((s > 1)::INT) FROM s2) AS psi, max(n) AS n, (SELECT count(*) FROM edges) AS e, (SELECT arg_max(metric_value, fraction_removed) / arg_min(metric_value, fraction_removed) FROM hc WHERE metric_value IS NOT NULL AND fraction_removed <= 0.01) AS h_hat_p0 FROM (SELECT coalesce(c, 0)::DOUBLE / degree AS x, n FROM rlow JOIN deg USING (node) LEFT JOIN (SELECT node, count(*) AS c FROM (SELECT u AS node FROM inter UNION ALL SELECT v FROM inter) GROUP BY node) USING (node), nn WHERE r < greatest(1, round_even(0.01::DOUBLE * n, 0)))",
+    "rho_summary_all": "SELECT 'fixture' AS dataset, strategy, step / 100.0::DOUBLE AS p, rho AS rho_GCC FROM rho WHERE step IN (5, 10)",
+    "hv_resumed": "SELECT node, b.hv AS hv_s0, b.s AS s0, a.hv AS hv_s1, a.s AS s1 FROM hv_s1 a JOIN hv_s0 b USING (node)",
     "edge_styles": "SELECT u, v, h_e, CASE WHEN abs(h_e) <= 1e-6 THEN 'neutral' WHEN h_e > 0 THEN 'positive' ELSE 'negative' END AS class, abs(h_e) / (SELECT max(abs(h_e)) FROM eh) AS width FROM eh",
 }
 
@@ -220,6 +230,15 @@ _DOUBLES = {
     "all_metrics": ["hv_s1", "hv_s0", "bridgecc", "delta_hv", "abs_delta_hv"],
     "global_metrics": ["mean_degree", "density", "mean_m", "avg_comm_size", "prop_nodes_in_comms", "prop_overlapped", "prop_overlapped_all", "r", "avg_clustering", "h_s1"],
     "dataset_descriptives": ["mean_degree", "density", "mean_m", "prop_nodes_in_comms", "prop_overlapped", "prop_overlapped_all", "r", "avg_clustering", "h_s1"],
+    "separation_metrics": ["p_separation", "AUC_difference", "AUC_depletion"],
+    "ier_by_degree_rows": ["tau", "IER_node_mean", "IER_stub"],
+    "ier_legacy": ["tau", "IER_stub", "IER_stub_ci_low", "IER_stub_ci_high", "IER_node_mean", "IER_nm_ci_low", "IER_nm_ci_high", "p_one_stub", "p_two_stub", "p_one_nm", "p_two_nm"],
+    "hc_metrics": ["hc_s1", "h_global"],
+    "hc_summary": ["hc_weighted", "h_global"],
+    "he_metrics": ["he_s1"],
+    "sensitivity_markers": ["S_cut_mean", "S_cut_median", "S_cut_std", "m_mean", "psi", "h_hat_p0"],
+    "rho_summary_all": ["p", "rho_GCC"],
+    "hv_resumed": ["hv_s0", "hv_s1"],
     "edge_styles": ["h_e", "width"],
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curves, describe, graph, homophily, ier, removal, scalars, structure
+from ..operators import curves, describe, graph, homophily, ier, published, removal, scalars, structure
 from .fixture import Fixture, rounded
 from .tables import written
 
@@ -46,6 +46,9 @@ class Ier:
     def null(self) -> DataFrame:
         return written(ier.null_statistics(self.sets, self.inter, self.quartiles, PERM), "null")
 
+    def legacy(self) -> DataFrame:
+        return published.legacy_rows(self.null(), self.observed(), self.boot(), "fixture")
+
     def summary(self) -> DataFrame:
         obs = self.observed()
         return ier.summary(obs, self.boot(), ier.permutation_p(self.null(), obs), "fixture", PERM)
@@ -63,6 +66,16 @@ def _all_metrics(g: Fixture) -> DataFrame:
     return structure.with_delta(structure.restricted(t, g.nodes))
 
 
+def _markers(g: Fixture) -> DataFrame:
+    m = written(g.hv("s1").withColumnRenamed("hv", "hv_s1"), "hv")
+    return published.sensitivity_markers(g.edges, g.members, m, curves.relative_homophily(written(_h_curve(g), "h-curve")), "fixture")
+
+
+def _resumed(g: Fixture) -> DataFrame:
+    old = homophily.by_method(g.edges, g.members, ("s1",))
+    return published.resumed(g.nodes, old, homophily.by_method(g.edges, published.memberships(g.members, None), ("s0", "s1")))
+
+
 TABLES: dict[str, Callable[[Fixture], DataFrame]] = {
     "edges_canonical": lambda g: graph.simplified(g.edges),
     "adjacency": lambda g: graph.adjacency(g.edges),
@@ -124,6 +137,15 @@ TABLES: dict[str, Callable[[Fixture], DataFrame]] = {
     "global_metrics": lambda g: describe.descriptors(g.edges, g.members, "fixture"),
     "dataset_descriptives": lambda g: describe.descriptors(g.edges, g.members, "fixture", community_sizes=False),
     "network_check": lambda g: describe.network_check(g.edges),
+    "separation_metrics": lambda g: published.separation_metrics(_normal(g), "fixture", "Fixture"),
+    "ier_by_degree_rows": lambda g: (lambda x: published.degree_bin_rows(x.sets, x.inter, x.quartiles, "fixture"))(Ier(g)),
+    "ier_legacy": lambda g: Ier(g).legacy(),
+    "hc_metrics": lambda g: published.community_rows(g.edges, g.scalar("s1"), g.members),
+    "hc_summary": lambda g: published.community_summary_row(written(published.community_rows(g.edges, g.scalar("s1"), g.members), "hc"), "fixture"),
+    "he_metrics": lambda g: published.edge_rows(g.edges, g.scalar("s1")),
+    "sensitivity_markers": _markers,
+    "rho_summary_all": lambda g: published.all_datasets({"fixture": published.component_rows(removal.snapshots(_trajectory(g)), "fixture")}),
+    "hv_resumed": _resumed,
     "edge_styles": lambda g: describe.styled(g.edges, homophily.edge_homophily(g.edges, g.scalar("s1")), 1e-6),
 }
 
