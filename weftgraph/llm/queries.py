@@ -136,4 +136,20 @@ ORACLES: dict[str, str] = {
               FROM c AS q JOIN c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id, qv ORDER BY score, vec_id) AS rank FROM d)
         SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_prefix_trie": r"""
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, count(*) AS n, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda z: unicode(z)::BIGINT)),
+                     lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 9 AS h FROM t GROUP BY conv_id),
+        f AS (SELECT c.conv_id AS c, t.i AS p, r, x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.i <= c.h
+              UNION ALL
+              SELECT c.conv_id, t.i - c.h + least(c.h, coalesce(b.n, 0)), r, x FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h LEFT JOIN c AS b ON b.conv_id = c.conv_id - c.conv_id % 5),
+        p AS (SELECT c, p AS d, strlen(x) AS size, sha256(string_agg(length(r) || ':' || r || length(x) || ':' || x, '' ORDER BY p) OVER (PARTITION BY c ORDER BY p ROWS UNBOUNDED PRECEDING)) AS k FROM f
+              UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+        e AS (SELECT *, max(d) OVER (PARTITION BY c) = d AS ends, lag(k) OVER (PARTITION BY c ORDER BY d) AS up FROM p),
+        n AS (SELECT k, any_value(up) AS up, any_value(d) AS d, any_value(size) AS size, count(*) AS n, min(c) AS c, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends FROM e GROUP BY k),
+        m AS (SELECT n.*, coalesce(b.kids, 0) AS kids FROM n LEFT JOIN (SELECT up, count(*) AS kids FROM n GROUP BY up) AS b ON b.up = n.k),
+        s AS (SELECT p.k, sum((m.n - 1) * m.size)::BIGINT AS saved, count(*) FILTER (WHERE m.kids = 0) AS leaves FROM m JOIN p ON p.c = m.c AND p.d <= m.d GROUP BY p.k)
+        SELECT m.c AS conv_id, m.d AS depth, u.c AS parent_conv_id, m.n AS n_convs, m.kids AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, m.ends AS ends_sha256
+        FROM m JOIN s USING (k) LEFT JOIN m AS u ON u.k = m.up""",
 }
