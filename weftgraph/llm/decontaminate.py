@@ -10,6 +10,7 @@ has to be removed.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ WINDOW = 13
 GROUP_WORDS, GROUP_VOCABULARY = 16_000_000, 500_000
 #: Test phrases that are searched at a time.
 BLOCK = 100_000
+#: Occurrences that are located at a time.
+LOCATED = 1 << 19
 #: Bytes of text of a shard, but for one longer document.
 SHARD_BYTES = 24 << 20
 SAMPLE = 8
@@ -166,24 +169,19 @@ class Phrases:
     used: dict[int, np.ndarray]  # which symbols phrases of a length have
 
     @classmethod
-    def of(cls, items: list[tuple[str, list[bytes]]], window: int) -> Phrases | None:
-        items = [(name, w) for name, w in items if w]
-        if not items:
-            return None
-        vocabulary: dict[bytes, int] = {}
-        flat = np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for _, w in items for x in w], np.int32)
-        lengths = np.array([len(w) for _, w in items])
+    def of(cls, vocabulary: dict[bytes, int], symbols: np.ndarray, names: list[str], lengths: np.ndarray, window: int) -> Phrases:
+        """Of items with so many symbols each, one at least."""
         begins, of = np.cumsum(lengths) - lengths, np.minimum(lengths, window)
         starts, owners, used = {}, {}, {}
         for n in np.unique(of).tolist():
             who = np.flatnonzero(of == n)
             count = lengths[who] - n + 1
             owners[n] = np.repeat(who, count).astype(np.int32)
-            starts[n] = np.repeat(begins[who], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            starts[n] = (np.repeat(begins[who], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
             used[n] = np.zeros(len(vocabulary) + 1, bool)
             for b, e in zip(begins[who], begins[who] + lengths[who], strict=True):
-                used[n][flat[b:e]] = True
-        return cls(vocabulary, flat, [name for name, _ in items], starts, owners, used)
+                used[n][symbols[b:e]] = True
+        return cls(vocabulary, symbols, names, starts, owners, used)
 
     def room(self, symbols: np.ndarray) -> np.ndarray:
         """Which words lie in a stretch of one phrase length's symbols that is long enough for such a phrase."""
@@ -220,34 +218,44 @@ def _search(shard: list[np.ndarray], phrases: Phrases, block: int) -> tuple[np.n
         of, begins, lengths = map(np.array, zip(*where, strict=True))
         offsets = np.concatenate(([0], np.cumsum(lengths)))
         for n, rows, owners in phrases.blocks(block):
+            rows, same = np.unique(rows, axis=0, return_inverse=True)  # equal phrases are searched once
+            owners = owners[np.argsort(same.ravel(), kind="stable")]
+            shares = np.bincount(same.ravel(), minlength=len(rows))
             lo, hi = index.search(rows)
-            count = hi - lo
-            which = np.repeat(np.arange(len(rows)), count)
-            at = index.locate(np.repeat(lo, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count))
-            stretch = np.searchsorted(offsets, at, side="right") - 1
-            start = begins[stretch] + at - offsets[stretch]
-            cover += np.bincount(start, minlength=len(cover)) - np.bincount(start + n, minlength=len(cover))
-            both = np.unique(of[stretch] * len(phrases.names) + owners[which])
-            docs.append(both // len(phrases.names))
-            items.append(both % len(phrases.names))
+            places, pairs = np.concatenate(([0], np.cumsum(hi - lo))), []
+            for low in range(0, int(places[-1]), LOCATED):
+                place = np.arange(low, min(low + LOCATED, int(places[-1])))
+                which = np.searchsorted(places, place, side="right") - 1
+                at = index.locate(lo[which] + place - places[which])
+                stretch = np.searchsorted(offsets, at, side="right") - 1
+                start = begins[stretch] + at - offsets[stretch]
+                cover += np.bincount(start, minlength=len(cover)) - np.bincount(start + n, minlength=len(cover))
+                pairs.append(np.unique(of[stretch] * len(rows) + which))
+            both = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+            phrase, share = both % len(rows), shares[both % len(rows)]
+            docs.append(np.repeat(both // len(rows), share))
+            items.append(owners[np.repeat((np.cumsum(shares) - shares)[phrase], share) + np.arange(share.sum()) - np.repeat(np.cumsum(share) - share, share)].astype(np.int64))
     pairs = np.concatenate(docs) if docs else np.empty(0, np.int64), np.concatenate(items) if items else np.empty(0, np.int64)
     return np.cumsum(cover)[:-1] > 0, *pairs
 
 
-def _groups(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items and their words; one group at least, of about ``most`` words."""
-    group, size, known, any_yet = [], 0, set(), False
+def _groups(benchmark: DataFrame, item_col: str, text_col: str, most: int, window: int) -> Iterator[Phrases | None]:
+    """The phrases of groups of items of about ``most`` words, whose words become symbols as they arrive; one group at least, None for no words."""
+    vocabulary, symbols, names, lengths, any_yet = {}, array("i"), [], [], False
     rows = benchmark.select(col(item_col).cast("string").alias("item"), col(text_col).cast("binary").alias("text"))
+    made = lambda: Phrases.of(vocabulary, np.array(symbols, np.int32), names, np.array(lengths, np.int64), window)
     for r in rows.toLocalIterator():
-        w = words(None if r.text is None else bytes(r.text))
-        group.append(("" if r.item is None else r.item, w))
-        size += len(w)
-        known.update(w)
-        if size >= most or len(known) >= GROUP_VOCABULARY:
-            yield group
-            group, size, known, any_yet = [], 0, set(), True
-    if group or not any_yet:
-        yield group
+        before = len(symbols)
+        for part in stretches(None if r.text is None else bytes(r.text)):
+            symbols.extend(vocabulary.setdefault(x, len(vocabulary) + 1) for x in words(part))
+        if len(symbols) > before:
+            names.append("" if r.item is None else r.item)
+            lengths.append(len(symbols) - before)
+        if len(symbols) >= most or len(vocabulary) >= GROUP_VOCABULARY:
+            yield made()
+            vocabulary, symbols, names, lengths, any_yet = {}, array("i"), [], [], True
+    if names or not any_yet:
+        yield made() if names else None
 
 
 def found_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW, group_words: int = GROUP_WORDS, block: int = BLOCK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -263,8 +271,8 @@ def found_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     schema = out.schema
     for f in schema.fields:
         f.nullable = True
-    for number, group in enumerate(_groups(benchmark, item_col, bench_text, group_words)):
-        shipped = docs.sparkSession.sparkContext.broadcast(Phrases.of(group, window))
+    for number, group in enumerate(_groups(benchmark, item_col, bench_text, group_words, window)):
+        shipped = docs.sparkSession.sparkContext.broadcast(group)
         out = map_arrow(written(out, "benchmark-hits") if number else out, _scan(shipped, docs.columns.index(text_col), len(docs.columns), block, shard_bytes), schema)
     return out
 
