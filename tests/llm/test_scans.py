@@ -5,8 +5,10 @@ import hashlib
 import random
 import re
 import string
+import time
+import tracemalloc
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -258,6 +260,15 @@ def test_warc_common_payload(spark):
     assert got.where("record_type = 'response'").count() == 2001
 
 
+def test_warc_long_payload(spark):
+    """Reassembly takes time in proportion: 64 MB in 4,000 segments."""
+    rows = spark.range(1, 4001).selectExpr("'a' as id", "'response' as type", "'1' as page", "string(null) as refers", "string(null) as digest", "'a' as origin", "int(id) as number", "if(id = 4000, 64000000L, null) as total", "binary(repeat(char(97 + id % 26), 16000)) as block")
+    begin = time.perf_counter()
+    block = warc.reassembled(rows).select(F.md5("block").alias("h"), F.octet_length("block").alias("n")).first()
+    assert block.n == 64_000_000 and block.h == hashlib.md5(b"".join(bytes([97 + i % 26]) * 16000 for i in range(1, 4001))).hexdigest()
+    assert time.perf_counter() - begin < 20
+
+
 def test_warc_missing_segment(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "x" * 1000)], "page_id long, url string, html string")
     path = str(tmp_path / "a")
@@ -312,6 +323,20 @@ def test_pieces(spark, small):
     assert pieces.encode_decode(df.where("false"), piece_model()).count() == 0
 
 
+def test_contamination_by_many_equal_short_items(monkeypatch):
+    """A thousand equal one-word items, and that word a million times: searched once, located in slices."""
+    vocabulary, names = {b"the": 1, b"cat": 2}, [str(i) for i in range(1001)]
+    phrases = decontaminate.Phrases.of(vocabulary, np.array([1] * 1000 + [1, 2], np.int32), names, np.array([1] * 1000 + [2]), 13)
+    shard = [np.tile(np.array([1, 1, 2, 0], np.int32), 250_000), np.zeros(3, np.int32), np.array([0, 2, 1], np.int32)]
+    tracemalloc.start()
+    hit, docs, items = decontaminate._search(shard, phrases, 100_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    assert hit[:1_000_000].tolist() == [True, True, True, False] * 250_000 and hit[1_000_000:].tolist() == [False] * 4 + [False, True]
+    assert sorted(zip(docs.tolist(), items.tolist(), strict=True)) == [(0, i) for i in range(1001)] + [(2, i) for i in range(1000)]
+
+
 # sharding
 
 
@@ -360,6 +385,56 @@ def test_sharding_without_ids(spark):
     assert max(load.values()) < 1.1 * min(load.values())
 
 
+def test_sharding_of_repeated_rows(spark):
+    """A fifth of the rows is one row, ids and all."""
+    df = spark.range(20_000).selectExpr("if(id % 5 = 0, 7L, id) as doc_id", "if(id % 5 = 0, 'the very same text', concat('some text ', id % 500)) as text")
+    rows = sharding.shard_documents(df, shards=24)[0].collect()
+    load = shares(rows)
+    assert len(rows) == 20_000 and len(load) == 24 and max(load.values()) < 1.1 * min(load.values())
+
+
+def plain_shards(docs, shards):
+    """The whole result by a loop: 16 repeats of a row go together, heaviest slots first to the lightest shard."""
+    counted, slots = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in docs), defaultdict(list)
+    for (i, size, crc), n in counted.items():
+        for salt in range(-(-n // 16)):
+            name = ":".join(str(x) for x in (i, crc, size, f"+{salt}" if salt else None) if x is not None)
+            slots[int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % 4096] += [(i, crc, size)] * min(16, n - 16 * salt)
+    weight = {s: sum(r[2] for r in slots[s]) for s in range(4096)}
+    load, of = [0] * shards, {}
+    for s in sorted(range(4096), key=lambda s: (-weight[s], s)):
+        of[s] = min(range(shards), key=lambda x: (load[x], x))
+        load[of[s]] += weight[s]
+    out, at = [], [0] * shards
+    for s in range(4096):
+        for i, crc, size in sorted(slots[s], key=lambda r: (r[0] is not None, r[0] or 0, *r[1:])):
+            out.append((i, size, crc, of[s], at[of[s]]))
+            at[of[s]] += 1
+    return sorted(out, key=str)
+
+
+def test_sharding_whole_result(spark, small):
+    docs = documents(spark, small) + [(None, "a")] * 40 + [(3, None)] * 2 + [(9, "b")] * 100
+    got = sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), shards=5)[0].collect()
+    assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in got), key=str) == plain_shards(docs, 5)
+
+
+def test_slot_map_survives_a_writer_that_dies(spark, tmp_path):
+    folder, df = f"file://{tmp_path}/map", spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string")
+    _, first = sharding.shard_documents(df, shards=4, folder=folder)
+    for half in ("version=2/_temporary/0", ".half"):  # of a writer by another protocol, and by this one
+        (tmp_path / "map" / half).mkdir(parents=True)
+    assert sharding.SlotMap.stored(spark, folder) == first
+    _, second = sharding.shard_documents(df, shards=5, folder=folder)
+    assert second.version == 2 and sharding.SlotMap.stored(spark, folder).version == 2
+    with pytest.raises(FileExistsError):
+        second.store(spark, folder)
+    with pytest.raises(Exception, match="infer schema"):
+        (tmp_path / "map2/version=1").mkdir(parents=True)
+        (tmp_path / "map2/version=1/_SUCCESS").touch()
+        sharding.SlotMap.stored(spark, f"file://{tmp_path}/map2")  # a table that can't be read isn't taken for none
+
+
 def test_queries_have_the_contract_columns(spark, small):
     for name, columns in {
         "op9_url_filter": ["page_id", "host", "path", "rule", "verdict"],

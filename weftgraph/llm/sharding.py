@@ -7,9 +7,9 @@ table maps slots to shards. Rebalancing writes that table's next version only; r
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +21,8 @@ SLOTS = 4096
 OVERHEAD = 8
 #: How far the fullest and the lightest shard may be apart, as a share of a mean shard, before slots are moved.
 SLACK = 0.05
+#: Repeats of one row that are hashed together.
+REPEATS = 16
 
 
 @dataclass(frozen=True)
@@ -48,21 +50,44 @@ class SlotMap:
         return spark.createDataFrame(rows, "shards int, virtual_slot int, shard int, bytes long, rows long, first long")
 
     def store(self, spark: SparkSession, folder: str) -> None:
-        """Add this version to the table under ``folder``; a version that is there already is an error."""
-        self.frame(spark).coalesce(1).write.mode("error").parquet(f"{folder}/version={self.version}")
+        """Add this version to the table under ``folder``; a version that is there already is an error.
+
+        It is written under a hidden name and renamed when it is whole: a writer that dies leaves no version.
+        """
+        fs, path = _files(spark, folder)
+        if self.version in _versions(spark, folder):
+            raise FileExistsError(f"{folder} has version {self.version}")
+        hidden, final = f"{folder}/.{uuid.uuid4().hex}", path(f"{folder}/version={self.version}")
+        self.frame(spark).coalesce(1).write.parquet(hidden)
+        fs.delete(final, True)  # of a writer that died
+        if not fs.rename(path(hidden), final):
+            raise FileExistsError(f"{folder}: version {self.version} was written meanwhile")
 
     @classmethod
     def stored(cls, spark: SparkSession, folder: str, version: int | None = None) -> SlotMap | None:
-        """The newest version (or a given one) of the table under ``folder``, None if there is no table."""
-        try:
-            table = spark.read.parquet(folder)
-        except AnalysisException:
+        """The newest whole version (or a given one) of the table under ``folder``, None if there is none."""
+        version = version if version is not None else max(_versions(spark, folder), default=None)
+        if version is None:
             return None
-        version = version if version is not None else table.agg(F.max("version")).first()[0]
-        rows = sorted(table.where(F.col("version") == version).collect(), key=lambda r: r.virtual_slot)  # one a slot
+        rows = sorted(spark.read.parquet(f"{folder}/version={version}").collect(), key=lambda r: r.virtual_slot)  # one a slot
         return cls(version, rows[0].shards, *(tuple(r[c] for r in rows) for c in ("shard", "bytes", "rows")))
 
 
+def _files(spark: SparkSession, folder: str):
+    """The file system of a folder, and what makes its paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions under ``folder`` that are whole; a folder that can't be read is an error."""
+    fs, path = _files(spark, folder)
+    if not fs.exists(path(folder)):
+        return []
+    found = (s.getPath() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("version="))
+    return [int(p.getName().removeprefix("version=")) for p in found if fs.exists(path(p, "_SUCCESS"))]
+
+
 def balanced(bytes_: list[int], rows: list[int], shards: int) -> SlotMap:
     """Version 1 of a map: heaviest slot first, each to the lightest shard so far (ties: smaller number)."""
     heap, shard_of = [(0, s) for s in range(shards)], [0] * len(bytes_)
@@ -117,9 +142,13 @@ def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slo
     """doc_id, size, text_crc32, virtual_slot of each row; a null text has no bytes."""
     text = F.coalesce(col(text_col), F.lit(""))
     rows = docs.select(col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    # what is hashed has the text in it, so that many rows of one id don't share a slot; rows without id count by their place
-    named = F.concat_ws(":", F.col("doc_id").cast("string"), "text_crc32", "size", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id().cast("string")))
-    return rows.withColumn("virtual_slot", F.pmod(F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int"))
+    # repeated rows are counted, and hashed some at a time: neither a task nor a slot gets all of them
+    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    some = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS))).alias("salt"))
+    named = F.concat_ws(":", F.col("doc_id").cast("string"), "text_crc32", "size", F.when(F.col("salt") > 0, F.concat(F.lit("+"), F.col("salt").cast("string"))))
+    slot = F.pmod(F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
+    times = F.least(F.col("n") - F.col("salt") * REPEATS, F.lit(REPEATS)).cast("int")
+    return some.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"), F.explode(F.sequence(F.lit(1), times)).alias("time")).drop("time")
 
 
 def slot_totals(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -148,9 +177,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_co
     is grown, and where shards have come to differ by more than ``SLACK`` it is rebalanced; either way only some slots
     move, and the next version is stored. Without ``folder``, a new one is used.
 
-    Sizes are equal up to the largest virtual slot. Nulls: a null text counts no bytes but the overhead; rows with null
-    ids are spread by their place in the table. Repeated rows share a virtual slot and get places of their own. An
-    empty table gives no rows. Other columns are ignored. Only ids, sizes and checksums are shuffled, never texts.
+    Sizes are equal up to the largest virtual slot. Nulls: a null text counts no bytes but the overhead; null ids are
+    an id like others. Repeated rows (same id, size and checksum) are spread, 16 to a virtual slot, and get places of
+    their own. An empty table gives no rows. Other columns are ignored. Only ids, sizes and checksums are shuffled, never texts.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "slot-map")
