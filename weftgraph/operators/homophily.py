@@ -6,7 +6,7 @@ depend on the order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import written
@@ -20,11 +20,15 @@ def with_neighbours(edges: DataFrame, values: DataFrame) -> DataFrame:
     return values.join(sums, "node", "left").select("node", "s", F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("near", F.lit(0)).alias("near"))
 
 
-def moments(table: DataFrame) -> DataFrame:
-    """One row: ends (edge ends), mu, var of the scalar over them, sum_cross of products over both directions."""
-    sums = table.agg(F.sum("d").alias("ends"), F.sum(F.col("d") * F.col("s")).alias("ds"), F.sum(F.col("d") * F.col("s") * F.col("s")).alias("dss"), F.sum(F.col("s") * F.col("near")).alias("cross"))
+def moments(table: DataFrame, of: Column | None = None) -> DataFrame:
+    """One row: ends (edge ends), mu, var of the scalar over them, sum_cross of products over both directions.
+
+    With ``of``, an expression of the node that names its graph: one row a graph, with that name as ``of``.
+    """
+    by = [] if of is None else [of.alias("of")]
+    sums = table.groupBy(*by).agg(F.sum("d").alias("ends"), F.sum(F.col("d") * F.col("s")).alias("ds"), F.sum(F.col("d") * F.col("s") * F.col("s")).alias("dss"), F.sum(F.col("s") * F.col("near")).alias("cross"))
     mean = F.try_divide("ds", "ends")
-    return sums.select("ends", mean.alias("mu"), (F.try_divide("dss", "ends") - mean * mean).alias("var"), F.try_divide("cross", "ends").alias("cross"))
+    return sums.select(*(["of"] if by else []), "ends", mean.alias("mu"), (F.try_divide("dss", "ends") - mean * mean).alias("var"), F.try_divide("cross", "ends").alias("cross"))
 
 
 def _checked(m: DataFrame) -> DataFrame:
@@ -32,25 +36,33 @@ def _checked(m: DataFrame) -> DataFrame:
     return m.withColumn("var", F.when(bad, F.raise_error(F.lit("no edges, or the scalar has zero variance over edge ends")).cast("double")).otherwise(F.col("var")))
 
 
-def hv(edges: DataFrame, values: DataFrame) -> DataFrame:
+def _beside_moments(table: DataFrame, of: Column | None) -> DataFrame:
+    """``table`` with the moments of its graph in each row."""
+    if of is None:
+        return table.crossJoin(F.broadcast(_checked(moments(table))))  # one row
+    return table.withColumn("of", of).join(_checked(moments(table, of)), "of")  # one row a graph
+
+
+def hv(edges: DataFrame, values: DataFrame, of: Column | None = None) -> DataFrame:
     """node, s, hv: each node's part of the assortativity, (s-mu) (near - d mu) / (4 M var). They sum to r / 2.
 
-    Sums over neighbours are written, as the moments and the rows both read them.
+    Sums over neighbours are written, as the moments and the rows both read them. With ``of`` as in ``moments``, each
+    node's part of its own graph's.
     """
     t = written(with_neighbours(edges, values), "neighbours")
-    return t.crossJoin(F.broadcast(_checked(moments(t)))).select("node", "s", F.expr("(s - mu) * (near - d * mu) / (2 * ends * var)").alias("hv"))
+    return _beside_moments(t, of).select("node", "s", F.expr("(s - mu) * (near - d * mu) / (2 * ends * var)").alias("hv"))
 
 
-def ghv(edges: DataFrame, values: DataFrame) -> DataFrame:
+def ghv(edges: DataFrame, values: DataFrame, of: Column | None = None) -> DataFrame:
     """node, s, ghv: (s-mu) (near - d mu) / (d var), 0 without edges. Weighted by degree they average to r."""
     t = written(with_neighbours(edges, values), "neighbours")
-    return t.crossJoin(F.broadcast(_checked(moments(t)))).select("node", "s", F.expr("if(d = 0, 0D, (s - mu) * (near - d * mu) / (d * var))").alias("ghv"))
+    return _beside_moments(t, of).select("node", "s", F.expr("if(d = 0, 0D, (s - mu) * (near - d * mu) / (d * var))").alias("ghv"))
 
 
-def assortativity(edges: DataFrame, values: DataFrame, digits: int | None = None) -> DataFrame:
-    """One row: r, the correlation of the scalar over both directions of edges; null if its variance is 0."""
+def assortativity(edges: DataFrame, values: DataFrame, digits: int | None = None, of: Column | None = None) -> DataFrame:
+    """One row (with ``of``, one a graph): r, the correlation of the scalar over both directions of edges; null if its variance is 0."""
     r = F.when(F.col("var") > 1e-15, (F.col("cross") - F.col("mu") * F.col("mu")) / F.col("var"))
-    return moments(with_neighbours(edges, values)).select((F.bround(r, digits) if digits is not None else r).alias("r"))
+    return moments(with_neighbours(edges, values), of).select(*([] if of is None else ["of"]), (F.bround(r, digits) if digits is not None else r).alias("r"))
 
 
 def degree_assortativity(edges: DataFrame, digits: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw_index, draw_key, half_even, plain_name
-from ..plans.rank import ranked
+from ..plans.rank import first_in, ranked
 from . import graph
 
 TAUS = (0.0, 0.1, 0.2, 0.3)
@@ -18,14 +18,18 @@ BINS = ("Q1", "Q2", "Q3", "Q4")
 SETS = {"hv_s1": ("hv_s1", True), "bridgecc": ("bridgecc", False)}
 
 
-def degree_quartiles(degrees: DataFrame) -> DataFrame:
-    """node, degree, bin: Q1 to Q4 by the exact quartiles of the degrees (linear), upper edges included."""
+def degree_quartiles(degrees: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """node, degree, bin: Q1 to Q4 by the exact quartiles of the degrees (linear), upper edges included.
+
+    ``by``, here and below, are columns that name a graph: everything is then taken within each, and they are in the result.
+    """
     # degrees are counted first: as many rows as there are different degrees
-    counts = degrees.groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
-    q = counts.agg(F.percentile("degree", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"))
+    counts = degrees.groupBy(*by, "degree").agg(F.count(F.lit(1)).alias("n"))
+    q = counts.groupBy(*by).agg(F.percentile("degree", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"))
     d = F.col("degree")
     label = F.when(d <= F.col("q")[0], "Q1").when(d <= F.col("q")[1], "Q2").when(d <= F.col("q")[2], "Q3").otherwise("Q4")
-    return degrees.crossJoin(F.broadcast(q)).select("node", "degree", label.alias("bin"))
+    both = degrees.join(q, list(by)) if by else degrees.crossJoin(F.broadcast(q))  # one row, or one a graph
+    return both.select(*by, "node", "degree", label.alias("bin"))
 
 
 def inter_degrees(edges: DataFrame, members: DataFrame, nodes: DataFrame, taus: tuple[float, ...] = TAUS) -> DataFrame:
@@ -43,13 +47,16 @@ def inter_degrees(edges: DataFrame, members: DataFrame, nodes: DataFrame, taus:
     return every.join(ends, ["tau", "node"], "left").select("tau", "node", F.coalesce("inter_deg", F.lit(0)).alias("inter_deg"))
 
 
-def target_sets(metrics: DataFrame, budget: float = 0.10) -> DataFrame:
+def target_sets(metrics: DataFrame, budget: float = 0.10, by: tuple[str, ...] = ()) -> DataFrame:
     """strategy, node, place (0-based): the most boundary-like nodes by each strategy, a share ``budget`` of all."""
-    k = max(1, half_even(budget * metrics.count()))
+    size = F.greatest(F.lit(1.0), F.bround(F.lit(budget) * F.count(F.lit(1)), 0)).cast("long")
+    sizes = metrics.groupBy(*by).agg(size.alias("k"))
     out = None
     for name, (column, ascending) in SETS.items():
-        by = F.col(column).asc() if ascending else F.col(column).desc()
-        top = ranked(metrics.select("node", column), [by, F.col("node").asc()], name="place").where(F.col("place") < k).select(F.lit(name).alias("strategy"), "node", "place")
+        order = F.col(column).asc() if ascending else F.col(column).desc()
+        places = ranked(metrics.select(*by, "node", column), [order, F.col("node").asc()], by, name="place")
+        places = places.join(sizes, list(by)) if by else places.crossJoin(F.broadcast(sizes))  # one row, or one a graph
+        top = places.where("place < k").select(*by, F.lit(name).alias("strategy"), "node", "place")
         out = top if out is None else out.unionByName(top)
     return out
 
@@ -65,56 +72,53 @@ def _stats(by: list[str]):
     return of
 
 
-def observed(sets: DataFrame, inter: DataFrame, quartiles: DataFrame) -> DataFrame:
+def observed(sets: DataFrame, inter: DataFrame, quartiles: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """tau, strategy, ier_stub (edge ends), ier_node_mean, n_selected."""
-    return _stats(["tau", "strategy"])(sets.join(quartiles, "node").join(inter, "node"))
+    return _stats([*by, "tau", "strategy"])(sets.join(quartiles, [*by, "node"]).join(inter, [*by, "node"]))
 
 
-def by_degree_bin(sets: DataFrame, inter: DataFrame, quartiles: DataFrame) -> DataFrame:
+def by_degree_bin(sets: DataFrame, inter: DataFrame, quartiles: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """As ``observed`` for each degree bin that a set reaches."""
-    return _stats(["tau", "strategy", "bin"])(sets.join(quartiles, "node").join(inter, "node"))
+    return _stats([*by, "tau", "strategy", "bin"])(sets.join(quartiles, [*by, "node"]).join(inter, [*by, "node"]))
 
 
-def bootstrap(sets: DataFrame, inter: DataFrame, quartiles: DataFrame, repeats: int = 300, seed: int = 42) -> DataFrame:
+def bootstrap(sets: DataFrame, inter: DataFrame, quartiles: DataFrame, repeats: int = 300, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
     """tau, strategy, and the 2.5 and 97.5 percentiles of both statistics over resampled sets.
 
     Draw j of repetition r is the set's member number hash(seed, strategy, r, j) mod k; draws are joined to members
     by that number, and each repetition is one group.
     """
-    sizes = sets.groupBy("strategy").agg(F.count(F.lit(1)).alias("k"))
-    draws = sizes.select("strategy", "k", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")).select("strategy", "k", "rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("j"))
-    draws = draws.select("strategy", "rep", draw_index(F.col("k"), seed, "boot", F.col("strategy"), F.col("rep"), F.col("j")).alias("place"))
+    own = [*by, "strategy"]
+    sizes = sets.groupBy(*own).agg(F.count(F.lit(1)).alias("k"))
+    draws = sizes.select(*own, "k", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")).select(*own, "k", "rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("j"))
+    draws = draws.select(*own, "rep", draw_index(F.col("k"), seed, "boot", F.col("strategy"), F.col("rep"), F.col("j")).alias("place"))
     # how often a repetition draws a member; statistics then need one row for each
-    often = draws.groupBy("strategy", "rep", "place").agg(F.count(F.lit(1)).alias("n"))
-    rows = often.join(sets, ["strategy", "place"]).join(quartiles, "node").join(inter, "node")
-    each = rows.groupBy("tau", "strategy", "rep").agg(
+    often = draws.groupBy(*own, "rep", "place").agg(F.count(F.lit(1)).alias("n"))
+    rows = often.join(sets, [*own, "place"]).join(quartiles, [*by, "node"]).join(inter, [*by, "node"])
+    each = rows.groupBy(*by, "tau", "strategy", "rep").agg(
         F.try_divide(F.sum(F.col("n") * F.col("inter_deg")).cast("double"), F.sum(F.col("n") * F.col("degree")).cast("double")).alias("stub"),
         (F.sum(F.col("n") * (F.col("inter_deg") / F.greatest(F.lit(1), F.col("degree")))) / F.sum("n")).alias("nm"),
     )
     ends = F.array(F.lit(0.025), F.lit(0.975))
-    q = each.groupBy("tau", "strategy").agg(F.percentile("stub", ends).alias("s"), F.percentile("nm", ends).alias("m"))
-    return q.select("tau", "strategy", F.col("s")[0].alias("stub_low"), F.col("s")[1].alias("stub_high"), F.col("m")[0].alias("nm_low"), F.col("m")[1].alias("nm_high"))
+    q = each.groupBy(*by, "tau", "strategy").agg(F.percentile("stub", ends).alias("s"), F.percentile("nm", ends).alias("m"))
+    return q.select(*by, "tau", "strategy", F.col("s")[0].alias("stub_low"), F.col("s")[1].alias("stub_high"), F.col("m")[0].alias("nm_low"), F.col("m")[1].alias("nm_high"))
 
 
-def null_statistics(sets: DataFrame, inter: DataFrame, quartiles: DataFrame, repeats: int = 500, seed: int = 42) -> DataFrame:
+def null_statistics(sets: DataFrame, inter: DataFrame, quartiles: DataFrame, repeats: int = 500, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
     """tau, strategy, rep, stub, nm of random sets with as many nodes of each degree bin as the strategy's set.
 
     Without replacement: the first nodes of a bin in the order of hash(seed, strategy, rep, node). A set is part of
-    the nodes, so that a bin always suffices.
+    the nodes, so that a bin always suffices. Only nodes whose hash is small enough are sorted, see ``first_in``.
     """
-    need = sets.join(quartiles, "node").groupBy("strategy", "bin").agg(F.count(F.lit(1)).alias("need"))
-    pool = quartiles.join(F.broadcast(need), "bin")  # four bins for each strategy
+    need = sets.join(quartiles, [*by, "node"]).groupBy(*by, "strategy", "bin").agg(F.count(F.lit(1)).alias("need"))
+    pool = quartiles.join(need, [*by, "bin"])  # four bins for each strategy and graph
     reps = pool.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    keyed = reps.select("strategy", "rep", "bin", "need", "node", "degree", draw_key(seed, "perm", F.col("strategy"), F.col("rep"), F.col("node")).alias("key"))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("strategy", "rep", "bin").orderBy("key", "node")
-    drawn = keyed.withColumn("place", F.row_number().over(w)).where("place <= need").select("strategy", "rep", "node", "degree")
-    each = drawn.join(inter, "node").groupBy("tau", "strategy", "rep").agg(
+    keyed = reps.select(*by, "strategy", "rep", "bin", "need", "node", "degree", draw_key(seed, "perm", F.col("strategy"), F.col("rep"), F.col("node")).alias("key"))
+    drawn = first_in(keyed, (*by, "strategy", "rep", "bin"), "key", "node", "need")
+    return drawn.join(inter, [*by, "node"]).groupBy(*by, "tau", "strategy", "rep").agg(
         F.try_divide(F.sum("inter_deg").cast("double"), F.sum("degree").cast("double")).alias("stub"),
         F.avg(F.col("inter_deg") / F.greatest(F.lit(1), F.col("degree"))).alias("nm"),
     )
-    return each
 
 
 def _p_values(null: DataFrame, obs: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
@@ -128,38 +132,45 @@ def _p_values(null: DataFrame, obs: DataFrame, by: list[str], value: str, out: s
     return p.select(*by, F.least(F.lit(1.0), "one").alias(f"{out}_one"), F.least(F.lit(1.0), "two").alias(f"{out}_two"))
 
 
-def permutation_p(null: DataFrame, obs: DataFrame) -> DataFrame:
+def permutation_p(null: DataFrame, obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """tau, strategy and p-values of both statistics; null: ``null_statistics``, obs: ``observed``."""
-    seen = obs.select("tau", "strategy", F.col("ier_stub").alias("stub"), F.col("ier_node_mean").alias("nm"))
-    by = ["tau", "strategy"]
-    return _p_values(null, seen, by, "stub", "p_stub").join(_p_values(null, seen, by, "nm", "p_nm"), by)
+    own = [*by, "tau", "strategy"]
+    seen = obs.select(*own, F.col("ier_stub").alias("stub"), F.col("ier_node_mean").alias("nm"))
+    return _p_values(null, seen, own, "stub", "p_stub").join(_p_values(null, seen, own, "nm", "p_nm"), own)
+
+
+def _named(dataset: str | None):
+    """The given name, or with several graphs in one table their own column."""
+    return F.col("dataset") if dataset is None else F.lit(dataset).alias("dataset")
 
 
-def summary(obs: DataFrame, intervals: DataFrame, p: DataFrame, dataset: str, repeats: int = 500) -> DataFrame:
-    """The standard rows: one for each tau and strategy."""
-    t = obs.join(intervals, ["tau", "strategy"]).join(p, ["tau", "strategy"])
+def summary(obs: DataFrame, intervals: DataFrame, p: DataFrame, dataset: str | None, repeats: int = 500, by: tuple[str, ...] = ()) -> DataFrame:
+    """The standard rows: one for each tau and strategy (and graph)."""
+    own = [*by, "tau", "strategy"]
+    t = obs.join(intervals, own).join(p, own)
     return t.select(
-        F.lit(dataset).alias("dataset"), "tau", "strategy", "ier_node_mean", F.col("nm_low").alias("ier_node_mean_ci_low"), F.col("nm_high").alias("ier_node_mean_ci_high"), F.col("p_nm_two").alias("p_perm_nm"),
+        _named(dataset), "tau", "strategy", "ier_node_mean", F.col("nm_low").alias("ier_node_mean_ci_low"), F.col("nm_high").alias("ier_node_mean_ci_high"), F.col("p_nm_two").alias("p_perm_nm"),
         "ier_stub", F.col("stub_low").alias("ier_stub_ci_low"), F.col("stub_high").alias("ier_stub_ci_high"), F.col("p_stub_two").alias("p_perm_stub"), "n_selected", F.lit(repeats).alias("k_permutations"),
     )
 
 
-def delta_statistics(null: DataFrame, obs: DataFrame) -> DataFrame:
+def delta_statistics(null: DataFrame, obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """tau and hv_s1 minus bridgecc of both statistics (stub, nm), with p-values against the differences of paired repetitions."""
 
-    def minus(df: DataFrame, by: list[str], cols: dict[str, str]) -> DataFrame:
+    def minus(df: DataFrame, keys: list[str], cols: dict[str, str]) -> DataFrame:
         pick = lambda c, s: F.max(F.when(F.col("strategy") == s, F.col(c)))
-        return df.groupBy(*by).agg(*((pick(c, "hv_s1") - pick(c, "bridgecc")).alias(n) for c, n in cols.items()))
+        return df.groupBy(*keys).agg(*((pick(c, "hv_s1") - pick(c, "bridgecc")).alias(n) for c, n in cols.items()))
 
-    d0 = minus(null, ["tau", "rep"], {"stub": "stub", "nm": "nm"})
-    d1 = minus(obs, ["tau"], {"ier_stub": "stub", "ier_node_mean": "nm"})
-    p = _p_values(d0, d1, ["tau"], "stub", "p_stub").join(_p_values(d0, d1, ["tau"], "nm", "p_nm"), "tau")
-    return d1.join(p, "tau")
+    own = [*by, "tau"]
+    d0 = minus(null, [*own, "rep"], {"stub": "stub", "nm": "nm"})
+    d1 = minus(obs, own, {"ier_stub": "stub", "ier_node_mean": "nm"})
+    p = _p_values(d0, d1, own, "stub", "p_stub").join(_p_values(d0, d1, own, "nm", "p_nm"), own)
+    return d1.join(p, own)
 
 
-def deltas(null: DataFrame, obs: DataFrame, dataset: str) -> DataFrame:
+def deltas(null: DataFrame, obs: DataFrame, dataset: str | None, by: tuple[str, ...] = ()) -> DataFrame:
     """The published rows of ``delta_statistics``, with two-tailed p-values."""
-    return delta_statistics(null, obs).select(F.lit(dataset).alias("dataset"), "tau", F.col("nm").alias("delta_ier_node_mean"), F.col("p_nm_two").alias("p_perm_nm_delta"), F.col("stub").alias("delta_ier_stub"), F.col("p_stub_two").alias("p_perm_stub_delta"))
+    return delta_statistics(null, obs, by).select(_named(dataset), "tau", F.col("nm").alias("delta_ier_node_mean"), F.col("p_nm_two").alias("p_perm_nm_delta"), F.col("stub").alias("delta_ier_stub"), F.col("p_stub_two").alias("p_perm_stub_delta"))
 
 
 def at_tau(rows: DataFrame, tau: float) -> DataFrame:

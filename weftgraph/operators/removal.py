@@ -41,11 +41,11 @@ def total_weight(inter: DataFrame) -> DataFrame:
     return inter.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w0"), F.count(F.lit(1)).alias("n_inter"))
 
 
-def metric_ranks(metrics: DataFrame, column: str, ascending: bool, strategy: str) -> DataFrame:
-    """strategy, node, rank by a metric (ties: smaller node); nodes without a finite value are left out."""
+def metric_ranks(metrics: DataFrame, column: str, ascending: bool, strategy: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """strategy, node, rank by a metric (ties: smaller node), within each value of ``by``; nodes without a finite value are left out."""
     own = metrics.where(is_finite(F.col(column)))
     order = [F.col(column).asc() if ascending else F.col(column).desc(), F.col("node").asc()]
-    return ranked(own.select("node", column), order).select(F.lit(strategy).alias("strategy"), "node", "rank")
+    return ranked(own.select(*by, "node", column), order, by).select(*by, F.lit(strategy).alias("strategy"), "node", "rank")
 
 
 def strategy_ranks(metrics: DataFrame, strategy: str, nodes: DataFrame | None = None, reverse: bool = False, seed: int = 12345) -> DataFrame | None:
@@ -59,11 +59,11 @@ def strategy_ranks(metrics: DataFrame, strategy: str, nodes: DataFrame | None =
     return metric_ranks(table, column, ascending != reverse, strategy) if column in table.columns else None
 
 
-def random_ranks(nodes: DataFrame, repeats: int, seed: int = 12345) -> DataFrame:
-    """strategy rand_1.. , node, rank: random permutations of the nodes, the same in every engine."""
-    reps = nodes.select("node").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    keyed = reps.select(F.concat(F.lit("rand_"), F.col("rep").cast("string")).alias("strategy"), "node", draw_key(seed, F.col("rep"), F.col("node")).alias("key"))
-    return ranked(keyed, [F.col("key").asc(), F.col("node").asc()], ("strategy",)).select("strategy", "node", "rank")
+def random_ranks(nodes: DataFrame, repeats: int, seed: int = 12345, by: tuple[str, ...] = ()) -> DataFrame:
+    """strategy rand_1.. , node, rank: random permutations of the nodes (of each value of ``by``), the same in every engine."""
+    reps = nodes.select(*by, "node").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    keyed = reps.select(*by, F.concat(F.lit("rand_"), F.col("rep").cast("string")).alias("strategy"), "node", draw_key(seed, F.col("rep"), F.col("node")).alias("key"))
+    return ranked(keyed, [F.col("key").asc(), F.col("node").asc()], (*by, "strategy")).select(*by, "strategy", "node", "rank")
 
 
 def grid(n: int, step: float = 0.02) -> list[int]:
@@ -76,11 +76,18 @@ def _curve(deaths: DataFrame, ranks: DataFrame, n: int, points: list[int]) -> Da
     """strategy, k, p, value: weight of what dies at rank k or later; deaths: strategy, death, w."""
     ks = F.array(*[F.lit(k).cast("long") for k in points])
     alive = deaths.select("strategy", F.size(F.filter(ks, lambda k: k <= F.col("death"))).alias("at"), "w").groupBy("strategy", "at").agg(F.sum("w").alias("w"))
-    # (strategies x points) rows from here on
-    frame = ranks.select("strategy").distinct().select("strategy", F.posexplode(ks).alias("i", "k"))
-    later = Window.partitionBy("strategy").orderBy(F.desc("i"))
-    joined = frame.join(alive.select("strategy", (F.col("at") - 1).alias("i"), "w"), ["strategy", "i"], "left")
-    return joined.select("strategy", "k", (F.col("k") / F.lit(max(n, 1))).alias("p"), F.sum(F.coalesce("w", F.lit(0))).over(later).cast("double").alias("value"))
+    frame = ranks.select("strategy").distinct().select("strategy", F.lit(n).alias("n"), F.posexplode(ks).alias("i", "k"))
+    return survived(frame, alive.select("strategy", (F.col("at") - 1).alias("i"), "w"), ("strategy",))
+
+
+def survived(frame: DataFrame, alive: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, k, p, value: the points ``frame`` (by, n, i, k) of curves with all the weight whose last point isn't before them; alive: by, i, w.
+
+    There are as many rows as curves have points.
+    """
+    later = Window.partitionBy(*by).orderBy(F.desc("i"))
+    joined = frame.join(alive, [*by, "i"], "left")
+    return joined.select(*by, "k", (F.col("k") / F.greatest("n", F.lit(1))).alias("p"), F.sum(F.coalesce("w", F.lit(0))).over(later).cast("double").alias("value"))
 
 
 def weight_curve(inter: DataFrame, ranks: DataFrame, semantics: str = "exact", step: float = 0.02, n: int | None = None) -> DataFrame:

@@ -8,8 +8,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, homophily, removal, scalars, structure
-from .tables import written
+from ..operators import datasets, graph, homophily, removal, scalars, structure
+from ..sources import names, sinks, text
+from .tables import new_folder, written
 
 
 def rounded(df: DataFrame, digits: int = 10) -> DataFrame:
@@ -68,3 +69,22 @@ class Fixture:
 
     def random(self, repeats: int = 20) -> DataFrame:
         return removal.random_ranks(self.nodes, repeats)
+
+    @cached_property
+    def datasets(self) -> tuple[DataFrame, DataFrame]:
+        """Edges and members of three graphs, of which the fixture graph is one: parts whose lines in one order have the same return flag."""
+        r = self.lineitem.select(F.col("l_returnflag").alias("dataset"), "l_orderkey", "l_partkey")
+        a, b = r.withColumnRenamed("l_partkey", "u"), r.withColumnRenamed("l_partkey", "v")
+        edges = a.join(b, ["dataset", "l_orderkey"]).where("u < v").select("dataset", "u", "v").distinct()
+        members = self.members.withColumn("dataset", F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))))
+        return written(datasets.key_nodes(edges, "u", "v").drop("dataset"), "edges"), datasets.key_nodes(members, "node").drop("dataset")
+
+    def named(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The fixture graph with names for nodes, by way of files: dictionary, and edges and members with ids from it."""
+        path = new_folder(self.spark, "named")
+        name = lambda c: F.concat(F.lit("part-"), F.col(c).cast("string")).alias(c)
+        sinks.write_edges(self.edges.select(name("u"), name("v")), f"{path}/network")
+        sinks.write_communities(self.members.select(name("node"), "comm"), f"{path}/communities")
+        edges, members = text.read_edges(self.spark, f"{path}/network", kind="string"), text.read_communities(self.spark, f"{path}/communities", kind="string")
+        ids = names.dictionary(names.names_in((edges, ("u", "v")), (members, ("node",))))
+        return ids, written(names.encoded(edges, ids, "u", "v"), "edges"), written(names.encoded(members, ids, "node"), "members")

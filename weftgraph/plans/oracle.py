@@ -164,6 +164,8 @@ _FINAL = {
     "sensitivity_markers": "SELECT 'fixture' AS dataset, 0.01::DOUBLE AS p0, avg(x) AS S_cut_mean, median(x) AS S_cut_median, stddev_samp(x) AS S_cut_std, (SELECT avg(s) FROM s2) AS m_mean, (SELECT avg((s > 1)::INT) FROM s2) AS psi, max(n) AS n, (SELECT count(*) FROM edges) AS e, (SELECT arg_max(metric_value, fraction_removed) / arg_min(metric_value, fraction_removed) FROM hc WHERE metric_value IS NOT NULL AND fraction_removed <= 0.01) AS h_hat_p0 FROM (SELECT coalesce(c, 0)::DOUBLE / degree AS x, n FROM rlow JOIN deg USING (node) LEFT JOIN (SELECT node, count(*) AS c FROM (SELECT u AS node FROM inter UNION ALL SELECT v FROM inter) GROUP BY node) USING (node), nn WHERE r < greatest(1, round_even(0.01::DOUBLE * n, 0)))",
     "rho_summary_all": "SELECT 'fixture' AS dataset, strategy, step / 100.0::DOUBLE AS p, rho AS rho_GCC FROM rho WHERE step IN (5, 10)",
     "hv_resumed": "SELECT node, b.hv AS hv_s0, b.s AS s0, a.hv AS hv_s1, a.s AS s1 FROM hv_s1 a JOIN hv_s0 b USING (node)",
+    "name_dictionary": "SELECT row_number() OVER (ORDER BY name) - 1 AS node, name FROM (SELECT 'part-' || node AS name FROM nodes UNION SELECT 'part-' || node FROM members)",
+    "named_hv_metrics": "SELECT 'part-' || node AS node, s, hv FROM hv_s1",
     "edge_styles": "SELECT u, v, h_e, CASE WHEN abs(h_e) <= 1e-6 THEN 'neutral' WHEN h_e > 0 THEN 'positive' ELSE 'negative' END AS class, abs(h_e) / (SELECT max(abs(h_e)) FROM eh) AS width FROM eh",
 }
 
@@ -240,6 +242,16 @@ _DOUBLES = {
     "rho_summary_all": ["p", "rho_GCC"],
     "hv_resumed": ["hv_s0", "hv_s1"],
     "edge_styles": ["h_e", "width"],
+    "named_hv_metrics": ["hv"],
+}
+#: Results of several graphs at once, from those of each alone.
+_DATASETS = {
+    "hv_s1_datasets": ("SELECT node, s, hv FROM hv_s1", ["hv"]),
+    "assortativity_datasets": ("SELECT corr(a.s, b.s) AS r FROM adj JOIN s1 a ON a.node = u JOIN s1 b ON b.node = v", ["r"]),
+    "components_datasets": ("SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(DISTINCT component) FROM comps) AS n_components, component AS giant, (SELECT count(*) FROM comps c WHERE c.component = big.component) AS giant_size FROM big", []),
+    "w_inter_curve_datasets": ("SELECT strategy, k, p, value FROM curve WHERE strategy IN ('low_hv', 'rand_1', 'rand_2')", ["p", "value"]),
+    "ier_observed_datasets": ("SELECT tau, strategy, ier_stub, ier_node_mean, n_selected FROM obs", ["tau", "ier_stub", "ier_node_mean"]),
+    "ier_summary_datasets": ("SELECT * EXCLUDE (dataset) FROM summ", ["tau", "ier_node_mean", "ier_node_mean_ci_low", "ier_node_mean_ci_high", "p_perm_nm", "ier_stub", "ier_stub_ci_low", "ier_stub_ci_high", "p_perm_stub"]),
 }
 
 
@@ -248,4 +260,10 @@ def _rounded(name: str) -> str:
     return f"SELECT * REPLACE ({', '.join(f'round({c}::DOUBLE, 10) AS {c}' for c in own)}) FROM ({_FINAL[name]})" if own else _FINAL[name]
 
 
-ORACLES: dict[str, str] = {name: _whole(_rounded(name)) for name in _FINAL}
+def _each(final: str, doubles: list[str]) -> str:
+    """The statement over the graph of each return flag, one after the other."""
+    whole = _whole(f"SELECT * REPLACE ({', '.join(f'round({c}::DOUBLE, 10) AS {c}' for c in doubles)}) FROM ({final})" if doubles else final)
+    return " UNION ALL ".join("SELECT '{0}' AS dataset, * FROM ({1})".format(flag, whole.replace("l_returnflag = 'R'", f"l_returnflag = '{flag}'")) for flag in "ANR")
+
+
+ORACLES: dict[str, str] = {name: _whole(_rounded(name)) for name in _FINAL} | {name: _each(*final) for name, final in _DATASETS.items()}

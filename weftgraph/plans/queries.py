@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curves, describe, graph, homophily, ier, published, removal, scalars, structure
+from ..operators import curves, datasets, describe, graph, homophily, ier, published, removal, scalars, structure
+from ..sources import names
 from .fixture import Fixture, rounded
 from .tables import written
 
@@ -76,6 +77,18 @@ def _resumed(g: Fixture) -> DataFrame:
     return published.resumed(g.nodes, old, homophily.by_method(g.edges, published.memberships(g.members, None), ("s0", "s1")))
 
 
+def _named_hv(g: Fixture) -> DataFrame:
+    ids, edges, members = g.named()
+    return names.decoded(homophily.hv(edges, scalars.scalar("s1", edges, members)), ids)
+
+
+def _dataset_curves(g: Fixture) -> DataFrame:
+    edges, members = g.datasets
+    low = datasets.low_ranks(datasets.hv(edges, members).withColumnRenamed("hv", "hv_s1"), "hv_s1", True, "low_hv")
+    ranks = low.unionByName(datasets.random_ranks(datasets.flat(graph.vertices(edges)), 2))
+    return datasets.weight_curves(edges, members, written(ranks, "ranks"))
+
+
 TABLES: dict[str, Callable[[Fixture], DataFrame]] = {
     "edges_canonical": lambda g: graph.simplified(g.edges),
     "adjacency": lambda g: graph.adjacency(g.edges),
@@ -146,6 +159,14 @@ TABLES: dict[str, Callable[[Fixture], DataFrame]] = {
     "sensitivity_markers": _markers,
     "rho_summary_all": lambda g: published.all_datasets({"fixture": published.component_rows(removal.snapshots(_trajectory(g)), "fixture")}),
     "hv_resumed": _resumed,
+    "name_dictionary": lambda g: g.named()[0],
+    "named_hv_metrics": _named_hv,
+    "hv_s1_datasets": lambda g: datasets.hv(*g.datasets),
+    "assortativity_datasets": lambda g: datasets.assortativity(*g.datasets),
+    "components_datasets": lambda g: datasets.component_summary(g.datasets[0], graph.vertices(g.datasets[0])),
+    "w_inter_curve_datasets": _dataset_curves,
+    "ier_observed_datasets": lambda g: datasets.Ratios(*g.datasets).observed(),
+    "ier_summary_datasets": lambda g: datasets.Ratios(*g.datasets).summary(BOOT, PERM),
     "edge_styles": lambda g: describe.styled(g.edges, homophily.edge_homophily(g.edges, g.scalar("s1")), 1e-6),
 }
 

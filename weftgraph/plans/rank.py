@@ -24,3 +24,20 @@ def ranked(df: DataFrame, order: list[Column], groups: tuple[str, ...] = (), nam
     here = Window.partitionBy(*groups, "part_").orderBy(*order)
     numbered = dealt.withColumn("at_", F.row_number().over(here))
     return numbered.join(first, [*groups, "part_"]).withColumn(name, (F.col("first_") + F.col("at_") - 1).cast("long")).drop("part_", "at_", "first_")
+
+
+def first_in(df: DataFrame, groups: tuple[str, ...], key: str, tie: str, need: str, digits: int = 2) -> DataFrame:
+    """The ``need`` first rows of each group by ``key`` (ties: ``tie``), without ``need`` and ``key``. Exact.
+
+    ``key`` is a hash in hexadecimal digits, ``need`` the same within a group. A first pass counts rows by the key's
+    first digits; rows beyond the digits at which a group has enough aren't shuffled, and only the rest is sorted: what
+    is asked for, and the rows of one more beginning. Both passes read ``df``.
+    """
+    head = F.substring(key, 1, digits)
+    counts = df.groupBy(*groups, head.alias("head_")).agg(F.count(F.lit(1)).alias("n_"), F.max(need).alias("need_"))
+    upto = Window.partitionBy(*groups).orderBy("head_")
+    # the first beginning with which there are enough; a group with too few rows keeps all
+    cut = counts.withColumn("sum_", F.sum("n_").over(upto)).groupBy(*groups).agg(F.min(F.when(F.col("sum_") >= F.col("need_"), F.col("head_"))).alias("cut_"))
+    held = df.join(cut, list(groups)).where(F.col("cut_").isNull() | (head <= F.col("cut_")))
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(key, tie))
+    return held.withColumn("place_", place).where(F.col("place_") <= F.col(need)).drop("place_", "cut_", need, key)

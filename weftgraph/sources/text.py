@@ -53,22 +53,25 @@ def numbered_lines(spark: SparkSession, path: str, count_blank: bool = True) ->
     return lines.withColumn("at", at).join(first, "part").select((F.col("before") + F.col("at")).alias("n"), "value")
 
 
-def read_edges(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
-    """u, v (and w): an edge list, split at any white space; blank lines are skipped, edges are kept as they are."""
+def read_edges(spark: SparkSession, path: str, weighted: bool = False, kind: str = "bigint") -> DataFrame:
+    """u, v (and w): an edge list, split at any white space; blank lines are skipped, edges are kept as they are.
+
+    ``kind`` is the type of node ids, here and in the other readers: with ``string``, they are names (see ``names``).
+    """
     parts = F.split(F.trim(F.regexp_replace("value", "\\s+", " ")), " ")
     rows = spark.read.text(path).where(F.trim("value") != "").select(parts.alias("p"))
-    out = [F.col("p")[i].cast("long").alias(n) for i, n in enumerate(("u", "v"))]
+    out = [F.col("p")[i].cast(kind).alias(n) for i, n in enumerate(("u", "v"))]
     if weighted:
         out.append(F.coalesce(F.get(F.col("p"), F.lit(2)).try_cast("double"), F.lit(1.0)).alias("w"))
     return rows.select(*out)
 
 
-def read_communities(spark: SparkSession, path: str, separator: str = "\t", count_blank: bool = False) -> DataFrame:
+def read_communities(spark: SparkSession, path: str, separator: str = "\t", count_blank: bool = False, kind: str = "bigint") -> DataFrame:
     """node, comm: one community a line; its number is the line's, blank lines not counted unless ``count_blank``."""
     separator = "\t" if separator == "\\t" else separator
     full = numbered_lines(spark, path, count_blank).where(F.trim("value") != "")
     items = full.select(F.col("n").cast("int").alias("comm"), F.explode(F.split(F.trim("value"), separator)).alias("x"))
-    return items.where(F.trim("x") != "").select(F.trim("x").cast("long").alias("node"), "comm")
+    return items.where(F.trim("x") != "").select(F.trim("x").cast(kind).alias("node"), "comm")
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
@@ -78,13 +81,13 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return DELIMITERS[max(range(len(DELIMITERS)), key=lambda i: (counts[i], -i))]
 
 
-def read_node_communities(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+def read_node_communities(spark: SparkSession, path: str, delimiter: str | None = None, kind: str = "bigint") -> DataFrame:
     """node, comms: lines of a node and its communities (maybe none); of repeated nodes the last line holds, sets are sorted."""
     delimiter = delimiter or sniff_delimiter(spark, path)
     cells = F.filter(F.transform(F.split("value", "\\Q" + delimiter + "\\E"), lambda x: F.trim(x)), lambda x: x != "")
     rows = numbered_lines(spark, path).where(F.trim("value") != "").select("n", cells.alias("c"))
     comms = F.array_sort(F.array_distinct(F.transform(F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))), lambda x: x.cast("int"))))
-    return rows.select(F.col("c")[0].cast("long").alias("node"), "n", comms.alias("comms")).groupBy("node").agg(F.max_by("comms", "n").alias("comms"))
+    return rows.select(F.col("c")[0].cast(kind).alias("node"), "n", comms.alias("comms")).groupBy("node").agg(F.max_by("comms", "n").alias("comms"))
 
 
 def wide_memberships(node_comms: DataFrame, width: int) -> DataFrame:
@@ -98,12 +101,12 @@ def id_column(columns: list[str]) -> str:
     return next((lower[n.lower()] for n in ID_NAMES if n.lower() in lower), columns[0])
 
 
-def read_metrics(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
+def read_metrics(spark: SparkSession, path: str, types: dict[str, str] | None = None, kind: str = "bigint") -> DataFrame:
     """A metric table with header; its id column becomes ``node``, all others double unless ``types`` says otherwise."""
     raw = spark.read.csv(path, header=True)
     own, types = id_column(raw.columns), types or {}
     rest = [F.expr(f"try_cast(`{c}` as {types.get(c, 'double')})").alias(c) for c in raw.columns if c != own]
-    return raw.select(F.col(f"`{own}`").cast("long").alias("node"), *rest)
+    return raw.select(F.col(f"`{own}`").cast(kind).alias("node"), *rest)
 
 
 def read_curves(spark: SparkSession, *paths: str) -> DataFrame:
