@@ -166,6 +166,7 @@ _FINAL = {
     "hv_resumed": "SELECT node, b.hv AS hv_s0, b.s AS s0, a.hv AS hv_s1, a.s AS s1 FROM hv_s1 a JOIN hv_s0 b USING (node)",
     "name_dictionary": "SELECT row_number() OVER (ORDER BY name) - 1 AS node, name FROM (SELECT 'part-' || node AS name FROM nodes UNION SELECT 'part-' || node FROM members)",
     "named_hv_metrics": "SELECT 'part-' || node AS node, s, hv FROM hv_s1",
+    "project_metrics": "SELECT 'part-' || node AS node, hv AS hv_s1, s AS s1, bridgecc, degree, c AS num_communities FROM hv_s1 JOIN bcc USING (node) JOIN deg USING (node) LEFT JOIN nc USING (node)",
     "edge_styles": "SELECT u, v, h_e, CASE WHEN abs(h_e) <= 1e-6 THEN 'neutral' WHEN h_e > 0 THEN 'positive' ELSE 'negative' END AS class, abs(h_e) / (SELECT max(abs(h_e)) FROM eh) AS width FROM eh",
 }
 
@@ -243,6 +244,7 @@ _DOUBLES = {
     "hv_resumed": ["hv_s0", "hv_s1"],
     "edge_styles": ["h_e", "width"],
     "named_hv_metrics": ["hv"],
+    "project_metrics": ["hv_s1", "bridgecc"],
 }
 #: Results of several graphs at once, from those of each alone.
 _DATASETS = {

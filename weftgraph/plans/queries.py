@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import curves, datasets, describe, graph, homophily, ier, published, removal, scalars, structure
-from ..sources import names
+from ..sources import names, sinks
+from ..sources.text import DatasetPaths
 from .fixture import Fixture, rounded
-from .tables import written
+from .project import DatasetProject
+from .tables import new_folder, written
 
 REPEATS, BOOT, PERM = 20, 300, 500
 
@@ -82,6 +84,15 @@ def _named_hv(g: Fixture) -> DataFrame:
     return names.decoded(homophily.hv(edges, scalars.scalar("s1", edges, members)), ids)
 
 
+def _project(g: Fixture) -> DataFrame:
+    folder = new_folder(g.spark, "project")
+    paths = DatasetPaths(f"{folder}/files", "fixture")
+    named = lambda c: F.concat(F.lit("part-"), F.col(c).cast("string")).alias(c)
+    sinks.write_edges(g.edges.select(named("u"), named("v")), paths.network)
+    sinks.write_communities(g.members.select(named("node"), "comm"), paths.communities)
+    return DatasetProject(g.spark, f"{folder}/tables", paths, named=True).run("published").table("published", "all_metrics")
+
+
 def _dataset_curves(g: Fixture) -> DataFrame:
     edges, members = g.datasets
     low = datasets.low_ranks(datasets.hv(edges, members).withColumnRenamed("hv", "hv_s1"), "hv_s1", True, "low_hv")
@@ -161,6 +172,7 @@ TABLES: dict[str, Callable[[Fixture], DataFrame]] = {
     "hv_resumed": _resumed,
     "name_dictionary": lambda g: g.named()[0],
     "named_hv_metrics": _named_hv,
+    "project_metrics": _project,
     "hv_s1_datasets": lambda g: datasets.hv(*g.datasets),
     "assortativity_datasets": lambda g: datasets.assortativity(*g.datasets),
     "components_datasets": lambda g: datasets.component_summary(g.datasets[0], graph.vertices(g.datasets[0])),

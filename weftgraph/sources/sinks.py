@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import Files
+
 
 def write_metrics(df: DataFrame, path: str, mode: str = "error") -> None:
     """A metric table as CSV with header; ``node`` is written first, as ``Node ID``."""
@@ -17,20 +21,40 @@ def write_table(df: DataFrame, path: str, mode: str = "error", by: str | None =
     (out.partitionBy(by) if by else out).csv(path)
 
 
-def write_edges(edges: DataFrame, path: str, mode: str = "error") -> None:
-    edges.select(F.concat_ws("\t", "u", "v").alias("value")).write.mode(mode).text(path)
+def _write_lines(lines: DataFrame, path: str, mode: str, single: bool) -> None:
+    """Lines (value) in their order: a folder of part files, or ``single``, one file by that name, made of ordered parts."""
+    if not single:
+        lines.write.mode(mode).text(path)
+        return
+    folder, _, name = path.rpartition("/")
+    files = Files(lines.sparkSession, folder)
+    if mode != "overwrite" and files.exists(name):
+        raise FileExistsError(path)
+    parts = f".{uuid.uuid4().hex}"
+    lines.write.text(f"{folder}/{parts}")
+    files.joined(parts, name)
+    files.delete(parts)
+
+
+def write_edges(edges: DataFrame, path: str, mode: str = "error", single: bool = False) -> None:
+    """An edge a line, ends parted by a tab; a ``single`` file is sorted by both ends."""
+    if single:
+        edges = edges.repartitionByRange("u", "v").sortWithinPartitions("u", "v")
+    _write_lines(edges.select(F.concat_ws("\t", "u", "v").alias("value")), path, mode, single)
 
 
-def write_communities(members: DataFrame, path: str, mode: str = "error") -> None:
+def write_communities(members: DataFrame, path: str, mode: str = "error", single: bool = False) -> None:
     """One community a line, by its number; empty ones have no line."""
     lines = members.groupBy("comm").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-    lines.repartitionByRange("comm").sortWithinPartitions("comm").select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), "\t").alias("value")).write.mode(mode).text(path)
+    in_order = lines.repartitionByRange("comm").sortWithinPartitions("comm")
+    _write_lines(in_order.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), "\t").alias("value")), path, mode, single)
 
 
-def write_node_communities(node_comms: DataFrame, path: str, mode: str = "error") -> None:
+def write_node_communities(node_comms: DataFrame, path: str, mode: str = "error", single: bool = False) -> None:
     """Lines of a node and its communities, by node; nodes without any have a line of their own id."""
     cells = F.concat(F.array(F.col("node").cast("string")), F.transform("comms", lambda c: c.cast("string")))
-    node_comms.repartitionByRange("node").sortWithinPartitions("node").select(F.array_join(cells, ",").alias("value")).write.mode(mode).text(path)
+    in_order = node_comms.repartitionByRange("node").sortWithinPartitions("node")
+    _write_lines(in_order.select(F.array_join(cells, ",").alias("value")), path, mode, single)
 
 
 def markdown(row: DataFrame, title: str) -> str:
