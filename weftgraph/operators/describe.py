@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sign_class
+from ..plans.tables import written
 from ..schema import require_columns
 from . import graph
 from .homophily import assortativity, degree_assortativity
@@ -41,11 +42,13 @@ def descriptors(edges: DataFrame, members: DataFrame, dataset: str, methods: tup
 
     Each part is a single row; they are put side by side.
     """
-    nodes = graph.giant(edges) if largest else graph.vertices(edges)
-    own = graph.induced(edges, nodes) if largest else edges
+    # every part reads these, each for itself
+    nodes = written(graph.giant(edges) if largest else graph.vertices(edges), "nodes")
+    own = written(graph.induced(edges, nodes), "own") if largest else edges
+    members = written(members.join(nodes, "node", "left_semi"), "held")
     t = density(own, nodes).crossJoin(plurality(members, nodes, distinct)).crossJoin(average_clustering(own)).crossJoin(degree_assortativity(own, 4))
     for m in methods:
-        t = t.crossJoin(assortativity(own, scalar(m, own, members.join(nodes, "node", "left_semi")), 4).withColumnRenamed("r", f"h_{m}"))
+        t = t.crossJoin(assortativity(own, scalar(m, own, members, nodes), 4).withColumnRenamed("r", f"h_{m}"))
     ratio = lambda a, b, d: F.bround(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), d)
     sizes = [ratio("c_sum", "n_comms", 2).alias("avg_comm_size"), F.col("max_c").alias("max_comm_size")] if community_sizes else []
     mean_degree = F.bround(F.coalesce(F.try_divide(2 * F.col("e"), F.col("n")), F.lit(0.0)), 2)

@@ -6,7 +6,7 @@ aggregation serves all strategies and all points of a curve.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -100,14 +100,20 @@ def weight_curve(inter: DataFrame, ranks: DataFrame, semantics: str = "exact", s
         raise ValueError("semantics is 'exact' or 'compat'")
     if n is None:
         n = ranks.groupBy("strategy").count().agg(F.max("count")).first()[0] or 0
-    a, b = (ranks.select("strategy", F.col("node").alias(x), F.col("rank").alias(f"r{x}")) for x in ("u", "v"))
-    both = inter.join(a, "u").join(b, ["strategy", "v"])
+    # all ranks of a node in one row: an edge is shuffled once for each end, not once for each strategy
+    of = ranks.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("strategy", "rank"))).alias("ranks"))
+    a, b = (of.select(F.col("node").alias(x), F.col("ranks").alias(f"r{x}")) for x in ("u", "v"))
     if semantics == "exact":
-        death: Column = F.least("ru", "rv")
+        death = lambda _, ru, rv: F.when(ru.isNotNull() & rv.isNotNull(), F.least(ru, rv))
     else:
-        low, high = (F.when((F.col("u") < F.col("v")) == first, F.col("ru")).otherwise(F.col("rv")) for first in (True, False))
-        death = F.when(low < high, low).otherwise(F.lit(n))
-    return _curve(both.select("strategy", death.alias("death"), "w"), ranks, n, grid(n, step))
+
+        def death(_, ru, rv):
+            low, high = F.when(F.col("u") < F.col("v"), ru).otherwise(rv), F.when(F.col("u") < F.col("v"), rv).otherwise(ru)
+            return F.when(low < high, low).when(low.isNotNull() & high.isNotNull(), F.lit(n).cast("long"))
+
+    both = inter.join(a, "u").join(b, "v")
+    deaths = both.select(F.explode(F.map_zip_with("ru", "rv", death)).alias("strategy", "death"), "w").where("death IS NOT NULL")
+    return _curve(deaths, ranks, n, grid(n, step))
 
 
 def component_trajectory(edges: DataFrame, nodes: DataFrame, ranks: DataFrame, step: float = 0.01, most: float = 0.10) -> DataFrame:

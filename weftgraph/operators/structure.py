@@ -19,27 +19,41 @@ from .homophily import internal_edges
 BLOCK_ROWS = 100_000_000
 
 
-def triangles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node, triangles on the simple graph.
+def oriented(edges: DataFrame) -> DataFrame:
+    """a, b, da, db: the simple graph's edges, from the lower to the higher (degree, id), with both degrees; written once.
 
-    Edges point from the lower to the higher (degree, id): a hub then has few outgoing edges, and wedges stay few.
+    A hub then has few outgoing edges, and wedges stay few.
     """
-    simple = graph.simplified(edges)
+    simple = written(graph.simplified(edges), "simple")
     d = graph.degrees(simple)
     both = simple.join(d.select(F.col("node").alias("u"), F.col("degree").alias("du")), "u").join(d.select(F.col("node").alias("v"), F.col("degree").alias("dv")), "v")
-    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
-    out = both.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b"))
-    wedges = out.join(out.select("a", F.col("b").alias("c")), "a").where("b < c")
-    closed = wedges.join(simple.select(F.col("u").alias("b"), F.col("v").alias("c")), ["b", "c"])
-    counted = closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
-    nodes = graph.vertices(edges) if nodes is None else nodes
-    return nodes.select("node").join(counted, "node", "left").select("node", F.coalesce("triangles", F.lit(0)).alias("triangles"))
+    up = F.struct("du", "u") < F.struct("dv", "v")
+    pick = lambda x, y, name: F.when(up, F.col(x)).otherwise(F.col(y)).alias(name)
+    return written(both.select(pick("u", "v", "a"), pick("v", "u", "b"), pick("du", "dv", "da"), pick("dv", "du", "db")), "oriented")
+
+
+def _triangles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, degree (of the simple graph), triangles."""
+    out = oriented(edges)
+    links = out.select("a", "b")
+    wedges = out.join(out.select("a", F.col("b").alias("c"), F.col("db").alias("dc")), "a")
+    closed = wedges.where(F.struct("db", "b") < F.struct("dc", "c")).select("a", "b", "c").join(links.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"])
+    corner = lambda node, degree, n: F.struct(F.col(node).alias("node"), degree.alias("degree"), F.lit(n).alias("n"))
+    none = F.lit(None).cast("long")
+    seen = out.select(F.explode(F.array(corner("a", F.col("da"), 0), corner("b", F.col("db"), 0))).alias("x"))
+    found = closed.select(F.explode(F.array(*(corner(x, none, 1) for x in "abc"))).alias("x"))
+    counted = seen.unionByName(found).groupBy(F.col("x.node").alias("node")).agg(F.max("x.degree").alias("degree"), F.sum("x.n").alias("triangles"))
+    return nodes.select("node").join(counted, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("triangles", F.lit(0)).alias("triangles"))
+
+
+def triangles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, triangles on the simple graph."""
+    return _triangles(edges, graph.vertices(edges) if nodes is None else nodes).select("node", "triangles")
 
 
 def clustering(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, degree (of the simple graph), clustering: 2 triangles / (d (d-1)), null under degree 2."""
-    nodes = graph.vertices(edges) if nodes is None else nodes
-    t = triangles(edges, nodes).join(graph.degrees(graph.simplified(edges), nodes), "node")
+    t = _triangles(edges, graph.vertices(edges) if nodes is None else nodes)
     return t.select("node", "degree", F.when(F.col("degree") >= 2, 2 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).alias("clustering"))
 
 

@@ -12,18 +12,18 @@ from .tables import written
 def ranked(df: DataFrame, order: list[Column], groups: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
     """``df`` with a 0-based rank by ``order`` within ``groups``.
 
-    Rows are range-partitioned by groups and order, numbered within each partition, and moved up by what lies in
-    earlier partitions; only those counts (one a partition and group) meet in a window. ``order`` must be total
-    for the ranks to be reproducible.
+    Rows are range-partitioned by groups and order, sorted and numbered as they are written: the only shuffle. What
+    lies in earlier partitions is added from counts, one row a partition and group; only those meet in a window.
+    ``order`` must be total for the ranks to be reproducible.
     """
     by = [F.col(g).asc() for g in groups] + order
-    dealt = written(df.repartitionByRange(*by).withColumn("part_", F.spark_partition_id()), "ranked")
-    counts = dealt.groupBy(*groups, "part_").agg(F.count(F.lit(1)).alias("n_"))
+    # the id has the partition in its upper bits and the row's place in the lower ones
+    dealt = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at_", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("at_", 33).alias("part_")
+    counts = dealt.groupBy(*groups, part).agg(F.count(F.lit(1)).alias("n_"), F.min("at_").alias("from_"))
     before = Window.partitionBy(*groups).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(*groups, "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("first_"))
-    here = Window.partitionBy(*groups, "part_").orderBy(*order)
-    numbered = dealt.withColumn("at_", F.row_number().over(here))
-    return numbered.join(first, [*groups, "part_"]).withColumn(name, (F.col("first_") + F.col("at_") - 1).cast("long")).drop("part_", "at_", "first_")
+    first = counts.select(*groups, "part_", (F.coalesce(F.sum("n_").over(before), F.lit(0)) - F.col("from_")).alias("first_"))
+    return dealt.withColumn("part_", part).join(first, [*groups, "part_"]).withColumn(name, (F.col("first_") + F.col("at_")).cast("long")).drop("part_", "at_", "first_")
 
 
 def first_in(df: DataFrame, groups: tuple[str, ...], key: str, tie: str, need: str, digits: int = 2) -> DataFrame:
