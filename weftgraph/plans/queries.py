@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curves, datasets, describe, graph, homophily, ier, published, removal, scalars, structure
+from ..operators import curves, datasets, describe, graph, homophily, ier, paths, published, removal, scalars, structure
 from ..sources import names, sinks
 from ..sources.text import DatasetPaths
 from .fixture import Fixture, rounded
@@ -126,7 +126,7 @@ TABLES: dict[str, Callable[[Fixture], DataFrame]] = {
     "mean_isolation": lambda g: structure.mean_isolation(g.edges, g.members),
     "internal_edge_density": lambda g: structure.internal_density(g.edges, g.members),
     "eigenvector_centrality": lambda g: structure.eigenvector(g.edges),
-    "betweenness_sampled": lambda g: structure.betweenness(g.edges, epsilon=0.01),
+    "betweenness_sampled": lambda g: paths.sampled_betweenness(g.edges, epsilon=0.01),
     "connected_components": lambda g: graph.components(g.edges, g.nodes),
     "giant_component": lambda g: graph.giant(g.edges, g.nodes),
     "induced_subgraph": lambda g: graph.induced(g.edges, g.degrees.where("degree >= 10")),
