@@ -142,7 +142,7 @@ def test_thousands_of_patterns(spark, tmp_path):
     rng = random.Random(8)
     patterns = ["*" + "".join(rng.choice("abc?*") for _ in range(rng.randint(4, 14))) + rng.choice(["", "*"]) for _ in range(3000)]
     (tmp_path / "globs.txt").write_text("# comment\n\n" + "\n".join(patterns) + "\n")
-    read = urls.read_globs(spark, str(tmp_path / "globs.txt"))
+    read = list(urls.read_globs(spark, str(tmp_path / "globs.txt")))
     assert sorted(read) == sorted(set(patterns)) and len(urls.Globs.several(read)) > 10
     full = re.compile("|".join("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in p) for p in sorted(set(patterns)) if p.count("*") < 4), re.DOTALL)
     few = [p for p in read if p.count("*") < 4]
@@ -151,6 +151,25 @@ def test_thousands_of_patterns(spark, tmp_path):
     assert got == [bool(full.fullmatch(s)) for s in strings] and 0 < sum(got) < 300
 
 
+def test_patterns_in_groups(spark):
+    """However many groups there are, the result is that of one."""
+    rng = random.Random(3)
+    patterns = ["*://" + "".join(rng.choice("ab?") for _ in range(rng.randint(2, 8))) + "/" for _ in range(60)] + ["*x/"]
+    pages = spark.createDataFrame([(i, "http://" + "".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) + rng.choice(["/", "", "x/", ".org/fr/"])) for i in range(200)] + [(None, None)], "page_id long, url string")
+    rows = lambda **how: sorted(map(str, urls.judge_urls(pages, globs=(p for p in patterns), **how).collect()))
+    assert rows() == rows(group_bytes=40) == rows(group_bytes=1) and 0 < sum("glob=True" in r for r in rows()) < 200
+    assert sorted(map(str, urls.judge_urls(pages, globs=()).collect())) != rows()
+
+
+def test_canonical_urls():
+    for given, want in {
+        "HTTP://Ex.COM": "http://ex.com/", "http://x:80/%7Ea/../b": "http://x/b", "https://x.:443/a/./b/..?": "https://x/a/", "http://x:8080/%2f%41%zz?q=%7e%2F#f": "http://x:8080/%2FA%zz?q=~%2F",
+        "http://x/../../a//b/.": "http://x/a//b/", "http://x/..": "http://x/", "http://x/...": "http://x/...", "a://b:80/": "a://b:80/", "http://x:/": "http://x/", "x": "", "http://": "http:///",
+    }.items():
+        assert urls.parts(given)[2] == want, given
+    assert urls.parts("http://X:80/%7Ea/../b")[:2] == ("x:80", "/%7Ea/../b")
+
+
 # secrets
 
 

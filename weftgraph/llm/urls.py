@@ -7,6 +7,7 @@ Many patterns are several automata of a bounded width each, which the URLs pass
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, in_arrow, values
+from .common import col, in_arrow, values, written
 
 #: (verdict, host and path): the production rules.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -26,15 +27,41 @@ GLOBS = (
 )
 #: State bits of one automaton, but for one longer pattern; URLs that move together.
 BITS, TOGETHER = 2048, 2048
-#: Characters of a list of patterns that is shipped to tasks, at most.
-MOST_CHARS = 64 << 20
+#: Bytes of the patterns that tasks hold at a time, about; automata take 32 times as many. More patterns go in groups,
+#: each over all URLs that none has matched yet, with what was found so far written in between.
+GROUP_BYTES = 4 << 20
+#: Ports that a scheme has anyway.
+PORTS = {"http": ":80", "https": ":443", "ftp": ":21", "ws": ":80", "wss": ":443"}
+_ESCAPE = re.compile("%[0-9A-Fa-f]{2}")
+_PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _unescaped(text: str) -> str:
+    """Escapes of characters that need none as those characters, others with upper-case digits."""
+    return _ESCAPE.sub(lambda m: c if (c := chr(int(m[0][1:], 16))) in _PLAIN else m[0].upper(), text)
+
+
+def _without_dots(path: str) -> str:
+    """The path without ``.`` and ``..`` segments; those that lead above the root go."""
+    if "/." not in path:
+        return path
+    out: list[str] = []
+    segments = path.split("/")[1:]
+    for s in segments:
+        if s == "..":
+            del out[-1:]
+        elif s != ".":
+            out.append(s)
+    return "/" + "/".join(out) + ("/" if segments[-1] in (".", "..") and out else "")
+
+
 def parts(url: str | None) -> tuple[str, str, str]:
-    """Host with A-Z in lower case, path, and the canonical URL: scheme and host in lower case, no fragment, no empty query.
+    """Host with A-Z in lower case, path, and the canonical URL.
 
-    A null URL, and one without ``://``, has an empty host, path and canonical URL.
+    That has scheme and host in lower case, no port that the scheme has anyway, no final dot of the host, no needless
+    escapes, no dot segments, no fragment and no empty query. A null URL, and one without ``://``, has an empty host,
+    path and canonical URL.
     """
     scheme, mark, rest = (url or "").partition("://")
     if not mark:
@@ -42,8 +69,9 @@ def parts(url: str | None) -> tuple[str, str, str]:
     rest, _, _ = rest.partition("#")
     before, ask, query = rest.partition("?")
     host, slash, path = before.partition("/")
-    host, path = host.translate(_LOWER), slash + path
-    return host, path, f"{scheme.translate(_LOWER)}://{host}{path or '/'}" + (ask + query if query else "")
+    host, path, scheme = host.translate(_LOWER), slash + path, scheme.translate(_LOWER)
+    plain = host.removesuffix(PORTS.get(scheme, "-")).removesuffix(":").removesuffix(".")
+    return host, path, f"{scheme}://{plain}{_without_dots(_unescaped(path)) or '/'}" + (ask + _unescaped(query) if query else "")
 
 
 @dataclass(frozen=True)
@@ -150,42 +178,73 @@ def any_matches(automata: list[Globs], urls: list[bytes]) -> np.ndarray:
     return out
 
 
-def read_globs(spark: SparkSession, path: str) -> list[str]:
-    """The patterns of text files, one a line; blank lines and those that begin with # are none. ValueError if they are too many to ship."""
+def read_globs(spark: SparkSession, path: str) -> Iterator[str]:
+    """The patterns of text files, one a line, sorted, some partitions at a time; blank lines and those that begin with # are none."""
     lines = spark.read.text(path).select(F.trim("value").alias("p")).where("p <> '' and not startswith(p, '#')").distinct()
-    size = lines.agg(F.coalesce(F.sum(F.length("p")), F.lit(0))).first()[0]
-    if size > MOST_CHARS:
-        raise ValueError(f"{path} has patterns of {size} characters; at most {MOST_CHARS} are shipped")
-    return [r.p for r in lines.orderBy("p").collect()]
+    return (r.p for r in lines.orderBy("p").toLocalIterator())
+
 
+def _groups(globs: Iterable[str], most: int) -> Iterator[list[str]]:
+    """Patterns of about ``most`` bytes each; one group at least."""
+    held, size, any_yet = [], 0, False
+    for g in globs:
+        held.append(g)
+        size += len(g.encode()) + 1
+        if size >= most:
+            yield held
+            held, size, any_yet = [], 0, True
+    if held or not any_yet:
+        yield held
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, globs: Iterable[str] = GLOBS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, globs: Iterable[str] = GLOBS, id_col: str = "page_id", url_col: str = "url", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict, glob (whether a glob matches) of each row.
 
     The longest fitting rule decides; else a matching glob blocks, and what none matches is allowed. Null and
     malformed URLs have an empty host and path and are allowed. Every row is judged by itself: repeated rows, null
-    ids, empty tables and other columns need no care; nothing is shuffled. ``globs`` may be what ``read_globs`` gives.
+    ids, empty tables and other columns need no care; nothing is shuffled. ``globs`` may be what ``read_globs`` gives,
+    of any size: patterns of more than ``group_bytes`` take several passes over the URLs.
     """
-    table, automata = PathRules.of(rules), pages.sparkSession.sparkContext.broadcast(Globs.several(globs))
-    src = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"))
-    schema = f"page_id {src.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string, glob boolean"
+    table, spark = PathRules.of(rules), pages.sparkSession
+    rows = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), F.lit(False).alias("glob"))
+    kind = rows.schema["page_id"].dataType.simpleString()
+
+    def matched(automata):
+        """Rows with what these patterns match as well."""
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                left = np.flatnonzero(~hit)
+                urls = b.column(1).take(pa.array(left))
+                hit[left] = any_matches(automata.value, [parts(u)[2].encode("utf-8", "surrogatepass") for u in values(urls)])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit)], ["page_id", "url", "glob"])
+
+        return scan
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             split = [parts(u) for u in values(b.column(1))]
-            found = [table.find(h, p) for h, p, _ in split]
-            hit = any_matches(automata.value, [c.encode("utf-8", "surrogatepass") for _, _, c in split])
+            found, hit = [table.find(h, p) for h, p, _ in split], b.column(2).to_pylist()
             cols = [
                 b.column(0),
                 pa.array([h for h, _, _ in split], pa.string()),
                 pa.array([p for _, p, _ in split], pa.string()),
                 pa.array([r and r[0] for r in found], pa.string()),
                 pa.array([r[1] if r else ("block" if g else "allow") for r, g in zip(found, hit, strict=True)], pa.string()),
-                pa.array(hit),
+                b.column(2),
             ]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "path", "rule", "verdict", "glob"])
 
-    return in_arrow(src, judged, schema)
+    def both(scan):
+        return lambda batches: judged(scan(batches))
+
+    last = None
+    for number, group in enumerate(_groups(globs, group_bytes)):
+        if last is not None:  # not the last group, as there is another
+            rows = written(in_arrow(rows, last, f"page_id {kind}, url string, glob boolean"), f"url-globs-{number}")
+        last = matched(spark.sparkContext.broadcast(Globs.several(group)))
+    return in_arrow(rows, both(last), f"page_id {kind}, host string, path string, rule string, verdict string, glob boolean")
 
 
 def allowed_pages(pages: DataFrame, url_col: str = "url", **how) -> DataFrame:
