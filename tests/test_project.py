@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from weftgraph.operators import graph, homophily, scalars
+from weftgraph.operators import align, graph, homophily, scalars
 from weftgraph.plans import oracle
 from weftgraph.plans.project import DatasetProject, Project, Stage
 from weftgraph.plans.tables import Files
@@ -61,13 +61,13 @@ def test_killed_and_resumed(spark, folder):
     assert ended.returncode == 9, ended.stderr.decode()[-2000:]
     p = DatasetProject(spark, f"{folder}/tables", paths, **FEW)
     before = {s: Files(spark, f"{folder}/tables").marks(p.folder(s)) for s in p.stages if p.done(s)}
-    assert list(before) == ["names", "network", "node_communities", "homophily", "metrics"] and not p.files.exists("manifest.json")
+    assert list(before) == ["names", "network", "alignment", "node_communities", "homophily", "metrics"] and not p.files.exists("manifest.json")
     assert any(n.startswith(".curves-") for n in p.files.names())
     p.run()
     assert p.made == ["curves", "separation", "sets", "null", "ratios", "published"]
     assert {s: p.files.marks(p.folder(s)) for s in before} == before and not any(n.startswith(".curves-") for n in p.files.names())
     whole = DatasetProject(spark, f"{folder}/other", paths, **FEW)
-    assert tables(whole.run()) == tables(p) and len(whole.made) == 11
+    assert tables(whole.run()) == tables(p) and len(whole.made) == 12
     # the map that was missing is there, one line a node, and changes no key
     read = {r.node: r.comms for r in text.read_node_communities(spark, paths.node_communities, kind="string").collect()}
     assert read == {f"n{i}": sorted({c for c in range(9) if i % 9 in (c, (c * c + 1) % 9)}) for i in range(60)}
@@ -97,6 +97,26 @@ def test_given_map_and_numbers(spark, folder):
     assert (folder / "g/g_node_to_communities.csv").read_text() == given
 
 
+def test_alignment(spark, folder):
+    sides = {"left": [(1,), (1,), (2,), (None,)], "right": [(2,), (3,)], "more": [(1,), (2,), (4,), (4,)]}
+    found = align.misaligned(**{k: spark.createDataFrame(v, "node long") for k, v in sides.items()})
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [(1, "right", 3), (3, "left", 1), (3, "more", 1), (4, "left", 2), (4, "right", 2), (None, "any", 1)]))
+    edges = spark.createDataFrame([(1, 2), (2, 9), (7, 1)], "u long, v long")
+    nodes = spark.createDataFrame([(1,), (2,), (2,)], "node long")
+    with pytest.raises(ValueError, match="e: 1 rows are unknown_u, 1 rows are unknown_v, such as 7, 9"):
+        align.aligned(edges, nodes, "e", "u", "v")
+    assert sorted(map(tuple, align.aligned(edges.where("u < 7 AND v < 9"), nodes, "e", "u", "v").collect())) == [(1, 2)]
+    with pytest.raises(ValueError, match="2 rows are large"):
+        align.gated(edges, "e", large=edges.u + edges.v > 7, small=edges.u < 0)
+    with open(folder / "g/g_communities.txt", "a") as f:
+        f.write("n1\tstranger\n")
+    paths = DatasetPaths(str(folder), "g")
+    p = DatasetProject(spark, f"{folder}/tables", paths, **FEW).run("alignment")
+    assert [tuple(r) for r in p.table("alignment", "misaligned").collect()] == [("stranger", "network", 1)]
+    with pytest.raises(ValueError, match="members: 1 rows are unknown_node"):
+        DatasetProject(spark, f"{folder}/strict", paths, strict=True, **FEW).run("alignment")
+
+
 def test_stage_that_fails(spark, tmp_path):
     good, calls = spark.range(3), []
 

@@ -167,6 +167,7 @@ _FINAL = {
     "name_dictionary": "SELECT row_number() OVER (ORDER BY name) - 1 AS node, name FROM (SELECT 'part-' || node AS name FROM nodes UNION SELECT 'part-' || node FROM members)",
     "named_hv_metrics": "SELECT 'part-' || node AS node, s, hv FROM hv_s1",
     "project_metrics": "SELECT 'part-' || node AS node, hv AS hv_s1, s AS s1, bridgecc, degree, c AS num_communities FROM hv_s1 JOIN bcc USING (node) JOIN deg USING (node) LEFT JOIN nc USING (node)",
+    "misaligned_ids": "SELECT node, 'network' AS side, count(*) AS rows FROM members WHERE node NOT IN (SELECT node FROM nodes) GROUP BY node UNION ALL SELECT node, 'communities', degree FROM deg WHERE node NOT IN (SELECT node FROM members)",
     "edge_styles": "SELECT u, v, h_e, CASE WHEN abs(h_e) <= 1e-6 THEN 'neutral' WHEN h_e > 0 THEN 'positive' ELSE 'negative' END AS class, abs(h_e) / (SELECT max(abs(h_e)) FROM eh) AS width FROM eh",
 }
 

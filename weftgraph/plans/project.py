@@ -20,7 +20,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curves, describe, graph, homophily, ier, published, removal, scalars, structure
+from ..operators import align, curves, describe, graph, homophily, ier, published, removal, scalars, structure
 from ..sources import names, sinks, text
 from ..sources.text import DatasetPaths
 from .tables import Files, written
@@ -130,10 +130,11 @@ class DatasetProject(Project):
         return self
 
 
-def dataset_stages(spark: SparkSession, paths: DatasetPaths, has_map: bool, named: bool = False, repeats: int = 20, boot: int = 300, perm: int = 500, budget: float = 0.10) -> list[Stage]:
+def dataset_stages(spark: SparkSession, paths: DatasetPaths, has_map: bool, named: bool = False, repeats: int = 20, boot: int = 300, perm: int = 500, budget: float = 0.10, strict: bool = False) -> list[Stage]:
     """The stages of one dataset, from its edge list and its cover, or its map of nodes to communities, to all published tables.
 
-    ``named``: nodes have names; tables have ids inside, and names again in the stage ``published``.
+    ``named``: nodes have names; tables have ids inside, and names again in the stage ``published``. ``strict``: a
+    community's node without an edge stops the run; such nodes are named in the stage ``alignment`` otherwise.
     """
     kind = "string" if named else "bigint"
     has_cover = Files(spark, paths.communities).exists()
@@ -151,12 +152,17 @@ def dataset_stages(spark: SparkSession, paths: DatasetPaths, has_map: bool, name
         edges, members = text.read_edges(spark, paths.network, kind=kind), raw_members()
         if named:
             edges, members = names.encoded(edges, t("names", "names"), "u", "v"), names.encoded(members, t("names", "names"), "node")
-        edges, members = written(edges, "edges"), written(members, "members")
+        # an edge without an end, or a member without a node, stops the run
+        edges = align.gated(edges, "edges", without_an_end=F.col("u").isNull() | F.col("v").isNull())
+        members = align.aligned(members, graph.vertices(edges), "members", "node") if strict else align.gated(members, "members", without_a_node=F.col("node").isNull())
         return {"edges": edges, "members": members, "nodes": graph.vertices(edges), "degrees": graph.degrees(edges)}
 
     def out(t, table: DataFrame, *columns: str) -> DataFrame:
         return names.decoded(table, t("names", "names"), *columns) if named else table
 
+    def alignment(t) -> Tables:
+        return {"misaligned": out(t, align.misaligned(network=t("network", "nodes"), communities=t("network", "members")), "node")}
+
     def node_communities(t) -> Tables:
         every = graph.communities_of(t("network", "members"), t("network", "nodes").unionByName(t("network", "members").select("node")).distinct())
         return {"node_communities": every}
@@ -195,11 +201,12 @@ def dataset_stages(spark: SparkSession, paths: DatasetPaths, has_map: bool, name
         return {"hv_metrics": out(t, t("homophily", "hv").select("node", F.col("hv").alias("hv_s1"), F.col("s").alias("s1")), "node"), "all_metrics": out(t, t("metrics", "metrics"), "node"), "node_communities": out(t, t("node_communities", "node_communities"), "node")}
 
     ids = ("names",) if named else ()
-    own = {"named": named}
+    own = {"named": named, "strict": strict}
     source = (paths.network, *([paths.communities] if has_cover else []), *([paths.node_communities] if has_map else []))
     return [
         *([Stage("names", dictionary, files=source, settings=own)] if named else []),
         Stage("network", network, ids, source, own),
+        Stage("alignment", alignment, ("network", *ids), settings=own),
         Stage("node_communities", node_communities, ("network",)),
         Stage("homophily", homophilies, ("network",)),
         Stage("metrics", metrics, ("network", "homophily")),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curves, datasets, describe, graph, homophily, ier, paths, published, removal, scalars, structure
+from ..operators import align, curves, datasets, describe, graph, homophily, ier, paths, published, removal, scalars, structure
 from ..sources import names, sinks
 from ..sources.text import DatasetPaths
 from .fixture import Fixture, rounded
@@ -179,6 +179,7 @@ TABLES: dict[str, Callable[[Fixture], DataFrame]] = {
     "w_inter_curve_datasets": _dataset_curves,
     "ier_observed_datasets": lambda g: datasets.Ratios(*g.datasets).observed(),
     "ier_summary_datasets": lambda g: datasets.Ratios(*g.datasets).summary(BOOT, PERM),
+    "misaligned_ids": lambda g: align.misaligned(network=graph.adjacency(g.edges).select(F.col("u").alias("node")), communities=g.members),
     "edge_styles": lambda g: describe.styled(g.edges, homophily.edge_homophily(g.edges, g.scalar("s1")), 1e-6),
 }
 
