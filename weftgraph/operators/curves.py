@@ -79,15 +79,20 @@ def overlap_summary(nodes: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def component_curve(table: DataFrame, dataset: str) -> DataFrame:
-    """p, rho_gcc, dataset from any table with those under the usual names, or with a metric column that says gcc."""
+    """p, rho_gcc, dataset of a table of curves; with a column metric, of its rows that say gcc.
+
+    The usual names first; else the first column with ``fraction`` in its name or that begins with p, and the first
+    with ``value`` or gcc in it.
+    """
     names = {c.lower(): c for c in table.columns}
     if "metric" in names:
         table = table.where(F.lower(names["metric"]).contains("gcc"))
-    p = next((names[n] for n in ("p", "fraction_removed", "removed_frac") if n in names), None)
-    y = next((names[n] for n in ("rho_gcc", "gcc_norm", "rho", "metric_value", "value") if n in names), None)
+    loose = [c for n, c in names.items() if n != "metric"]
+    p = next((names[n] for n in ("fraction_removed", "p", "removed_frac") if n in names), None) or next((c for c in loose if "fraction" in c.lower() or c.lower().startswith("p")), None)
+    y = next((names[n] for n in ("rho_gcc", "gcc_norm", "rho", "metric_value", "value") if n in names), None) or next((c for c in loose if c != p and ("value" in c.lower() or "gcc" in c.lower())), None)
     if p is None or y is None:
         raise ValueError(f"no point or value column among {table.columns}")
-    return table.select(F.col(p).cast("double").alias("p"), F.col(y).cast("double").alias("rho_gcc"), F.lit(dataset).alias("dataset"))
+    return table.select(F.col(f"`{p}`").cast("double").alias("p"), F.col(f"`{y}`").cast("double").alias("rho_gcc"), F.lit(dataset).alias("dataset"))
 
 
 def one_benchmark(table: DataFrame, keep: str = "mid") -> DataFrame:
@@ -97,4 +102,4 @@ def one_benchmark(table: DataFrame, keep: str = "mid") -> DataFrame:
 
 def legend(markers: DataFrame, names: DataFrame) -> DataFrame:
     """dataset, label: the name with its share of overlapping nodes, where that is known."""
-    return markers.join(names, "dataset", "left").select("dataset", F.concat(F.coalesce("name", "dataset"), F.coalesce(F.format_string(" (psi=%.2f)", "psi"), F.lit(""))).alias("label"))
+    return markers.join(names, "dataset", "left").select("dataset", F.concat(F.coalesce("name", "dataset"), F.when(F.col("psi").isNotNull(), F.format_string(" (psi=%.2f)", "psi")).otherwise("")).alias("label"))

@@ -21,6 +21,12 @@ def write_table(df: DataFrame, path: str, mode: str = "error", by: str | None =
     (out.partitionBy(by) if by else out).csv(path)
 
 
+def write_edge_homophily(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """What ``published.edge_rows`` gives, as CSV with the published header."""
+    named = {"edge_id": "Edge ID", "node_1": "Node 1 ID", "node_2": "Node 2 ID"}
+    rows.withColumnsRenamed(named).write.mode(mode).csv(path, header=True)
+
+
 def _write_lines(lines: DataFrame, path: str, mode: str, single: bool) -> None:
     """Lines (value) in their order: a folder of part files, or ``single``, one file by that name, made of ordered parts."""
     if not single:

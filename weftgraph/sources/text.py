@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schema import EDGES, MEMBERS, NODE_COMMS
+from ..operators.published import all_datasets
+from ..plans.tables import Files
+from ..schema import EDGES, MEMBERS, NODE_COMMS, require_columns
 
 #: Names of the id column in metric tables, the likeliest first.
 ID_NAMES = ("Node ID", "node", "node_id", "nid", "id", "_id", "name", "vertex", "index")
@@ -120,21 +122,52 @@ def read_curves(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark can list the path, in whatever store it lies."""
-    from pyspark.errors import AnalysisException
+def first_there(spark: SparkSession, what: str, *paths: str) -> str:
+    """The first of the paths at which there is something, in whatever store; FileNotFoundError, with all of them, if there is nothing."""
+    for p in paths:
+        if Files(spark, p).exists():
+            return p
+    raise FileNotFoundError(f"{what}: {', '.join(paths)}")
+
+
+def homophily_curves(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """The processed homophily curves of a dataset: its own file, or that with components as well."""
+    names = (f"processed_curves_homophily_{key}.csv", f"processed_curves_homophily_{key}_covgcc.csv")
+    return read_curves(spark, first_there(spark, "homophily curves", *(f"{folder}/{n}" for n in names)))
+
 
+def component_curves(spark: SparkSession, folder: str, key: str) -> DataFrame | None:
+    """The processed curves of the largest component of a dataset, from its own file or one of several metrics; None if there are none."""
+    names = (f"processed_curves_gcc_{key}.csv", f"processed_curves_gcc_{key}_covgcc.csv", f"processed_curves_{key}.csv")
     try:
-        spark.read.text(path).schema  # noqa: B018
-        return True
-    except AnalysisException:
-        return False
+        table = read_curves(spark, first_there(spark, "component curves", *(f"{folder}/{n}" for n in names)))
+    except FileNotFoundError:
+        return None
+    metric = next((c for c in table.columns if c.lower() == "metric"), None)
+    own = table if metric is None else table.where(F.lower(metric).contains("gcc"))
+    return None if own.isEmpty() else own
+
+
+def ratio_summaries(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The summary rows of several datasets: of one table of all of them, or else of each one's own, which must all be there."""
+    whole = f"{folder}/summary_all_datasets_standard.csv"
+    if Files(spark, whole).exists():
+        return read_curves(spark, whole)
+    return all_datasets({k: read_curves(spark, first_there(spark, "summary", f"{folder}/{k}/edge_ratio_summary_{k}.csv")) for k in keys})
+
 
+def style_nodes(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """A metric table for figures: node, with ``pluralistic_homophily`` as hv_s1 and ``num_communities`` as m."""
+    return read_metrics(spark, path, kind=kind).withColumnsRenamed({"pluralistic_homophily": "hv_s1", "num_communities": "m"})
 
-def need(spark: SparkSession, path: str, what: str) -> str:
-    if not exists(spark, path):
-        raise FileNotFoundError(f"{what}: {path}")
-    return path
+
+def style_edges(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """u, v (the smaller id first), h_e of an edge metric table, whatever case and blanks its header has; ValueError if it lacks one of its columns."""
+    raw = spark.read.csv(path, header=True)
+    table = raw.toDF(*(c.strip().lower().replace(" ", "_") for c in raw.columns))
+    require_columns(table, "node_1_id", "node_2_id", "he_s1")
+    a, b = F.col("node_1_id").cast(kind), F.col("node_2_id").cast(kind)
+    return table.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), F.col("he_s1").try_cast("double").alias("h_e"))
 
 
 def read_generated(spark: SparkSession, network: str, communities: str) -> tuple[DataFrame, DataFrame]:
@@ -147,28 +180,6 @@ def read_generated(spark: SparkSession, network: str, communities: str) -> tuple
     return edges, members
 
 
-def planted_cover(spark: SparkSession, nodes: int, communities: int, degree: int, mixing: float, overlap: float, seed: int = 424242) -> tuple[DataFrame, DataFrame]:
-    """A graph with overlapping communities for tests: edges and members, the same for the same arguments.
-
-    Each node is in one community, a share ``overlap`` in a second; about ``degree`` / 2 edges start at a node, of
-    which a share ``mixing`` go anywhere and the others stay in its first community.
-    """
-
-    def draw(*parts: Column | str | int) -> Column:
-        return F.pmod(F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in (seed, *parts)]), F.lit(1_000_000)) / 1_000_000
-
-    ids = spark.range(nodes).select(F.col("id").alias("node"))
-    first = F.pmod("node", F.lit(communities)).cast("int")
-    second = ids.where(draw("second", F.col("node")) < overlap).select("node", F.floor(draw("which", F.col("node")) * communities).cast("int").alias("comm"))
-    members = ids.select("node", first.alias("comm")).unionByName(second).distinct()
-    starts = ids.select("node", F.explode(F.sequence(F.lit(1), F.lit(max(degree // 2, 1)))).alias("j"))
-    anywhere = F.floor(draw("far", F.col("node"), F.col("j")) * nodes)
-    inside = F.floor(draw("near", F.col("node"), F.col("j")) * (nodes // communities)) * communities + first
-    edges = starts.select(F.col("node").alias("u"), F.when(draw("mix", F.col("node"), F.col("j")) < mixing, anywhere).otherwise(inside).cast("long").alias("v"))
-    simple = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return simple, members
-
-
 def typed(df: DataFrame, schema) -> DataFrame:
     """Columns of a canonical schema, cast to its types; what is missing raises."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
