@@ -135,6 +135,31 @@ def test_eigenvector_settles(spark, small):
     assert np.abs(new / np.linalg.norm(new) - x).max() < 1.1e-9  # another round moves nothing by the tolerance
 
 
+@pytest.mark.parametrize("hub", [0, 2, 5, 4096])
+def test_collective_influence_beside_hubs(spark, hub):
+    """By bitmaps, by rows, and by both in one graph; loops and repeated edges count in degrees only."""
+    pairs = [(0, i) for i in range(1, 12)] + [(i, i + 1) for i in range(5, 20)] + [(20, 25), (25, 26), (3, 3), (1, 0), (30, 31), (2, 40_000_000_000)]
+    near, degree = {}, {}
+    for u, v in pairs:
+        for a, b in ((u, v), (v, u)):
+            degree[a] = degree.get(a, 0) + 1
+            if u != v:
+                near.setdefault(a, set()).add(b)
+    two = lambda v: {w for u in near.get(v, ()) for w in near[u]} - near.get(v, set()) - {v}
+    want = {v: (d - 1) * sum(degree[w] - 1 for w in two(v)) for v, d in degree.items()}
+    assert by_node(structure.collective_influence(spark.createDataFrame(pairs, "u long, v long"), 2, hub), "ci") == want
+
+
+def test_collective_influence_of_a_star(spark):
+    """A hundred thousand leaves: their pairs are ten billion."""
+    edges = spark.range(1, 100_001).selectExpr("0L as u", "id as v").unionByName(spark.createDataFrame([(7, 200_000), (200_000, 200_001)], "u long, v long"))
+    got = structure.collective_influence(edges, 2)
+    some = by_node(got.where("node IN (0, 1, 7, 200000, 200001)"), "ci")
+    # only node 7 (degree 2) and 200000 (degree 2) weigh anything besides the hub
+    assert some == {0: 99_999 * 1, 1: 0, 7: 0, 200_000: 99_999, 200_001: 0}
+    assert got.count() == 100_003
+
+
 def test_bags_of_edges(spark):
     edges = spark.createDataFrame([(0, 1), (0, 1), (1, 1), (1, 2)], "u long, v long")
     assert by_node(graph.degrees(edges), "degree") == {0: 2, 1: 5, 2: 1}

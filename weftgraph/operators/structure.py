@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ from .homophily import internal_edges
 
 #: Rows that a block of sources makes when its walks cross every edge, about; a block has one source at least.
 BLOCK_ROWS = 100_000_000
+#: A node with more neighbours is a hub, whose pairs of neighbours go by bitmaps; bits of a bitmap's bucket (a power of
+#: two, as large as Spark's bitmaps); tasks that a bucket's bitmaps are dealt to.
+HUB, BITS, DEALS = 4096, 15, 16
 
 
 def oriented(edges: DataFrame) -> DataFrame:
@@ -70,19 +76,76 @@ def ensure_bridgecc(edges: DataFrame, metrics: DataFrame) -> DataFrame:
     return metrics if "bridgecc" in metrics.columns else metrics.join(bridgecc(edges, low_degree="degree"), "node", "left")
 
 
-def collective_influence(edges: DataFrame, radius: int = 2) -> DataFrame:
-    """node, ci = (d-1) sum of (d_u - 1) over nodes at distance exactly ``radius``; degrees of the bag of edges."""
-    near = graph.adjacency(graph.simplified(edges)).withColumnsRenamed({"u": "node", "v": "at"})
-    seen, front = None, near
+def collective_influence(edges: DataFrame, radius: int = 2, hub: int = HUB) -> DataFrame:
+    """node, ci = (d-1) sum of (d_u - 1) over nodes at distance exactly ``radius``; degrees of the bag of edges.
+
+    With radius 2, nodes beside one of more than ``hub`` neighbours go by bitmaps: the pairs that a hub makes are never rows.
+    """
+    near = written(graph.adjacency(graph.simplified(edges)).withColumnsRenamed({"u": "node", "v": "at"}), "near")
+    d = written(graph.degrees(edges), "degrees")
+    hubs = near.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub).select("node")
+    hubs = written(hubs, "hubs") if radius == 2 else hubs.where("false")
+    if radius == 2 and not hubs.isEmpty():
+        beside = written(near.join(hubs.withColumnRenamed("node", "at"), "at", "left_semi").select("node").distinct(), "beside")
+        reach = _reach(near.join(beside, "node", "left_anti"), near, d, radius).unionByName(_reach_by_bitmaps(near, d, hubs, beside))
+    else:
+        reach = _reach(near, near, d, radius)
+    return d.join(reach, "node", "left").select("node", ((F.col("degree") - 1) * F.coalesce("reach", F.lit(0))).alias("ci"))
+
+
+def _reach(start: DataFrame, near: DataFrame, d: DataFrame, radius: int) -> DataFrame:
+    """node, reach: sum of (d_u - 1) at distance exactly ``radius``; start: the adjacency (node, at) of the nodes that are asked for."""
+    seen, front = None, start
     for step in range(1, radius):
         seen = front if seen is None else seen.unionByName(front)
         ahead = front.join(near.select(F.col("node").alias("at"), F.col("at").alias("next")), "at").select("node", F.col("next").alias("at")).where("node <> at").distinct()
         front = ahead.join(seen, ["node", "at"], "left_anti")
         if step > 1:
             front = written(front, "front")
-    d = graph.degrees(edges)
-    reach = front.join(d.select(F.col("node").alias("at"), F.col("degree").alias("da")), "at").groupBy("node").agg(F.sum(F.col("da") - 1).alias("reach"))
-    return d.join(reach, "node", "left").select("node", ((F.col("degree") - 1) * F.coalesce("reach", F.lit(0))).alias("ci"))
+    return front.join(d.select(F.col("node").alias("at"), F.col("degree").alias("da")), "at").groupBy("node").agg(F.sum(F.col("da") - 1).alias("reach"))
+
+
+def _reach_by_bitmaps(near: DataFrame, d: DataFrame, hubs: DataFrame, beside: DataFrame) -> DataFrame:
+    """node, reach: as ``_reach`` with radius 2, for the nodes ``beside`` hubs.
+
+    Nodes have places, and a place is a bit of a bucket's bitmap. A hub's neighbours are made into bitmaps once and
+    or-ed into those of each node beside it, with what other neighbours lead to, the neighbours and the node itself.
+    What all these weigh, less what is nearer than distance 2, is the reach.
+    """
+    places = written(ranked(d, [F.col("node").asc()], name="place").select("node", F.shiftright("place", BITS).cast("int").alias("bucket"), F.col("place").bitwiseAND(F.lit((1 << BITS) - 1)).alias("bit"), (F.col("degree") - 1).alias("weight")), "places")
+    at = places.select(F.col("node").alias("to"), "bucket", "bit")
+    own = near.join(beside, "node", "left_semi")
+    mine = own.select("node", F.col("at").alias("to")).unionByName(beside.select("node", F.col("node").alias("to")))
+    light = own.join(hubs.withColumnRenamed("node", "at"), "at", "left_anti").join(near.select(F.col("node").alias("at"), F.col("at").alias("to")), "at").select("node", "to")
+    few = mine.unionByName(light).join(at, "to").groupBy("node", "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    of_hubs = near.join(hubs, "node", "left_semi").select(F.col("node").alias("at"), F.col("at").alias("to")).join(at, "to").groupBy("at", "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    many = own.join(written(of_hubs, "hub-maps"), "at").select("node", "bucket", "map")
+    maps = few.unionByName(many).groupBy("node", "bucket").agg(F.bitmap_or_agg("map").alias("map"))
+    # a bucket's weights go before its bitmaps, to each of the tasks that these are dealt to
+    weights = places.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("bit", "weight"))).alias("weights"))  # a bucket's size is fixed
+    weights = weights.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("binary").alias("map"), "weights")
+    rows = maps.select("bucket", F.pmod(F.xxhash64("node"), F.lit(DEALS)).cast("int").alias("deal"), "node", "map", F.lit(None).cast(weights.schema["weights"].dataType).alias("weights"))
+    rows = weights.unionByName(rows).repartition("bucket", "deal").sortWithinPartitions("bucket", "deal", F.col("node").asc_nulls_first())
+    sums = rows.mapInArrow(_weighed, "node long, reach long").groupBy("node").agg(F.sum("reach").alias("whole"))
+    nearer = mine.join(places.select(F.col("node").alias("to"), "weight"), "to").groupBy("node").agg(F.sum("weight").alias("nearer"))
+    return sums.join(nearer, "node").select("node", (F.col("whole") - F.col("nearer")).alias("reach"))
+
+
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the set bits of each bitmap weigh; the bucket's weights come before its bitmaps."""
+    weight = np.zeros(1 << BITS, np.int64)
+    for b in batches:
+        nodes, sums = [], []
+        for node, map_, weights in zip(b.column("node").to_pylist(), b.column("map"), b.column("weights"), strict=True):
+            if node is None:
+                entries = weights.values
+                weight = np.zeros(1 << BITS, np.int64)
+                weight[entries.field("bit").to_numpy()] = entries.field("weight").to_numpy()
+            else:
+                bits = np.unpackbits(np.frombuffer(map_.as_py(), np.uint8), bitorder="little")
+                nodes.append(node)
+                sums.append(int(weight[np.flatnonzero(bits)].sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sums, pa.int64())], names=["node", "reach"])
 
 
 def overlap_rank(edges: DataFrame, members: DataFrame) -> DataFrame:
