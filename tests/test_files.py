@@ -122,3 +122,16 @@ def test_streams(spark, toy, tmp_path):
     query = stream.degree_stream(stream.edge_stream(spark, folder)).writeStream.format("memory").queryName("degrees_so_far").outputMode("complete").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert rows(spark.table("degrees_so_far")) == rows(graph.degrees(edges))
+
+
+def test_cut_marker(spark, toy):
+    """Median of an odd and an even number of values, and of none."""
+    edges, members = toy
+    metrics = spark.createDataFrame([(i, float(i)) for i in range(7)], "node long, hv_s1 double")
+    inter = {(r.u, r.v) for r in removal.inter_edges(edges, members).collect()}
+    for share, k in ((0.43, 3), (0.57, 4), (1.0, 7)):
+        ends = [sum(x in e for e in inter) / sum(x in e for e in TOY) for x in range(k)]
+        got = curves.cut_marker(edges, members, metrics, share).first()
+        middle = sorted(ends)[(k - 1) // 2 : k // 2 + 1]
+        assert got.n_cut == k and got.s_mean == pytest.approx(sum(ends) / k) and got.s_median == pytest.approx(sum(middle) / len(middle))
+    assert tuple(curves.cut_marker(edges, members, metrics.where("node > 90"), 0.5).first()) == (0, None, None, None)

@@ -68,8 +68,12 @@ def cut_marker(edges: DataFrame, members: DataFrame, metrics: DataFrame, p0: flo
     low = ranked(metrics.select("node", column), [F.col(column).asc(), F.col("node").asc()]).where(F.col("rank") < k).select("node")
     ends = inter_edges(edges, members).select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("x"))
     ratio = low.join(graph.degrees(edges), "node").join(ends, "node", "left").where("degree > 0").select((F.coalesce("x", F.lit(0)) / F.col("degree")).alias("r"))
-    # k values are the result's own size
-    return ratio.agg(F.count(F.lit(1)).alias("n_cut"), F.avg("r").alias("s_mean"), F.percentile("r", 0.5).alias("s_median"), F.when(F.count(F.lit(1)) > 0, F.coalesce(F.stddev_samp("r"), F.lit(0.0))).alias("s_std"))
+    # the median is what lies in the middle of the ranks: no task holds all values
+    placed = ranked(ratio, [F.col("r").asc()])
+    whole = placed.agg(F.count(F.lit(1)).alias("n_cut"), F.avg("r").alias("s_mean"), F.stddev_samp("r").alias("std"))
+    n, at = F.col("n_cut"), F.col("rank")
+    middle = placed.crossJoin(F.broadcast(whole.select("n_cut"))).where((at == F.floor((n - 1) / 2)) | (at == F.floor(n / 2))).agg(F.avg("r").alias("s_median"))
+    return whole.crossJoin(F.broadcast(middle)).select("n_cut", "s_mean", "s_median", F.when(n > 0, F.coalesce("std", F.lit(0.0))).alias("s_std"))  # one row each
 
 
 def overlap_summary(nodes: DataFrame, members: DataFrame) -> DataFrame:
