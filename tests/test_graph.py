@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from weftgraph.operators import graph, homophily, scalars, structure
+from weftgraph.operators import graph, homophily, removal, scalars, structure
 from weftgraph.plans import oracle
 from weftgraph.sources import sinks, text
 
@@ -160,6 +160,32 @@ def test_collective_influence_of_a_star(spark):
     assert got.count() == 100_003
 
 
+def test_component_trajectory(spark):
+    """Every step by a plain search, for rankings of all nodes and of some."""
+    import random
+
+    rng = random.Random(5)
+    pairs = [(rng.randint(0, 59), rng.randint(0, 59)) for _ in range(75)] + [(3, 3), (4, 5), (5, 4)]
+    ids = sorted({x for p in pairs for x in p})
+    orders = {"all": rng.sample(ids, len(ids)), "some": rng.sample(ids, 7), "low": ids}
+    ranks = spark.createDataFrame([(s, v, i) for s, o in orders.items() for i, v in enumerate(o)], "strategy string, node long, rank long")
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    got = {(r.strategy, r.step): (r.removed_frac, r.rho, r.nodes_left, r.edges_left) for r in removal.component_trajectory(edges, graph.vertices(edges), ranks, 0.05, 0.9).collect()}
+    n, size, want = len(ids), max(1, round(0.05 * len(ids))), {}
+    for s, order in orders.items():
+        for step in range(min(18, -(-len(order) // size)) + 1):
+            left = set(ids) - set(order[: step * size])
+            kept, parts = [p for p in pairs if set(p) <= left], {v: {v} for v in left}
+            for u, v in kept:
+                if parts[u] is not parts[v]:
+                    parts[u] |= parts[v]
+                    for x in parts[v]:
+                        parts[x] = parts[u]
+            want[s, step] = (round(1 - len(left) / n, 6), max(map(len, parts.values()), default=0) / n, len(left), len(kept))
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want), {k: (got[k], want[k]) for k in want if got[k] != pytest.approx(want[k], abs=1e-6)}
+
+
 def test_bags_of_edges(spark):
     edges = spark.createDataFrame([(0, 1), (0, 1), (1, 1), (1, 2)], "u long, v long")
     assert by_node(graph.degrees(edges), "degree") == {0: 2, 1: 5, 2: 1}

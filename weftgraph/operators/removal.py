@@ -6,6 +6,8 @@ aggregation serves all strategies and all points of a curve.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -119,30 +121,62 @@ def weight_curve(inter: DataFrame, ranks: DataFrame, semantics: str = "exact", s
 def component_trajectory(edges: DataFrame, nodes: DataFrame, ranks: DataFrame, step: float = 0.01, most: float = 0.10) -> DataFrame:
     """strategy, step, removed_frac, rho, nodes_left, edges_left while nodes are removed step by step.
 
-    rho is the largest component over all nodes. Nodes without a rank stay. All steps of all strategies are one
-    component job, over copies of the graph that are keyed by strategy and step. A trajectory ends when nothing is
-    left to remove.
+    rho is the largest component over all nodes. Nodes without a rank stay. What is left at a step is what dies at it
+    or later, so that the graph isn't copied for any step: see ``largest_components``. A trajectory ends when nothing
+    is left to remove.
     """
     n = nodes.count()
     size, steps = max(1, half_even(step * n)), half_even(most / step)
     lasts = ranks.groupBy("strategy").agg(F.count(F.lit(1)).alias("ranked")).select("strategy", F.explode(F.sequence(F.lit(0), F.least(F.lit(steps), F.ceil(F.col("ranked") / size).cast("int")))).alias("step"))
     where = nodes.select("node").crossJoin(F.broadcast(ranks.select("strategy").distinct())).join(ranks, ["strategy", "node"], "left")
     # the last step at which a node is there
-    until = where.select("strategy", "node", F.coalesce(F.floor(F.col("rank") / size), F.lit(steps)).cast("int").alias("until"))
+    until = where.select("strategy", "node", F.least(F.coalesce(F.floor(F.col("rank") / size), F.lit(steps)), F.lit(steps)).cast("int").alias("until"))
     until = written(until, "until")
     a, b = (until.select("strategy", F.col("node").alias(x), F.col("until").alias(f"t{x}")) for x in ("u", "v"))
-    held = edges.join(a, "u").join(b, ["strategy", "v"]).select("strategy", "u", "v", F.least("tu", "tv").alias("until"))
-    alive = held.join(F.broadcast(lasts), "strategy").where("step <= until").select("strategy", "step", "u", "v")
-    alive_nodes = until.join(F.broadcast(lasts), "strategy").where("step <= until").select("strategy", "step", "node")
-    key = lambda c: F.struct("strategy", "step", F.col(c).alias("node"))
-    found = stars(alive.select(key("u").alias("u"), key("v").alias("v")))
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("component.strategy").alias("strategy"), F.col("component.step").alias("step")).agg(F.max("n").alias("largest"))
-    left = alive_nodes.groupBy("strategy", "step").agg(F.count(F.lit(1)).alias("nodes_left"))
-    kept = alive.groupBy("strategy", "step").agg(F.count(F.lit(1)).alias("edges_left"))
-    out = lasts.join(left, ["strategy", "step"], "left").join(kept, ["strategy", "step"], "left").join(sizes, ["strategy", "step"], "left")
-    nodes_left = F.coalesce("nodes_left", F.lit(0))
-    largest = F.coalesce("largest", F.when(nodes_left > 0, 1).otherwise(0))
-    return out.select("strategy", "step", F.bround(1 - nodes_left / F.lit(n), 6).alias("removed_frac"), (largest / F.lit(n)).alias("rho"), nodes_left.alias("nodes_left"), F.coalesce("edges_left", F.lit(0)).alias("edges_left"))
+    held = written(edges.join(a, "u").join(b, ["strategy", "v"]).select("strategy", "u", "v", F.least("tu", "tv").alias("until")), "held")
+    counts = [t.groupBy("strategy", F.col("until").alias("step")).agg(F.count(F.lit(1)).alias(c)) for t, c in ((until, "nodes"), (held, "edges"))]
+    # (strategies x steps) rows from here on; what is left at a step is what later steps have, and its own
+    frame = ranks.select("strategy").distinct().select("strategy", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
+    for t in (*counts, largest_components(held, steps)):
+        frame = frame.join(t, ["strategy", "step"], "left")
+    later = Window.partitionBy("strategy").orderBy(F.desc("step"))
+    left, kept, largest = F.sum(F.coalesce("nodes", F.lit(0))).over(later), F.sum(F.coalesce("edges", F.lit(0))).over(later), F.max("largest").over(later)
+    out = frame.select("strategy", "step", left.alias("nodes_left"), kept.alias("edges_left"), largest.alias("largest")).join(lasts, ["strategy", "step"])
+    size_of = F.coalesce("largest", F.when(F.col("nodes_left") > 0, 1).otherwise(0))
+    return out.select("strategy", "step", F.bround(1 - F.col("nodes_left") / F.lit(n), 6).alias("removed_frac"), (size_of / F.lit(n)).alias("rho"), "nodes_left", "edges_left")
+
+
+def largest_components(held: DataFrame, steps: int) -> DataFrame:
+    """strategy, step, largest: the size of the largest component that edges which live until ``step`` or later make.
+
+    A step is left out if none of its edges joins anything that later steps don't join. held: strategy, u, v, until
+    (0 to ``steps``). The range of steps is halved again and again: components at the middle step come from edges that
+    live so long; those that live longer are searched on in the upper half, the others in the lower half, between the
+    components that they join. So every edge is in one search at a time, all halves are one job, and there are as many
+    jobs as halvings; edges within a component drop out.
+    """
+    own = held.where("u <> v").groupBy("strategy", "u", "v").agg(F.max("until").alias("until"))
+    now = own.select("strategy", F.lit(0).alias("lo"), F.lit(steps).alias("hi"), "until", "u", F.lit(1).cast("long").alias("su"), "v", F.lit(1).cast("long").alias("sv"))
+    found = []
+    while True:
+        now = written(now.withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")), "halves")
+        if now.isEmpty():
+            break
+        upper = now.where("until >= mid")
+        key = lambda c: F.struct("strategy", F.col("mid").alias("step"), F.col(c).alias("node"))
+        joined = written(stars(upper.select(key("u").alias("u"), key("v").alias("v"))), "joined")
+        ends = upper.select(F.explode(F.array(F.struct(key("u").alias("node"), F.col("su").alias("size")), F.struct(key("v").alias("node"), F.col("sv").alias("size")))).alias("x")).select("x.*").distinct()
+        sizes = written(joined.join(ends, "node").groupBy("component").agg(F.sum("size").alias("size")), "sizes")
+        found.append(sizes.groupBy(F.col("component.strategy").alias("strategy"), F.col("component.step").alias("step")).agg(F.max("size").alias("largest")))
+        to = joined.join(sizes, "component").select(F.col("node.strategy").alias("strategy"), F.col("node.step").alias("mid"), F.col("node.node").alias("at"), F.col("component.node").alias("to"), "size")
+        lower = now.where("until < mid")
+        for c in ("u", "v"):
+            here = to.select("strategy", "mid", F.col("at").alias(c), F.col("to").alias(f"to_{c}"), F.col("size").alias(f"size_{c}"))
+            lower = lower.join(here, ["strategy", "mid", c], "left").withColumns({c: F.coalesce(f"to_{c}", c), f"s{c}": F.coalesce(f"size_{c}", f"s{c}")})
+        columns = ("strategy", "lo", "hi", "until", "u", "su", "v", "sv")
+        low = lower.withColumn("hi", F.col("mid") - 1).where("u <> v").select(*columns)
+        now = upper.where("until > mid").withColumn("lo", F.col("mid") + 1).select(*columns).unionByName(low)
+    return reduce(DataFrame.unionByName, found) if found else held.select("strategy", F.col("until").alias("step"), F.lit(1).cast("long").alias("largest")).where("false")
 
 
 def snapshots(trajectory: DataFrame, points: tuple[float, ...] = (0.05, 0.10), step: float = 0.01) -> DataFrame:

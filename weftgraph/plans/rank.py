@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from .tables import written
 
+#: Rows of a table of groups that is sent to all tasks, at most.
+SENT = 200_000
+
 
 def ranked(df: DataFrame, order: list[Column], groups: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
     """``df`` with a 0-based rank by ``order`` within ``groups``.
@@ -26,18 +29,24 @@ def ranked(df: DataFrame, order: list[Column], groups: tuple[str, ...] = (), nam
     return dealt.withColumn("part_", part).join(first, [*groups, "part_"]).withColumn(name, (F.col("first_") + F.col("at_")).cast("long")).drop("part_", "at_", "first_")
 
 
-def first_in(df: DataFrame, groups: tuple[str, ...], key: str, tie: str, need: str, digits: int = 2) -> DataFrame:
+def first_in(df: DataFrame, groups: tuple[str, ...], key: str, tie: str, need: str, digits: int = 1) -> DataFrame:
     """The ``need`` first rows of each group by ``key`` (ties: ``tie``), without ``need`` and ``key``. Exact.
 
     ``key`` is a hash in hexadecimal digits, ``need`` the same within a group. A first pass counts rows by the key's
-    first digits; rows beyond the digits at which a group has enough aren't shuffled, and only the rest is sorted: what
-    is asked for, and the rows of one more beginning. Both passes read ``df``.
+    first digits. Rows with smaller digits than those with which a group has enough are taken as they are; only rows
+    with just these digits, one in 16^``digits`` of all, are shuffled and sorted. Both passes read ``df``. The counts'
+    result, a row a group, goes to all tasks where it has ``SENT`` rows at most.
     """
     head = F.substring(key, 1, digits)
     counts = df.groupBy(*groups, head.alias("head_")).agg(F.count(F.lit(1)).alias("n_"), F.max(need).alias("need_"))
     upto = Window.partitionBy(*groups).orderBy("head_")
-    # the first beginning with which there are enough; a group with too few rows keeps all
-    cut = counts.withColumn("sum_", F.sum("n_").over(upto)).groupBy(*groups).agg(F.min(F.when(F.col("sum_") >= F.col("need_"), F.col("head_"))).alias("cut_"))
-    held = df.join(cut, list(groups)).where(F.col("cut_").isNull() | (head <= F.col("cut_")))
+    summed = counts.withColumn("sum_", F.sum("n_").over(upto))
+    # the first digits with which there are enough; a group with too few rows keeps all
+    enough = F.col("sum_") >= F.col("need_")
+    cut = summed.groupBy(*groups).agg(F.min(F.when(enough, F.col("head_"))).alias("cut_"), F.coalesce(F.max(F.when(~enough, F.col("sum_"))), F.lit(0)).alias("sure_"))
+    cut = written(cut, "cuts")
+    held = df.join(F.broadcast(cut) if cut.count() <= SENT else cut, list(groups))
+    sure = held.where(F.col("cut_").isNull() | (head < F.col("cut_"))).drop("sure_", "cut_", need, key)
     place = F.row_number().over(Window.partitionBy(*groups).orderBy(key, tie))
-    return held.withColumn("place_", place).where(F.col("place_") <= F.col(need)).drop("place_", "cut_", need, key)
+    edge = held.where(head == F.col("cut_")).withColumn("place_", place).where(F.col("place_") + F.col("sure_") <= F.col(need))
+    return sure.unionByName(edge.drop("place_", "sure_", "cut_", need, key))
