@@ -46,6 +46,19 @@ def test_exact_groups(spark, small, partitions):
     assert sorted((normal(r.text), r.doc_id) for r in left.collect()) == sorted((t, i) for t, i in keep.items())
 
 
+def test_exact_common_beginning(spark):
+    """Texts that splitters can't tell apart, with copies that lie in several partitions."""
+    rows = [(1000 * (i % 17) + i, "h" * 64 + str(i % 17)) for i in range(900)] + [(90_000 + i, "h" * 64) for i in range(700)]
+    random.Random(2).shuffle(rows)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    for partitions in (3, 13):
+        got = exact_groups(frame(spark, rows), partitions=partitions).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == sorted((i, min(groups[t]), len(groups[t]), i == min(groups[t])) for i, t in rows)
+        assert sorted(r.doc_id for r in without_copies(frame(spark, rows), partitions=partitions).collect()) == sorted(map(min, groups.values()))
+
+
 def test_exact_empty(spark):
     assert exact_groups(frame(spark, [])).count() == 0
     assert without_copies(frame(spark, [])).count() == 0
