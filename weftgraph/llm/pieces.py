@@ -313,18 +313,20 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", outp
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model.value)
         gc.disable()  # nothing here makes cycles, and a collection walks all that is remembered
-        for b in batches:
-            made: dict[str, list[pa.Array]] = {o: [] for o in outputs}
-            for texts in _grouped(b.column(b.num_columns - 1)):
-                once = list(dict.fromkeys(texts))
-                encoded = pieces.encode(once, end)
-                decodings = [pieces.decode(ids) for ids in encoded]
-                pieces.check(once, encoded, decodings, end)
-                place = {text: i for i, text in enumerate(once)}
-                at = pa.array([place[text] for text in texts], pa.int32())
-                for o in outputs:
-                    made[o].append(pa.array([of[o](pieces, ids, decoded) for ids, decoded in zip(encoded, decodings, strict=True)], kinds[o]).take(at))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.concat_arrays(made[o]) if made[o] else pa.array([], kinds[o]) for o in outputs)], [*b.schema.names[:-1], *names])
-        gc.enable()
+        try:
+            for b in batches:
+                made: dict[str, list[pa.Array]] = {o: [] for o in outputs}
+                for texts in _grouped(b.column(b.num_columns - 1)):
+                    once = list(dict.fromkeys(texts))
+                    encoded = pieces.encode(once, end)
+                    decodings = [pieces.decode(ids) for ids in encoded]
+                    pieces.check(once, encoded, decodings, end)
+                    place = {text: i for i, text in enumerate(once)}
+                    at = pa.array([place[text] for text in texts], pa.int32())
+                    for o in outputs:
+                        made[o].append(pa.array([of[o](pieces, ids, decoded) for ids, decoded in zip(encoded, decodings, strict=True)], kinds[o]).take(at))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.concat_arrays(made[o]) if made[o] else pa.array([], kinds[o]) for o in outputs)], [*b.schema.names[:-1], *names])
+        finally:  # the worker is used again, whatever ends this task
+            gc.enable()
 
     return map_arrow(src, scan, schema)
