@@ -10,12 +10,13 @@ import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, pieces, secrets, sharding, urls, warc
-from weftgraph.llm.queries import QUERIES, piece_model
+from weftgraph.llm.queries import ORACLES, QUERIES, piece_model
 
 
 def documents(spark, sf_dir):
@@ -61,6 +62,17 @@ def test_contamination(spark, small, how):
     assert sum(r[2] > 0 for r in rows) > 5
 
 
+def test_contamination_by_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = QUERIES["op6_decontamination"](spark, sf)
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got) == sorted(con.sql("select " + ", ".join(df.columns) + " from (" + ORACLES["op6_decontamination"] + ")").fetchall())
+    assert sum(r[2] > 0 for r in got) > 10
+
+
 def test_many_blocks_are_one_pass(spark, small):
     """A benchmark of a hundred blocks is searched in one Python stage over the texts."""
     found = decontaminate.found_spans(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet"), block=200)

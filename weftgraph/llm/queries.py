@@ -115,6 +115,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        s AS (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM i WHERE len(w) > 0),
+        f AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM s),
+        t AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d JOIN (SELECT DISTINCT n FROM f) AS l ON len(w) >= n),
+        o AS (SELECT r, t.n, p, item FROM (SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS k FROM t) AS t JOIN f ON f.n = t.n AND f.k = t.k),
+        h AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS q FROM o) GROUP BY r),
+        g AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM o) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(g.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r)""",
     "op3_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first FROM p),
