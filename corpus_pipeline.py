@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pieces", pieces),
 ]
 
-#: SQL can express neither the fitted model nor the encoding; tests hold each stage's decisions against its operator's,
+#: SQL can express neither the fitted model nor the encoding; tests hold the whole run against plain Python,
 #: and every operator against brute force or held-out labels.
 ORACLE_SQL = None
 
