@@ -1,5 +1,6 @@
 """Exact and near duplicates against brute force."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -133,6 +134,29 @@ def test_near_awkward(spark):
     assert near_components(frame(spark, []), 5, 80).count() == 0
 
 
+def test_near_unlucky_pairs(spark):
+    """Pairs of similarity 0.8 that shared none of 32 bands of 5 minima, and were found in 2,400,000 such pairs."""
+    unlucky = [293111, 692784, 822254, 1532753, 1563335, 1587238, 1639252, 1689988, 1811334, 2336719]
+    rows = [(2 * n + side, " ".join(f"{i}.{j}" for j in range(11 - 2 * side))) for n, i in enumerate(unlucky) for side in range(2)]
+    got = near_components(frame(spark, rows), 2, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (10 - 2 * (i % 2), i - i % 2) for i, _ in rows}
+
+
+@pytest.mark.parametrize("percent", [1, 20, 50, 80, 95, 100])
+def test_near_chances(percent):
+    """Bands and signatures miss a pair that is just similar enough with a chance of 1e-15 at most."""
+    h, s = near.Hashes(percent), min(percent / 100, 1 - 1e-9)
+    assert (1 - s**h.rows) ** h.bands <= 1e-15
+    assert sum(math.comb(h.signed, k) * s**k * (1 - s) ** (h.signed - k) for k in range(h.least)) <= 1e-15
+
+
+def test_near_rows_of_one_id(spark):
+    """The rows of an id are one document: what either of them links with is reached."""
+    rows = [(3, "a b c d e"), (5, "a b c d e"), (5, "p q r s t"), (7, "p q r s t"), (8, "other words")]
+    got = near_components(frame(spark, rows), 2, 80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8)]
+
+
 def test_near_blocks(spark, monkeypatch):
     """Buckets that are dealt to many blocks, with pivots that leave much to them."""
     monkeypatch.setattr(near, "BLOCK", 3)
@@ -140,3 +164,9 @@ def test_near_blocks(spark, monkeypatch):
     rows = varied(9, 5, 40)
     got = near_components(frame(spark, rows), 2, 80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2, 80)
+
+
+def test_near_blocks_with_sets(spark, monkeypatch):
+    """The same where no pair is put out, so that all of them meet in blocks with their sets."""
+    monkeypatch.setattr(near, "PAIRS", 0)
+    test_near_blocks(spark, monkeypatch)

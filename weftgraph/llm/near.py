@@ -24,20 +24,21 @@ from pyspark.sql import functions as F
 from ..operators.components import stars
 from .common import Memo, col, hot_join, in_arrow, stretches, written
 
-#: A pair of similarity 0.8 shares none of the bands with a chance of (1 - 0.8^5)^32, 3 in a million.
-BANDS, ROWS = 32, 5
+#: The chance that a pair just similar enough shares no band, at most: about that of a collision of prints.
+MISS = 1e-15
+#: Bands of a document, at most, if they have more than one minimum.
+MOST_BANDS = 96
+#: Minima that a signature is made of.
+SIGNED = 160
 #: Pivots of a bucket with several components, and with how many a member is compared.
 PIVOTS = 6
 #: Members of a bucket that one task holds, about: with their sets, and with their signatures only.
 BLOCK, SIGNED_BLOCK = 500, 4000
+#: Pairs that two blocks put out for each member; what is beyond that is compared in blocks with the sets.
+PAIRS = 16
 #: Members that one task compares with a pivot, about.
 DEALT = 2000
-#: Standard errors under the wanted similarity at which a signature rejects a pair.
-FAR = 5.5
 _RNG = np.random.default_rng(20240601)
-_A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_MIX = _RNG.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -67,23 +68,53 @@ class Shingler:
         return np.unique(out)
 
 
-def minima(prints: np.ndarray) -> np.ndarray:
-    """The least value of each hash function a x + b mod 2^64 over a set that isn't empty."""
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(prints), 1024):
-        low = np.minimum(low, (prints[i : i + 1024, None] * _A + _B).min(axis=0))
-    return low
-
-
-def bands(low: np.ndarray) -> np.ndarray:
-    """One bucket key a band."""
-    folded = (low.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
-    return _scramble(folded).view(np.int64)
+class Hashes:
+    """Minima of a set under hash functions a x + b mod 2^32, their bands and signatures, for a wanted similarity.
 
+    As many rows a band as go with ``MOST_BANDS`` bands (one at least), and then as many bands as ``MISS`` takes: 87
+    bands of 5 for 80 percent.
+    """
 
-def signature(low: np.ndarray) -> bytes:
-    """The highest byte of each scrambled minimum."""
-    return (_scramble(low) >> np.uint64(56)).astype(np.uint8).tobytes()
+    def __init__(self, percent: int):
+        if not 1 <= percent <= 100:
+            raise ValueError("percent must be from 1 to 100")
+        self.percent, s = percent, min(percent / 100, 1 - 1e-9)
+        need = lambda rows: math.ceil(math.log(MISS) / math.log1p(-(s**rows)))
+        self.rows = max((r for r in range(1, 33) if need(r) <= MOST_BANDS), default=1)
+        self.bands = need(self.rows)
+        n, rng = self.rows * self.bands, np.random.default_rng(20240601)
+        self.a = rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.b = rng.integers(0, 2**32, n, dtype=np.uint32)
+        self.mix = rng.integers(0, 2**63, self.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.signed = min(SIGNED, n)
+        # the greatest number of equal minima that so few pairs just similar enough stay under
+        chance, self.least = 0.0, 0
+        for k in range(self.signed + 1):
+            chance += math.comb(self.signed, k) * s**k * (1 - s) ** (self.signed - k)
+            if chance > MISS:
+                break
+            self.least = k + 1
+
+    def minima(self, prints: np.ndarray) -> np.ndarray:
+        """The least value of each hash function over a set that isn't empty."""
+        x = (prints >> np.uint64(32)).astype(np.uint32)
+        low = np.full(len(self.a), 2**32 - 1, np.uint32)
+        for i in range(0, len(x), 256):
+            low = np.minimum(low, (x[i : i + 256, None] * self.a + self.b).min(axis=0))
+        return low
+
+    def keys(self, low: np.ndarray) -> np.ndarray:
+        """One bucket key a band."""
+        folded = (low.astype(np.uint64).reshape(self.bands, self.rows) * self.mix).sum(axis=1, dtype=np.uint64)
+        return _scramble(_scramble(folded) + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
+
+    def signature(self, low: np.ndarray) -> bytes:
+        """The highest byte of each of the first scrambled minima."""
+        return (_scramble(low[: self.signed].astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+    def near(self, sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        """Whether each of the signatures agrees often enough with the other one."""
+        return np.count_nonzero(sigs == sig, axis=-1) >= self.least
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -103,19 +134,7 @@ def similar_sets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def similar(a: np.ndarray, b: np.ndarray, sig_a: np.ndarray, sig_b: np.ndarray, percent: int) -> bool:
-    """Whether 100 |A and B| >= percent |A or B|: by sizes, then signatures, then the full sets."""
-    small, large = sorted((len(a), len(b)))
-    if not small or 100 * small < percent * large:
-        return False
-    s = percent / 100
-    far = s - FAR * math.sqrt(s * (1 - s) / len(sig_a))
-    if (sig_a == sig_b).mean() < far:
-        return False
-    return similar_sets(a, b, percent)
-
-
-def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, k: int, hashes: Hashes, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty), its bands and its signature; written, without texts."""
     src = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("binary").alias("text"))
 
@@ -127,10 +146,10 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 x = shingler.prints(t.as_py())
                 n.append(len(x))
                 if len(x):
-                    low = minima(x)
+                    low = hashes.minima(x)
                     digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                    keys.append(bands(low))
-                    sigs.append(signature(low))
+                    keys.append(hashes.keys(low))
+                    sigs.append(hashes.signature(low))
                 else:
                     digest.append(None)
                     keys.append(None)
@@ -141,83 +160,101 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return written(in_arrow(src, scan, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, sig binary"), "sketches")
 
 
-def _first_links(docs: DataFrame, members: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Every candidate against the smallest pivot of its buckets.
-
-    Returns the candidates' sets (id, sig, bands, prints) and the pairs (a < b) that link.
-    A pivot of many members is dealt to several tasks, and its set with it.
-    """
-    mine = members.where("id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot"))
-    deals = mine.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("deals"))
-    # a candidate belongs to the deal of its pivot that its hash says; a pivot to all deals of its own
-    as_member = mine.join(deals, "pivot").select("id", F.array(F.struct("pivot", F.pmod(F.xxhash64("id"), F.col("deals")).cast("int").alias("deal"))).alias("roles"))
-    as_pivot = deals.select(F.col("pivot").alias("id"), F.transform(F.sequence(F.lit(0), F.col("deals") - 1), lambda d: F.struct(F.col("pivot").alias("pivot"), d.alias("deal"))).alias("roles"))
-    roles = as_member.unionByName(as_pivot).groupBy("id").agg(F.flatten(F.collect_list("roles")).alias("roles"))
-    texts = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text")).join(roles, "id").select("id", "roles", "text")
+def _sets(docs: DataFrame, roles: DataFrame, k: int, hashes: Hashes, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``roles`` (id first, once each) with sig, bands, prints of the rows of each id; written."""
+    texts = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text")).join(roles, "id").select(*roles.columns, "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for b in batches:
             sigs, keys, prints = [], [], []
-            for t in b.column(2):
+            for t in b.column(b.num_columns - 1):
                 x = shingler.prints(t.as_py())
-                low = minima(x) if len(x) else None
+                low = hashes.minima(x) if len(x) else None
                 prints.append(x.tobytes())
-                sigs.append(b"" if low is None else signature(low))
-                keys.append(b"" if low is None else bands(low).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary()), pa.array(prints, pa.binary())], ["id", "roles", "sig", "bands", "prints"])
+                sigs.append(b"" if low is None else hashes.signature(low))
+                keys.append(b"" if low is None else hashes.keys(low).tobytes())
+            made = (pa.array(x, pa.binary()) for x in (sigs, keys, prints))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "sig", "bands", "prints"])
 
-    kind = dict(members.dtypes)["id"]
-    sets = written(in_arrow(texts, build, f"id {kind}, roles array<struct<pivot:{kind},deal:int>>, sig binary, bands binary, prints binary"), "shingle-sets")
-    dealt = sets.select(F.explode("roles").alias("r"), "id", "sig", "prints").select(F.col("r.pivot").alias("pivot"), F.col("r.deal").alias("deal"), "id", "sig", "prints")
+    kept = ", ".join(f"{name} {kind}" for name, kind in roles.dtypes)
+    return written(in_arrow(texts, build, f"{kept}, sig binary, bands binary, prints binary"), "shingle-sets")
+
+
+def _likely(pairs: DataFrame, hashes: Hashes) -> DataFrame:
+    """a, b of the pairs (a, b, sig_a, sig_b) that signatures don't reject; written."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [bool(hashes.near(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    kind = dict(pairs.dtypes)["a"]
+    return written(in_arrow(pairs.select("a", "b", "sig_a", "sig_b"), compare, f"a {kind}, b {kind}").distinct(), "likely-pairs")
+
+
+def _first_links(docs: DataFrame, members: DataFrame, sigs: DataFrame, k: int, hashes: Hashes, id_col: str, text_col: str) -> DataFrame:
+    """Links (a < b) of every candidate with the smallest pivot of its buckets; other pairs are left to later steps.
+
+    Signatures meet first, and only what they don't reject brings its set. A pivot of many members is dealt to
+    several tasks, and its set with it.
+    """
+    mine = written(members.where("id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot")), "first-pivots")
+    pivots = mine.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).join(sigs.select(F.col("id").alias("pivot"), F.col("sig").alias("sig_a")), "pivot")
+    met = hot_join(mine.join(sigs, "id"), written(pivots, "pivot-signatures"), "pivot", "n")
+    mine = _likely(met.select(F.col("pivot").alias("a"), F.col("id").alias("b"), "sig_a", F.col("sig").alias("sig_b")), hashes).select(F.col("a").alias("pivot"), F.col("b").alias("id"))
+    deals = mine.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("deals"))
+    # a candidate belongs to the deal of its pivot that its hash says; a pivot to all deals of its own
+    as_member = mine.join(deals, "pivot").select("id", F.array(F.struct("pivot", F.pmod(F.xxhash64("id"), F.col("deals")).cast("int").alias("deal"))).alias("roles"))
+    as_pivot = deals.select(F.col("pivot").alias("id"), F.transform(F.sequence(F.lit(0), F.col("deals") - 1), lambda d: F.struct(F.col("pivot").alias("pivot"), d.alias("deal"))).alias("roles"))
+    roles = as_member.unionByName(as_pivot).groupBy("id").agg(F.flatten(F.collect_list("roles")).alias("roles"))
+    dealt = _sets(docs, roles, k, hashes, id_col, text_col).select(F.explode("roles").alias("r"), "id", "prints").select(F.col("r.pivot").alias("pivot"), F.col("r.deal").alias("deal"), "id", "prints")
     dealt = dealt.repartition("pivot", "deal").sortWithinPartitions("pivot", "deal", F.col("id") != F.col("pivot"), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, own = None, []
         for b in batches:
             a, other = [], []
-            for p, d, i, sig, x in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                here = (np.frombuffer(x, np.uint64), np.frombuffer(sig, np.uint8))
+            for p, d, i, x in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                here = np.frombuffer(x, np.uint64)
                 if (p, d) != pivot:
                     pivot, own = (p, d), []
                 if i == p:
                     own.append(here)  # rows of one id are one document: any of them may link
                     continue
-                if any(similar(x0, here[0], s0, here[1], percent) for x0, s0 in own):
+                if any(similar_sets(x0, here, hashes.percent) for x0 in own):
                     a.append(p)
                     other.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a, b.schema.field(0).type), pa.array(other, b.schema.field(0).type)], ["a", "b"])
 
-    return sets.drop("roles"), written(in_arrow(dealt, compare, f"a {kind}, b {kind}"), "near-links")
+    kind = dict(members.dtypes)["id"]
+    return written(in_arrow(dealt, compare, f"a {kind}, b {kind}"), "near-links")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar."""
-    one = sets.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("prints").alias("x_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("prints").alias("x_b"))
-    # signatures meet first, and only what they don't reject brings its set
-    agree = pairs.join(one.select("a", "sig_a"), "a").join(two.select("b", "sig_b"), "b")
+def _linked(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, k: int, hashes: Hashes, id_col: str, text_col: str) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar; signatures meet first, as in ``_first_links``."""
+    one, two = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    close = _likely(pairs.join(one, "a").join(two, "b"), hashes)
+    ids = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
+    sets = _sets(docs, ids, k, hashes, id_col, text_col)
+    one, two = (sets.select(F.col("id").alias(x), F.col("prints").alias(f"x_{x}")) for x in "ab")
+    whole = close.join(one, "a").join(two, "b").select("a", "b", "x_a", "x_b")
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = percent / 100
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                far = s - FAR * math.sqrt(s * (1 - s) / max(len(x), 1))
-                keep.append(bool(x) and bool(y) and (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() >= far)
+            keep = [similar_sets(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), hashes.percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     kind = dict(pairs.dtypes)["a"]
-    close = in_arrow(agree.select("a", "b", "sig_a", "sig_b"), likely, f"a {kind}, b {kind}").distinct()
-    whole = close.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b", "x_a", "x_b")
+    return written(in_arrow(whole, compare, f"a {kind}, b {kind}").distinct(), "near-links")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sides = [b.column(i).to_pylist() for i in range(2, 6)]
-            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), np.frombuffer(s, np.uint8), np.frombuffer(t, np.uint8), percent) for s, t, x, y in zip(*sides, strict=True)]
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return written(in_arrow(whole, compare, f"a {kind}, b {kind}").distinct(), "near-links")
+def _repeated_links(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of the classes of one id's rows: those are one document, whatever their texts."""
+    rows = sketch.where("digest is not null and doc_id is not null").select("doc_id", "digest")
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id")
+    reps = rows.join(several, "doc_id", "left_semi").join(classes.select("digest", "id"), "digest")
+    return reps.select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
 
 
 def _open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -262,27 +299,33 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return dealt.select("key", "id", "component", F.explode(F.when(is_big, in_big).otherwise(F.concat(with_big, after, before))).alias("r")).select("key", "r.*", "id", "component")
 
 
-def _with_partners(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ids that have a partner of another component in their bucket whose signature is near enough."""
-    s = percent / 100
-    far = s - FAR * math.sqrt(s * (1 - s) / (BANDS * ROWS))
-    dealt = _blocks(rows, SIGNED_BLOCK).join(sets.select("id", "sig"), "id").where("length(sig) > 0")
+def _partners(rows: DataFrame, sigs: DataFrame, hashes: Hashes) -> DataFrame:
+    """Partners of other components in their bucket whose signatures are near enough: pairs (a < b), or ids of such.
+
+    Two blocks with more than ``PAIRS`` pairs a member put out the ids of the others, with no a and b; written.
+    """
+    dealt = _blocks(rows, SIGNED_BLOCK).join(sigs, "id")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", F.col("held").desc(), "id").select("key", "x", "y", "held", "met", "id", "component", "sig")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deal, ids, comps, told, n = None, [], [], [], 0
-        sigs = np.empty((64, BANDS * ROWS), np.uint8)
+        deal, ids, comps, told, n, free = None, [], [], [], 0, 0
+        sigs = np.empty((64, hashes.signed), np.uint8)
         for batch in batches:
-            out = []
+            a, b, alone = [], [], []
             for key, x, y, hold, met, i, c, sig in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if (key, x, y) != deal:
-                    deal, ids, comps, told, n = (key, x, y), [], [], [], 0
+                    deal, ids, comps, told, n, free = (key, x, y), [], [], [], 0, 0
+                free += PAIRS
                 sig = np.frombuffer(sig, np.uint8)
                 if met and n:
-                    near = [j for j in np.flatnonzero((sigs[:n] == sig).mean(axis=1) >= far).tolist() if comps[j] != c]
-                    if near:
-                        out.append(i)
-                        out += [ids[j] for j in near if not told[j]]
+                    near = [j for j in np.flatnonzero(hashes.near(sigs[:n], sig)).tolist() if comps[j] != c]
+                    if len(near) <= free:
+                        free -= len(near)
+                        a += [min(i, ids[j]) for j in near]
+                        b += [max(i, ids[j]) for j in near]
+                    else:
+                        alone.append(i)
+                        alone += [ids[j] for j in near if not told[j]]
                         for j in near:
                             told[j] = True
                 if hold:
@@ -293,13 +336,14 @@ def _with_partners(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     comps.append(c)
                     told.append(False)
                     n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field(5).type)], ["id"])
+            kind, no, none = batch.schema.field(5).type, [None] * len(alone), [None] * len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(a + no, kind), pa.array(b + no, kind), pa.array(none + alone, kind)], ["a", "b", "id"])
 
     kind = dict(rows.dtypes)["id"]
-    return written(rows.join(written(in_arrow(dealt, compare, f"id {kind}").distinct(), "partners"), "id", "left_semi"), "open-buckets")
+    return written(in_arrow(dealt, compare, f"a {kind}, b {kind}, id {kind}").distinct(), "partners")
 
 
-def _rest_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest_links(rows: DataFrame, sets: DataFrame, hashes: Hashes) -> DataFrame:
     """Links between members of different components in open buckets, as many as join what any link joins.
 
     Pairs are compared in the blocks of ``_blocks``, in the first band that they share, unless links found there have
@@ -307,12 +351,10 @@ def _rest_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     dealt = _blocks(rows, BLOCK).join(sets, "id").select("key", "x", "y", "held", "met", "id", "component", "sig", "bands", "prints")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", F.col("held").desc(), "id")
-    s = percent / 100
-    far = s - FAR * math.sqrt(s * (1 - s) / (BANDS * ROWS))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal, parent, held = None, {}, []
-        sigs, keys = np.empty((64, BANDS * ROWS), np.uint8), np.empty((64, BANDS), np.int64)
+        sigs, keys = np.empty((64, hashes.signed), np.uint8), np.empty((64, hashes.bands), np.int64)
 
         def root(c):
             while c in parent:
@@ -333,11 +375,11 @@ def _rest_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     first = same.argmax(axis=1)
                     here = same[np.arange(n), first] & (band[first] == key)
                     near = np.flatnonzero(here)
-                    near = near[(sigs[near] == sig).mean(axis=1) >= far] if len(near) else near
+                    near = near[hashes.near(sigs[near], sig)] if len(near) else near
                     for at in near.tolist():
                         j, other, whole = held[at]
                         p, q = root(c), root(other)
-                        if p != q and similar_sets(prints, whole, percent):
+                        if p != q and similar_sets(prints, whole, hashes.percent):
                             parent[max(p, q)] = min(p, q)
                             a.append(min(i, j))
                             b.append(max(i, j))
@@ -358,15 +400,18 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     A null text and one without words have no shingles and link with nothing. Rows without an id link with nothing,
     have no component and are kept. Rows of one id are one document. An empty table gives no rows; other columns
-    are ignored. Similarity is exact for every candidate pair that components depend on.
+    are ignored. Similarity is exact for every candidate pair that components depend on; a pair that is similar enough
+    is no candidate, or rejected by its signature, with a chance of ``MISS`` each at most.
     """
-    sketch = sketches(docs, k, id_col, text_col)
-    classes = sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    hashes = Hashes(percent)
+    sketch = sketches(docs, k, hashes, id_col, text_col)
+    classes = sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = written(classes, "classes")
+    sigs = classes.select("id", "sig")
     keys = classes.select("id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("pivot < last").select("key", "pivot", "n")
     members = written(hot_join(keys, written(buckets, "bucket-pivots"), "key", "n").select("key", "id", "pivot"), "buckets")
-    sets, links = _first_links(docs, members, k, percent, id_col, text_col)
+    links = _first_links(docs, members, sigs, k, hashes, id_col, text_col).unionByName(_repeated_links(sketch, classes))
     labels = written(stars(links, "a", "b"), "near-components")
 
     def joined(found: DataFrame) -> DataFrame:
@@ -375,12 +420,16 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     rows = _open_rows(members, labels)
     if not rows.isEmpty():
-        labels = joined(_linked(written(_pivot_pairs(rows), "pivot-pairs"), sets, percent))
+        labels = joined(_linked(written(_pivot_pairs(rows), "pivot-pairs"), docs, sigs, k, hashes, id_col, text_col))
         rows = _open_rows(rows.select("key", "id"), labels)
         if not rows.isEmpty():
-            rows = _with_partners(rows, sets, percent)
+            found = _partners(rows, sigs, hashes)
+            labels = joined(_linked(found.where("id is null").select("a", "b"), docs, sigs, k, hashes, id_col, text_col))
+            rows = rows.select("key", "id").join(found.where("id is not null").select("id"), "id", "left_semi")
+            rows = _open_rows(rows, labels)
         if not rows.isEmpty():
-            labels = joined(_rest_links(rows, sets, percent))
+            sets = _sets(docs, rows.select("id").distinct(), k, hashes, id_col, text_col)
+            labels = joined(_rest_links(rows, sets, hashes))
     rep = classes.select("digest", F.col("id").alias("rep"))
     return (
         sketch.select("doc_id", "n_shingles", "digest")
