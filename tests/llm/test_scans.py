@@ -335,6 +335,37 @@ def test_pieces_checks_every_row(spark, monkeypatch):
         pieces.encode_decode(df, piece_model()).collect()
 
 
+def test_pieces_checks_stretches_as_they_are_made():
+    """A wrong stretch raises when it is made, and again when it is asked for again; a mark alone has no text of its own."""
+    p = pieces.Pieces(open(piece_model(), "rb").read())
+    texts = ["some words", " ", "a  ", "words again", "\u4e2d words"]
+    assert p.encode(texts) == p.library.encode(texts, add_eos=True)
+    p.forget()
+    p.merged = lambda stretches: [(0,) if s == "\u2581words" else p._ids(p._heaped(s)) for s in stretches]
+    for _ in range(2):
+        with pytest.raises(ValueError, match="encodes this otherwise: '\u2581words'"):
+            p.encode(["some words"])
+
+
+def test_pieces_keep_library_calls_short():
+    """The library encodes a stretch once, and no whole text whose ids give the text again."""
+    p, sent = pieces.Pieces(open(piece_model(), "rb").read()), []
+
+    class Counted:
+        def __init__(self, library):
+            self.decode, self.whole = library.decode, library.encode
+
+        def encode(self, texts, **options):
+            sent.extend([texts] if isinstance(texts, str) else texts)
+            return self.whole(texts, **options)
+
+    p.library = Counted(p.library)
+    texts = [f"some words again {i % 3}" for i in range(100)]
+    encoded = p.encode(texts)
+    p.check(texts, encoded, [p.decode(ids) for ids in encoded])
+    assert sorted(sent) == ["0", "1", "2", "again", "some", "words"]
+
+
 def test_pieces(spark, small):
     rng = random.Random(2)
     noise = ["".join(chr(rng.choice([32, 9, 10, 0x2581, 0xE9, 0x4E2D, 0x1F600, 0x0, 0xFFFD, 0x300, *range(97, 105)])) for _ in range(rng.randint(1, 60))) for _ in range(300)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 from typing import Any, AnyStr
 
 import pyarrow as pa
@@ -127,7 +127,7 @@ class Memo:
             if self.held > self.most:  # at the begin: whoever takes the last value doesn't come back
                 self.old, self.young, self.held = self.young, {}, 0
             part, young, old = keys[at : at + PART] if len(keys) > PART else keys, self.young, self.old
-            new = [k for k in part if k not in young]
+            new = list(filterfalse(young.__contains__, part))
             if new:
                 new = dict.fromkeys(new)
                 again = [k for k in new if k in old]

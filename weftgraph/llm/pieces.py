@@ -3,7 +3,8 @@
 Encoding keeps an agenda of adjacent symbol pairs ordered by the score of the piece that they make (ties: leftmost
 first) and merges the best until no pair makes a piece. Texts are cut where no piece can reach across; the agendas of
 new stretches of one length are worked off side by side, a merge of each in a step, and what a stretch encodes to is
-remembered within a bound. Every row is checked against the library, batch by batch.
+remembered within a bound. The library encodes every stretch that isn't remembered, too, and decodes every row, whose
+ids must give its text again; rows that don't (some cannot, by the library's rules) are encoded by it as a whole.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain, islice
 
@@ -29,7 +31,7 @@ NEVER = 2**31 - 1
 WIDTHS = (6, 9, 12, 16, 24, 48)
 #: Bytes of each of the two generations of stretches that a task remembers.
 MEMO = 28 << 20
-#: Rows and characters that are checked against the library in one call, but for one longer text.
+#: Rows and characters whose decodings are checked against the library in one call, but for one longer text.
 CHECKED, CHECKED_CHARS = 512, 1 << 20
 
 
@@ -73,7 +75,7 @@ class Pieces:
         self.as_text = [str(i) for i in range(len(self.surface))]
         self.byte_set = frozenset(self.byte_ids)
         self._tabulate()
-        self.memo = Memo(self.merged, MEMO)
+        self.forget()
 
     def _tabulate(self) -> None:
         """Symbols (pieces, and characters of pieces) as numbers; for each pair of them that makes a piece, that piece's place by cost."""
@@ -94,6 +96,22 @@ class Pieces:
         self.tied = np.bincount([place[self.cost[p]] for p in made], minlength=1) > 1
         self.symbol_ids = [*(self._ids([s]) for s in symbols), ()]
 
+    def forget(self) -> None:
+        self.memo = Memo(self._checked, MEMO)
+
+    def _checked(self, stretches: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each stretch; ValueError if the library encodes one otherwise.
+
+        The mark that a stretch begins with is the library's dummy prefix; a mark alone would be an empty text there.
+        """
+        made = self.merged(stretches)
+        wanted = self.library.encode([s[1:].replace(SPACE, " ") for s in stretches], num_threads=1)
+        if list(map(tuple, wanted)) != made:
+            for s, ids, want in zip(stretches, made, wanted, strict=True):
+                if s != SPACE and ids != tuple(want):
+                    raise ValueError("the library encodes this otherwise: " + repr(s[:200]))
+        return made
+
     def merged(self, stretches: list[str]) -> list[tuple[int, ...]]:
         """The ids of each stretch, by the agenda."""
         out: list[tuple[int, ...]] = [()] * len(stretches)
@@ -209,7 +227,7 @@ class Pieces:
         """As the library's decode: bytes of a run are read as UTF-8, each invalid one becomes U+FFFD; the dummy prefix goes."""
         surface = self.surface
         if self.byte_set.isdisjoint(ids):
-            text = "".join([surface[i] for i in ids])
+            text = "".join(map(surface.__getitem__, ids))
         else:
             parts: list[str] = []
             run = bytearray()
@@ -233,12 +251,17 @@ class Pieces:
         return text
 
     def check(self, texts: list[str], encoded: list[list[int]], decodings: list[str], end: bool = True) -> None:
-        """ValueError if the library encodes or decodes any of the texts otherwise."""
-        if encoded == self.library.encode(texts, add_eos=end, num_threads=1) and decodings == self.library.decode(encoded, num_threads=1):
-            return
-        for text, ids, decoded in zip(texts, encoded, decodings, strict=True):
-            if ids != self.library.encode(text, add_eos=end) or decoded != self.library.decode(ids):
-                raise ValueError("the library encodes or decodes this text otherwise: " + repr(text[:200]))
+        """ValueError if the library encodes or decodes any of the texts otherwise; ids of stretches have been compared before.
+
+        Ids that decode to the text, stretch by stretch the library's, are the library's.
+        """
+        if decodings != self.library.decode(encoded, num_threads=1):
+            odd = range(len(texts))
+        else:
+            odd = [i for i, (text, decoded) in enumerate(zip(texts, decodings, strict=True)) if text != decoded]
+        for i in odd:
+            if encoded[i] != self.library.encode(texts[i], add_eos=end) or decodings[i] != self.library.decode(encoded[i]):
+                raise ValueError("the library encodes or decodes this text otherwise: " + repr(texts[i][:200]))
 
     @property
     def starts(self) -> frozenset[int]:
@@ -248,6 +271,12 @@ class Pieces:
         return found
 
 
+@lru_cache(maxsize=1)
+def _read(kind: type[Pieces], model: bytes) -> Pieces:
+    """The vocabulary of a model; a worker's next task of the same model takes it as it is, with nothing remembered."""
+    return kind(model)
+
+
 def _utf8(run: bytearray) -> str:
     try:
         return run.decode()
@@ -289,7 +318,8 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", outp
 
     A null text is empty and encodes to the end id alone. Whole texts are encoded, each row by itself: repeated
     rows, null ids and empty tables need no care, nothing is shuffled. Names that ``docs`` has already get an
-    underscore before them. The model is read on the driver and shipped. A row that differs from the library raises.
+    underscore before them. The model is read on the driver and shipped. A stretch, or what a row decodes to, that differs
+    from the library raises.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -311,7 +341,8 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", outp
     }
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model.value)
+        pieces = _read(Pieces, model.value)
+        pieces.forget()
         gc.disable()  # nothing here makes cycles, and a collection walks all that is remembered
         try:
             for b in batches:
@@ -327,6 +358,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", outp
                         made[o].append(pa.array([of[o](pieces, ids, decoded) for ids, decoded in zip(encoded, decodings, strict=True)], kinds[o]).take(at))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.concat_arrays(made[o]) if made[o] else pa.array([], kinds[o]) for o in outputs)], [*b.schema.names[:-1], *names])
         finally:  # the worker is used again, whatever ends this task
+            pieces.forget()
             gc.enable()
 
     return map_arrow(src, scan, schema)
