@@ -265,3 +265,31 @@ def test_training_raises_the_likelihood(spark, small):
         m = hmm.train(df, 6, frequency, 3, rounds)
         lls.append(group.expected(m.moves, m.emit, m.start)[3])
     assert lls[0] < lls[1] < lls[2]
+
+
+def test_expected_counts_look_emissions_up_once():
+    """One lookup for all tokens of a group, forward and backward, and the counts of plain steps."""
+
+    class Counted(np.ndarray):
+        looked = 0
+
+        def __getitem__(self, at):
+            Counted.looked += 1
+            return np.asarray(super().__getitem__(at))
+
+    rng = np.random.default_rng(3)
+    model = hmm.Model.begin(np.full(9, 1 / 9), 3)
+    seqs = [rng.integers(0, 9, n).astype(np.uint16) for n in (1, 4, 7, 7)]
+    moves, likelihood = np.zeros((3, 3)), 0.0
+    for s in seqs:
+        alpha = [model.start]
+        for x in s:
+            alpha.append((alpha[-1] @ model.moves) * model.emit[x])
+        beta, total = np.ones(3), alpha[-1].sum()
+        likelihood += np.log(total)
+        for t in range(len(s) - 1, -1, -1):
+            moves += np.outer(alpha[t], model.emit[s[t]] * beta) * model.moves / total
+            beta = model.moves @ (model.emit[s[t]] * beta)
+    got = hmm.Sequences(seqs).expected(model.moves, model.emit.view(Counted), model.start)
+    assert Counted.looked == 1
+    assert np.allclose(got[1], moves) and np.isclose(got[3], likelihood)

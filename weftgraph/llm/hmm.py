@@ -194,12 +194,16 @@ class Group:
 
     def forward(self, a: np.ndarray, emit: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scaled state probabilities after every token, and the scales; before: of each stretch."""
+        return self._forward(a, emit[self.symbols], before)
+
+    def _forward(self, a: np.ndarray, shown: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``forward`` with what each state says of every token."""
         alpha, scale, now = np.empty((len(self.symbols), len(a))), np.empty(len(self.symbols)), before[self.order]
         for n, offset in self.steps():
-            x = (now[:n] @ a) * emit[self.symbols[offset : offset + n]]
-            total = x.sum(axis=1)
-            now = x / total[:, None]
-            alpha[offset : offset + n], scale[offset : offset + n] = now, total
+            x, here = now[:n] @ a, scale[offset : offset + n]
+            x *= shown[offset : offset + n]
+            x.sum(axis=1, out=here)
+            now = np.divide(x, here[:, None], out=alpha[offset : offset + n])
         return alpha, scale
 
     def likelihoods(self, scale: np.ndarray) -> np.ndarray:
@@ -209,7 +213,8 @@ class Group:
 
     def expected(self, a: np.ndarray, emit: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Baum-Welch counts: of emissions (symbols x states) and transitions, states before each stretch, log-likelihood."""
-        alpha, scale = self.forward(a, emit, before)
+        shown = emit[self.symbols]
+        alpha, scale = self._forward(a, shown, before)
         states, steps = len(a), list(self.steps())
         weighted = np.empty_like(alpha)  # emission times what comes after, divided by the likelihood of the token's row
         past = np.empty_like(alpha)
@@ -217,11 +222,11 @@ class Group:
         for t in range(len(steps) - 1, -1, -1):
             n, offset = steps[t]
             here, b = alpha[offset : offset + n], later[:n]
-            w = emit[self.symbols[offset : offset + n]] * b
+            w = shown[offset : offset + n] * b
             past[offset : offset + n] = alpha[steps[t - 1][1] : steps[t - 1][1] + n] if t else first[:n]
-            weighted[offset : offset + n] = w / (scale[offset : offset + n] * (here * b).sum(axis=1))[:, None]
+            np.divide(w, (scale[offset : offset + n] * (here * b).sum(axis=1))[:, None], out=weighted[offset : offset + n])
             v = w @ a.T
-            later[:n] = v / v.sum(axis=1, keepdims=True)
+            np.divide(v, v.sum(axis=1, keepdims=True), out=b)
         # gamma of a token: probability of its state given the whole text
         gamma = (past @ a) * weighted
         emissions = np.stack([np.bincount(self.symbols, gamma[:, s], len(emit)) for s in range(states)], axis=1)
