@@ -170,3 +170,54 @@ def test_near_blocks_with_sets(spark, monkeypatch):
     """The same where no pair is put out, so that all of them meet in blocks with their sets."""
     monkeypatch.setattr(near, "PAIRS", 0)
     test_near_blocks(spark, monkeypatch)
+
+
+def test_near_group_of_half_links(spark, monkeypatch):
+    """A group whose pairs are mostly just not similar enough: no written table has rows for its pairs."""
+    rng, base, rows = random.Random(3), [f"w{i}" for i in range(100)], []
+    for i in range(240):
+        text = list(base)
+        for at in rng.sample(range(2, 98), 4):
+            text[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(text)))
+    most, write = {}, near.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if {"a", "b"} <= set(out.columns):
+            most[name] = max(most.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near, "written", counted)
+    got = near_components(frame(spark, rows), 2, 80).collect()
+    want = brute(rows, 2, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 20 < len({c for _, c in want.values()}) < 230
+    assert max(most.values()) <= (near.PIVOTS + 1) * len(rows) < len(rows) * (len(rows) - 1) / 4
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_wanted_rows(spark, kind):
+    """Sets are fetched for all rows of the wanted ids, and other texts aren't shuffled, but for few."""
+    docs = spark.range(20_000).selectExpr(f"cast(id % 19000 as {kind}) as doc_id", "concat('t', id) as text")
+    docs = docs.unionByName(spark.sql(f"select cast(null as {kind}) as doc_id, 'none' as text"))
+    ids = spark.range(0, 19_000, 38).selectExpr(f"cast(id as {kind}) as id")
+    got = [(r.id, bytes(r.text).decode()) for r in near._wanted(docs, ids, "doc_id", "text").collect()]
+    wanted = {str(i) for i in range(0, 19_000, 38)}
+    assert sorted(t for i, t in got if str(i) in wanted) == sorted(f"t{i}" for i in range(20_000) if str(i % 19_000) in wanted)
+    assert len(wanted) < len(got) < 4000
+    assert near._wanted(docs, ids.limit(0), "doc_id", "text").count() == 0
+
+
+def test_held_sets():
+    """Runs and loose sets say the same as pairs do."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in rng.integers(30, 200, 150)]
+    held = near.Held()
+    for i, x in enumerate(sets):
+        if i:
+            assert held.similar(x, 80).tolist() == [j for j in range(i) if near.similar_sets(x, sets[j], 80)]
+        held.add(x)
+    assert held.runs and held.loose

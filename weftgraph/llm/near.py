@@ -3,16 +3,18 @@
 Documents with equal sets of shingles are one class, which its smallest id stands for. Classes that share a band's
 hash are candidates. In a bucket only as many pairs are verified as its components need: first every member
 against one pivot, then the members of buckets with several components against a few pivots that buckets of much
-the same members have in common, then, inside tasks, what still is in different components. Signatures reject pairs
-that are far from similar enough, and only ids with a partner left bring their sets; those are compared in full, as
-sets of 64-bit shingle prints. Buckets with a large share of all members are joined by broadcast, so that no task
-gets all members of one.
+the same members have in common. What still is in different components is grouped by signatures: blocks of them give
+the links that connect whatever is not far from similar enough, and within the connected groups blocks of sets meet
+in full, inside tasks. So no pair becomes a row but a link, or one with a pivot. Sets are of 64-bit shingle prints, and
+only ids with a partner left bring theirs. Buckets with a large share of all members are joined by broadcast, so that
+no task gets all members of one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import stars
-from .common import Memo, col, hot_join, in_arrow, stretches, written
+from .common import Memo, col, dropped, hot_join, in_arrow, stretches, written
 
 #: The chance that a pair just similar enough shares no band, at most: about that of a collision of prints.
 MISS = 1e-15
@@ -34,8 +36,10 @@ SIGNED = 160
 PIVOTS = 6
 #: Members of a bucket that one task holds, about: with their sets, and with their signatures only.
 BLOCK, SIGNED_BLOCK = 500, 4000
-#: Pairs that two blocks put out for each member; what is beyond that is compared in blocks with the sets.
-PAIRS = 16
+#: Held sets that are compared pair by pair, at most; beyond that they make a sorted run.
+PAIRS = 64
+#: Bits of the map of wanted ids: for each of them, and at most.
+BITS, MOST_BITS = 16, 1 << 27
 #: Members that one task compares with a pivot, about.
 DEALT = 2000
 _RNG = np.random.default_rng(20240601)
@@ -160,25 +164,31 @@ def sketches(docs: DataFrame, k: int, hashes: Hashes, id_col: str, text_col: str
     return written(in_arrow(src, scan, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, sig binary"), "sketches")
 
 
-def _sets(docs: DataFrame, roles: DataFrame, k: int, hashes: Hashes, id_col: str, text_col: str) -> DataFrame:
-    """The columns of ``roles`` (id first, once each) with sig, bands, prints of the rows of each id; written."""
-    texts = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text")).join(roles, "id").select(*roles.columns, "text")
+def _wanted(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text of the rows whose id hashes as one of ``ids`` does: all rows of these ids, and few others.
+
+    The hashes are broadcast as a bitmap of bounded size, so that texts that nobody wants aren't shuffled.
+    """
+    size = min(max(BITS * ids.count(), 1), MOST_BITS)
+    bit = F.pmod(F.xxhash64("id"), F.lit(size)) + 1
+    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text")).where("id is not null")
+    rows = rows.withColumn("bit", bit).select("id", "text", F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").cast("int").alias("at"))
+    is_set = F.expr("bit_get(cast(conv(hex(substring(map, cast(at div 8 as int) + 1, 1)), 16, 10) as int), at % 8) = 1")
+    return rows.join(F.broadcast(maps), "bucket").where(is_set).select("id", "text")
+
+
+def _sets(docs: DataFrame, roles: DataFrame, k: int, id_col: str, text_col: str, folder: str) -> DataFrame:
+    """The columns of ``roles`` (id first, once each) with the prints of the rows of each id; written to a folder to be ``dropped``."""
+    roles = written(roles, f"{folder}/roles")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for b in batches:
-            sigs, keys, prints = [], [], []
-            for t in b.column(b.num_columns - 1):
-                x = shingler.prints(t.as_py())
-                low = hashes.minima(x) if len(x) else None
-                prints.append(x.tobytes())
-                sigs.append(b"" if low is None else hashes.signature(low))
-                keys.append(b"" if low is None else hashes.keys(low).tobytes())
-            made = (pa.array(x, pa.binary()) for x in (sigs, keys, prints))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "sig", "bands", "prints"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingler.prints(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["id", "prints"])
 
-    kept = ", ".join(f"{name} {kind}" for name, kind in roles.dtypes)
-    return written(in_arrow(texts, build, f"{kept}, sig binary, bands binary, prints binary"), "shingle-sets")
+    sets = in_arrow(_wanted(docs, roles.select("id"), id_col, text_col), build, f"id {dict(roles.dtypes)['id']}, prints binary")
+    return written(sets.join(roles, "id").select(*roles.columns, "prints"), f"{folder}/shingle-sets")
 
 
 def _likely(pairs: DataFrame, hashes: Hashes) -> DataFrame:
@@ -208,7 +218,8 @@ def _first_links(docs: DataFrame, members: DataFrame, sigs: DataFrame, k: int, h
     as_member = mine.join(deals, "pivot").select("id", F.array(F.struct("pivot", F.pmod(F.xxhash64("id"), F.col("deals")).cast("int").alias("deal"))).alias("roles"))
     as_pivot = deals.select(F.col("pivot").alias("id"), F.transform(F.sequence(F.lit(0), F.col("deals") - 1), lambda d: F.struct(F.col("pivot").alias("pivot"), d.alias("deal"))).alias("roles"))
     roles = as_member.unionByName(as_pivot).groupBy("id").agg(F.flatten(F.collect_list("roles")).alias("roles"))
-    dealt = _sets(docs, roles, k, hashes, id_col, text_col).select(F.explode("roles").alias("r"), "id", "prints").select(F.col("r.pivot").alias("pivot"), F.col("r.deal").alias("deal"), "id", "prints")
+    folder = f"first-links-{uuid.uuid4().hex}"
+    dealt = _sets(docs, roles, k, id_col, text_col, folder).select(F.explode("roles").alias("r"), "id", "prints").select(F.col("r.pivot").alias("pivot"), F.col("r.deal").alias("deal"), "id", "prints")
     dealt = dealt.repartition("pivot", "deal").sortWithinPartitions("pivot", "deal", F.col("id") != F.col("pivot"), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +239,9 @@ def _first_links(docs: DataFrame, members: DataFrame, sigs: DataFrame, k: int, h
             yield pa.RecordBatch.from_arrays([pa.array(a, b.schema.field(0).type), pa.array(other, b.schema.field(0).type)], ["a", "b"])
 
     kind = dict(members.dtypes)["id"]
-    return written(in_arrow(dealt, compare, f"a {kind}, b {kind}"), "near-links")
+    links = written(in_arrow(dealt, compare, f"a {kind}, b {kind}"), "near-links")
+    dropped(docs.sparkSession, folder)
+    return links
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, k: int, hashes: Hashes, id_col: str, text_col: str) -> DataFrame:
@@ -236,7 +249,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, k: int, hashes:
     one, two = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     close = _likely(pairs.join(one, "a").join(two, "b"), hashes)
     ids = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-    sets = _sets(docs, ids, k, hashes, id_col, text_col)
+    folder = f"linked-{uuid.uuid4().hex}"
+    sets = _sets(docs, ids, k, id_col, text_col, folder)
     one, two = (sets.select(F.col("id").alias(x), F.col("prints").alias(f"x_{x}")) for x in "ab")
     whole = close.join(one, "a").join(two, "b").select("a", "b", "x_a", "x_b")
 
@@ -246,7 +260,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, k: int, hashes:
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     kind = dict(pairs.dtypes)["a"]
-    return written(in_arrow(whole, compare, f"a {kind}, b {kind}").distinct(), "near-links")
+    links = written(in_arrow(whole, compare, f"a {kind}, b {kind}").distinct(), "near-links")
+    dropped(docs.sparkSession, folder)
+    return links
 
 
 def _repeated_links(sketch: DataFrame, classes: DataFrame) -> DataFrame:
@@ -299,62 +315,99 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return dealt.select("key", "id", "component", F.explode(F.when(is_big, in_big).otherwise(F.concat(with_big, after, before))).alias("r")).select("key", "r.*", "id", "component")
 
 
-def _partners(rows: DataFrame, sigs: DataFrame, hashes: Hashes) -> DataFrame:
-    """Partners of other components in their bucket whose signatures are near enough: pairs (a < b), or ids of such.
+def _neighbourhoods(rows: DataFrame) -> DataFrame:
+    """key, id, component: the members of all buckets that have the same least hash of an id, once each; written.
 
-    Two blocks with more than ``PAIRS`` pairs a member put out the ids of the others, with no a and b; written.
+    Candidates share a bucket, so that they share a neighbourhood, and buckets of much the same members make few of them.
+    """
+    least = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("p"))).alias("least"))
+    homes = written(least.select("key", "n", F.col("least.p").alias("home")), "homes")
+    return written(hot_join(rows, homes, "key", "n").select(F.col("home").alias("key"), "id", "component").distinct(), "neighbourhoods")
+
+
+def _alike(rows: DataFrame, sigs: DataFrame, hashes: Hashes) -> DataFrame:
+    """Pairs (a, b) that connect what signatures near enough connect, of members in different components.
+
+    Two blocks put out no more pairs than it takes to connect their members: their number grows with the members.
     """
     dealt = _blocks(rows, SIGNED_BLOCK).join(sigs, "id")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", F.col("held").desc(), "id").select("key", "x", "y", "held", "met", "id", "component", "sig")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deal, ids, comps, told, n, free = None, [], [], [], 0, 0
-        sigs = np.empty((64, hashes.signed), np.uint8)
+        deal, ids, number, n = None, [], {}, 0
+        sigs, comps, group = np.empty((64, hashes.signed), np.uint8), np.empty(64, np.int64), np.empty(64, np.int64)
         for batch in batches:
-            a, b, alone = [], [], []
+            a, b = [], []
             for key, x, y, hold, met, i, c, sig in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if (key, x, y) != deal:
-                    deal, ids, comps, told, n, free = (key, x, y), [], [], [], 0, 0
-                free += PAIRS
-                sig = np.frombuffer(sig, np.uint8)
+                    deal, ids, number, n = (key, x, y), [], {}, 0
+                sig, c, found = np.frombuffer(sig, np.uint8), number.setdefault(c, len(number)), ()
                 if met and n:
-                    near = [j for j in np.flatnonzero(hashes.near(sigs[:n], sig)).tolist() if comps[j] != c]
-                    if len(near) <= free:
-                        free -= len(near)
-                        a += [min(i, ids[j]) for j in near]
-                        b += [max(i, ids[j]) for j in near]
-                    else:
-                        alone.append(i)
-                        alone += [ids[j] for j in near if not told[j]]
-                        for j in near:
-                            told[j] = True
+                    found = np.unique(group[:n][hashes.near(sigs[:n], sig) & (comps[:n] != c)])
+                    if len(found) > 1:
+                        group[:n][np.isin(group[:n], found)] = found[0]
+                    a += [i] * len(found)
+                    b += [ids[j] for j in found.tolist()]
                 if hold:
                     if n == len(sigs):
-                        sigs = np.concatenate([sigs, np.empty_like(sigs)])
-                    sigs[n] = sig
+                        sigs, comps, group = (np.concatenate([t, np.empty_like(t)]) for t in (sigs, comps, group))
+                    sigs[n], comps[n], group[n] = sig, c, found[0] if len(found) else n
                     ids.append(i)
-                    comps.append(c)
-                    told.append(False)
                     n += 1
-            kind, no, none = batch.schema.field(5).type, [None] * len(alone), [None] * len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(a + no, kind), pa.array(b + no, kind), pa.array(none + alone, kind)], ["a", "b", "id"])
+            kind = batch.schema.field(5).type
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
     kind = dict(rows.dtypes)["id"]
-    return written(in_arrow(dealt, compare, f"a {kind}, b {kind}, id {kind}").distinct(), "partners")
-
-
-def _rest_links(rows: DataFrame, sets: DataFrame, hashes: Hashes) -> DataFrame:
-    """Links between members of different components in open buckets, as many as join what any link joins.
-
-    Pairs are compared in the blocks of ``_blocks``, in the first band that they share, unless links found there have
-    joined their components already.
+    return written(in_arrow(dealt, compare, f"a {kind}, b {kind}").distinct(), "alike")
+
+
+class Held:
+    """Sets, most of them in sorted runs with their owners: a set meets all of a run at once."""
+
+    def __init__(self):
+        self.sizes, self.loose, self.runs = [], [], []
+
+    def add(self, prints: np.ndarray) -> None:
+        self.sizes.append(len(prints))
+        self.loose.append(prints)
+        if len(self.loose) > PAIRS:
+            self.pack()
+
+    def pack(self) -> None:
+        """Put what is loose into a run."""
+        if self.loose:
+            last = len(self.sizes)
+            prints = np.concatenate(self.loose)
+            owner = np.repeat(np.arange(last - len(self.loose), last, dtype=np.int32), [len(x) for x in self.loose])
+            order = np.argsort(prints, kind="stable")
+            self.runs.append((prints[order], owner[order]))
+            self.loose = []
+
+    def similar(self, prints: np.ndarray, percent: int) -> np.ndarray:
+        """Places of the sets that are similar to one that isn't empty, as ``similar_sets`` says."""
+        n = len(self.sizes)
+        both = np.zeros(n, np.int64)
+        for run, owner in self.runs:
+            first = np.searchsorted(run, prints)
+            count = np.searchsorted(run, prints, "right") - first
+            at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            both += np.bincount(owner[at], minlength=n)
+        for j, other in enumerate(self.loose, n - len(self.loose)):
+            both[j] = _common(prints, other)
+        return np.flatnonzero((both > 0) & (100 * both >= percent * (len(prints) + np.array(self.sizes, np.int64) - both)))
+
+
+def _rest_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components in their groups, as many as join what any link joins.
+
+    All pairs of a group are compared, in the blocks of ``_blocks``; two blocks put out no more links than join their
+    components.
     """
-    dealt = _blocks(rows, BLOCK).join(sets, "id").select("key", "x", "y", "held", "met", "id", "component", "sig", "bands", "prints")
+    dealt = _blocks(rows, BLOCK).join(sets, "id").select("key", "x", "y", "held", "met", "id", "component", "prints")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", F.col("held").desc(), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deal, parent, held = None, {}, []
-        sigs, keys = np.empty((64, hashes.signed), np.uint8), np.empty((64, hashes.bands), np.int64)
+        deal, parent, ids, comps, held = None, {}, [], [], Held()
 
         def root(c):
             while c in parent:
@@ -363,31 +416,25 @@ def _rest_links(rows: DataFrame, sets: DataFrame, hashes: Hashes) -> DataFrame:
 
         for batch in batches:
             a, b = [], []
-            for key, x, y, hold, met, i, c, sig, band, prints in zip(*(batch.column(n).to_pylist() for n in range(10)), strict=True):
+            for key, x, y, hold, met, i, c, prints in zip(*(batch.column(n).to_pylist() for n in range(8)), strict=True):
                 if (key, x, y) != deal:
-                    deal, parent, held = (key, x, y), {}, []
-                sig, band, prints = np.frombuffer(sig, np.uint8), np.frombuffer(band, np.int64), np.frombuffer(prints, np.uint64)
+                    deal, parent, ids, comps, held = (key, x, y), {}, [], [], Held()
+                prints = np.frombuffer(prints, np.uint64)
                 if not len(prints):
                     continue
-                n = len(held)
-                if met and n:
-                    same = keys[:n] == band
-                    first = same.argmax(axis=1)
-                    here = same[np.arange(n), first] & (band[first] == key)
-                    near = np.flatnonzero(here)
-                    near = near[hashes.near(sigs[near], sig)] if len(near) else near
-                    for at in near.tolist():
-                        j, other, whole = held[at]
-                        p, q = root(c), root(other)
-                        if p != q and similar_sets(prints, whole, hashes.percent):
+                if met and ids:
+                    if not hold:  # nothing is added any more
+                        held.pack()
+                    for j in held.similar(prints, percent).tolist():
+                        p, q = root(c), root(comps[j])
+                        if p != q:
                             parent[max(p, q)] = min(p, q)
-                            a.append(min(i, j))
-                            b.append(max(i, j))
+                            a.append(min(i, ids[j]))
+                            b.append(max(i, ids[j]))
                 if hold:
-                    if n == len(sigs):
-                        sigs, keys = (np.concatenate([t, np.empty_like(t)]) for t in (sigs, keys))
-                    sigs[n], keys[n] = sig, band
-                    held.append((i, c, prints))
+                    held.add(prints)
+                    ids.append(i)
+                    comps.append(c)
             kind = batch.schema.field(5).type
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
@@ -423,13 +470,12 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         labels = joined(_linked(written(_pivot_pairs(rows), "pivot-pairs"), docs, sigs, k, hashes, id_col, text_col))
         rows = _open_rows(rows.select("key", "id"), labels)
         if not rows.isEmpty():
-            found = _partners(rows, sigs, hashes)
-            labels = joined(_linked(found.where("id is null").select("a", "b"), docs, sigs, k, hashes, id_col, text_col))
-            rows = rows.select("key", "id").join(found.where("id is not null").select("id"), "id", "left_semi")
-            rows = _open_rows(rows, labels)
-        if not rows.isEmpty():
-            sets = _sets(docs, rows.select("id").distinct(), k, hashes, id_col, text_col)
-            labels = joined(_rest_links(rows, sets, hashes))
+            alike = written(stars(_alike(_neighbourhoods(rows), sigs, hashes), "a", "b"), "alike-groups")
+            rows = alike.select(F.col("node").alias("id"), F.col("component").alias("key")).join(labels.withColumnRenamed("node", "id"), "id", "left")
+            rows = written(rows.select("key", "id", F.coalesce("component", "id").alias("component")), "alike-rows")
+            folder = f"rest-links-{uuid.uuid4().hex}"
+            labels = joined(_rest_links(rows, _sets(docs, rows.select("id"), k, id_col, text_col, folder), percent))
+            dropped(docs.sparkSession, folder)
     rep = classes.select("digest", F.col("id").alias("rep"))
     return (
         sketch.select("doc_id", "n_shingles", "digest")
