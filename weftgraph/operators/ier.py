@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import draw_index, draw_key, half_even, plain_name
+from ..functions.columns import draw_key, half_even, plain_name
 from ..plans.rank import first_in, ranked
-from . import graph
+from . import draws, graph
 
 TAUS = (0.0, 0.1, 0.2, 0.3)
 BINS = ("Q1", "Q2", "Q3", "Q4")
@@ -85,20 +85,11 @@ def by_degree_bin(sets: DataFrame, inter: DataFrame, quartiles: DataFrame, by: t
 def bootstrap(sets: DataFrame, inter: DataFrame, quartiles: DataFrame, repeats: int = 300, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
     """tau, strategy, and the 2.5 and 97.5 percentiles of both statistics over resampled sets.
 
-    Draw j of repetition r is the set's member number hash(seed, strategy, r, j) mod k; draws are joined to members
-    by that number, and each repetition is one group.
+    Draw j of repetition r is the set's member number hash(seed, strategy, r, j) mod k.
     """
-    own = [*by, "strategy"]
-    sizes = sets.groupBy(*own).agg(F.count(F.lit(1)).alias("k"))
-    draws = sizes.select(*own, "k", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")).select(*own, "k", "rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("j"))
-    draws = draws.select(*own, "rep", draw_index(F.col("k"), seed, "boot", F.col("strategy"), F.col("rep"), F.col("j")).alias("place"))
-    # how often a repetition draws a member; statistics then need one row for each
-    often = draws.groupBy(*own, "rep", "place").agg(F.count(F.lit(1)).alias("n"))
-    rows = often.join(sets, [*own, "place"]).join(quartiles, [*by, "node"]).join(inter, [*by, "node"])
-    each = rows.groupBy(*by, "tau", "strategy", "rep").agg(
-        F.try_divide(F.sum(F.col("n") * F.col("inter_deg")).cast("double"), F.sum(F.col("n") * F.col("degree")).cast("double")).alias("stub"),
-        (F.sum(F.col("n") * (F.col("inter_deg") / F.greatest(F.lit(1), F.col("degree")))) / F.sum("n")).alias("nm"),
-    )
+    taus = draws.taus_of(inter)
+    sums = draws.bootstrap_sums(sets, draws.node_values(quartiles, inter, by, taus), taus, repeats, seed, by)
+    each = _ratios(sums, by)
     ends = F.array(F.lit(0.025), F.lit(0.975))
     q = each.groupBy(*by, "tau", "strategy").agg(F.percentile("stub", ends).alias("s"), F.percentile("nm", ends).alias("m"))
     return q.select(*by, "tau", "strategy", F.col("s")[0].alias("stub_low"), F.col("s")[1].alias("stub_high"), F.col("m")[0].alias("nm_low"), F.col("m")[1].alias("nm_high"))
@@ -121,6 +112,12 @@ def null_statistics(sets: DataFrame, inter: DataFrame, quartiles: DataFrame, rep
     )
 
 
+def _ratios(sums: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, tau, strategy, rep, stub, nm of the sums of a repetition."""
+    stub = F.try_divide(F.col("s").cast("double"), F.col("d").cast("double"))
+    return sums.select(*by, "tau", "strategy", "rep", stub.alias("stub"), (F.col("r") / F.col("n")).alias("nm"))
+
+
 def _p_values(null: DataFrame, obs: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """by, <out>_one, <out>_two: ((number at least as extreme) + 1) / (N + 1), two-tailed by distance from the median."""
     middle = null.groupBy(*by).agg(F.percentile(value, 0.5).alias("mid"), F.count(value).alias("n"))
