@@ -70,3 +70,35 @@ def test_no_row_for_each_draw(spark, ranked_sets):
     *_, tables = ranked_sets
     plan = ier.bootstrap(*tables, repeats=12)._jdf.queryExecution().toString()
     assert "md5" not in plan
+
+
+@pytest.mark.parametrize("slack", [None, 0.5, 0.0])
+def test_null_sets(ranked_sets, slack, monkeypatch):
+    """With little slack, many repetitions' last nodes lie outside of the brackets and are drawn again."""
+    nodes, sets, inter, tables = ranked_sets
+    if slack is not None:
+        monkeypatch.setattr(draws, "SLACK", slack)
+    degree, where = {n: d for n, d, _ in nodes}, {n: q for n, _, q in nodes}
+    got = {(r.tau, r.strategy, r.rep): r for r in ier.null_statistics(*tables, repeats=12).collect()}
+    assert len(got) == 2 * 2 * 12
+    for strategy, own in sets.items():
+        for rep in range(1, 13):
+            picked = []
+            for q in ier.BINS:
+                pool = sorted((n for n in where if where[n] == q), key=lambda n: (hexed(42, "perm", strategy, rep, n), n))
+                picked += pool[: sum(where[n] == q for n in own)]
+            for tau in TAUS:
+                r = got[tau, strategy, rep]
+                assert (r.stub, r.nm) == (pytest.approx(ratios(inter, degree, tau, picked)[0]), pytest.approx(ratios(inter, degree, tau, picked)[1]))
+
+
+def test_few_nodes_are_sorted(spark, monkeypatch):
+    """Of 20,000 nodes, only those around the last of the smallest are rows of a repetition."""
+    kept = {}
+    monkeypatch.setattr(draws, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    quartiles = written(spark.range(20_000).selectExpr("id as node", "1 + id % 5 as degree", "'Q1' as bin"), "t")
+    inter = quartiles.selectExpr("0.0D as tau", "node", "node % 2 as inter_deg")
+    sets = quartiles.where("node < 2000").selectExpr("'a' as strategy", "node", "node as place")
+    assert ier.null_statistics(sets, inter, quartiles, repeats=5).count() == 5
+    assert 0 < kept["null-parts"].where("key is not null").count() < 5 * 20_000 / 20
+    assert kept["missed"].isEmpty()

@@ -99,11 +99,11 @@ class Ratios:
 
     def summary(self, boot: int = 300, repeats: int = 500, seed: int = 42) -> DataFrame:
         """The standard rows: one for each dataset, tau and strategy."""
-        obs = self.observed()
+        obs = written(self.observed(), "observed")
         return ier.summary(obs, ier.bootstrap(self.sets, self.inter, self.quartiles, boot, seed, BY), ier.permutation_p(self.null(repeats, seed), obs, BY), None, repeats, BY)
 
     def deltas(self, repeats: int = 500, seed: int = 42) -> DataFrame:
-        return ier.deltas(self.null(repeats, seed), self.observed(), None, BY)
+        return ier.deltas(self.null(repeats, seed), written(self.observed(), "observed"), None, BY)
 
 
 def low_ranks(table: DataFrame, column: str, ascending: bool, strategy: str) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import draw_key, half_even, plain_name
-from ..plans.rank import first_in, ranked
+from ..functions.columns import half_even, plain_name
+from ..plans.rank import ranked
+from ..plans.tables import written
 from . import draws, graph
 
 TAUS = (0.0, 0.1, 0.2, 0.3)
@@ -99,17 +100,12 @@ def null_statistics(sets: DataFrame, inter: DataFrame, quartiles: DataFrame, rep
     """tau, strategy, rep, stub, nm of random sets with as many nodes of each degree bin as the strategy's set.
 
     Without replacement: the first nodes of a bin in the order of hash(seed, strategy, rep, node). A set is part of
-    the nodes, so that a bin always suffices. Only nodes whose hash is small enough are sorted, see ``first_in``.
+    the nodes, so that a bin always suffices. Only nodes around the last one are sorted, see ``draws.null_sums``.
     """
     need = sets.join(quartiles, [*by, "node"]).groupBy(*by, "strategy", "bin").agg(F.count(F.lit(1)).alias("need"))
-    pool = quartiles.join(need, [*by, "bin"])  # four bins for each strategy and graph
-    reps = pool.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    keyed = reps.select(*by, "strategy", "rep", "bin", "need", "node", "degree", draw_key(seed, "perm", F.col("strategy"), F.col("rep"), F.col("node")).alias("key"))
-    drawn = first_in(keyed, (*by, "strategy", "rep", "bin"), "key", "node", "need")
-    return drawn.join(inter, [*by, "node"]).groupBy(*by, "tau", "strategy", "rep").agg(
-        F.try_divide(F.sum("inter_deg").cast("double"), F.sum("degree").cast("double")).alias("stub"),
-        F.avg(F.col("inter_deg") / F.greatest(F.lit(1), F.col("degree"))).alias("nm"),
-    )
+    taus = draws.taus_of(inter)
+    table = written(draws.node_values(quartiles, inter, by, taus), "node-values")
+    return _ratios(draws.null_sums(written(need, "need"), quartiles, table, taus, repeats, seed, by), by)
 
 
 def _ratios(sums: DataFrame, by: tuple[str, ...]) -> DataFrame:
