@@ -219,3 +219,16 @@ def test_query_equals_sql(spark, small, name):
     assert sorted(got.columns) == sorted(columns)
     tidy = lambda row: tuple(f"{float(v):.8g}" if isinstance(v, float) or hasattr(v, "as_tuple") else str(v) for v in row)
     assert sorted(tidy([r[c] for c in columns]) for r in got.collect()) == sorted(map(tidy, cursor.fetchall()))
+
+
+def test_trajectory_searches_most_edges_once(spark, monkeypatch):
+    """Edges that no strategy removes are in one search, not in one for each strategy and halving."""
+    import random
+
+    rng, given = random.Random(7), []
+    edges = spark.createDataFrame([(rng.randint(0, 199), rng.randint(0, 199)) for _ in range(1000)], "u long, v long").where("u < v")
+    ranks = spark.createDataFrame([(s, v, i) for s in ("x", "y") for i, v in enumerate(rng.sample(range(200), 20))], "strategy string, node long, rank long")
+    search = removal.stars
+    monkeypatch.setattr(removal, "stars", lambda e: (given.append(e.count()), search(e))[1])
+    assert removal.component_trajectory(edges, graph.vertices(edges), ranks).where("step = 10").count() == 2
+    assert sum(given) < 1.5 * edges.count()

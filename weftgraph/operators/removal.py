@@ -128,16 +128,30 @@ def component_trajectory(edges: DataFrame, nodes: DataFrame, ranks: DataFrame, s
     n = nodes.count()
     size, steps = max(1, half_even(step * n)), half_even(most / step)
     lasts = ranks.groupBy("strategy").agg(F.count(F.lit(1)).alias("ranked")).select("strategy", F.explode(F.sequence(F.lit(0), F.least(F.lit(steps), F.ceil(F.col("ranked") / size).cast("int")))).alias("step"))
-    where = nodes.select("node").crossJoin(F.broadcast(ranks.select("strategy").distinct())).join(ranks, ["strategy", "node"], "left")
-    # the last step at which a node is there
-    until = where.select("strategy", "node", F.least(F.coalesce(F.floor(F.col("rank") / size), F.lit(steps)), F.lit(steps)).cast("int").alias("until"))
-    until = written(until, "until")
-    a, b = (until.select("strategy", F.col("node").alias(x), F.col("until").alias(f"t{x}")) for x in ("u", "v"))
-    held = written(edges.join(a, "u").join(b, ["strategy", "v"]).select("strategy", "u", "v", F.least("tu", "tv").alias("until")), "held")
-    counts = [t.groupBy("strategy", F.col("until").alias("step")).agg(F.count(F.lit(1)).alias(c)) for t, c in ((until, "nodes"), (held, "edges"))]
+    strategies = sorted(r.strategy for r in lasts.select("strategy").distinct().collect())
+    if not strategies:
+        return lasts.select("strategy", "step", F.lit(None).cast("double").alias("removed_frac"), F.lit(None).cast("double").alias("rho"), F.lit(0).cast("long").alias("nodes_left"), F.lit(0).cast("long").alias("edges_left"))
+    # the last step at which a node is there, by all strategies in one row
+    of = nodes.select("node").join(ranks.groupBy("node").agg(*[F.max(F.when(F.col("strategy") == s, F.col("rank"))).alias(f"t{i}") for i, s in enumerate(strategies)]), "node", "left")
+    until = written(of.select("node", *(F.least(F.coalesce(F.floor(F.col(f"t{i}") / size), F.lit(steps)), F.lit(steps)).cast("int").alias(f"t{i}") for i in range(len(strategies)))), "until")
+    a, b = (until.select(F.col("node").alias(x), *(F.col(f"t{i}").alias(f"{x}{i}") for i in range(len(strategies)))) for x in ("u", "v"))
+    held = written(edges.join(a, "u").join(b, "v").select("u", "v", *(F.least(f"u{i}", f"v{i}").alias(f"t{i}") for i in range(len(strategies)))), "held")
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(f"t{i}").alias("until")) for i, s in enumerate(strategies)])).alias("x")
+    counts = [t.select(each).groupBy("x.strategy", F.col("x.until").alias("step")).agg(F.count(F.lit(1)).alias(c)) for t, c in ((until, "nodes"), (held, "edges"))]
+    # what no strategy removes is searched once for all of them; the rest, between the components found, for each
+    stays = reduce(lambda x, y: x & y, [F.col(f"t{i}") == steps for i in range(len(strategies))])
+    core = written(stars(held.where(stays & (F.col("u") != F.col("v"))).select("u", "v")), "core")
+    sizes = written(core.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "core-sizes")
+    to = core.join(sizes, "component")
+    rest = held.where(~stays)
+    for c in ("u", "v"):
+        rest = rest.join(to.select(F.col("node").alias(c), F.col("component").alias(f"to_{c}"), F.col("size").alias(f"s{c}")), c, "left").withColumns({c: F.coalesce(f"to_{c}", c), f"s{c}": F.coalesce(f"s{c}", F.lit(1).cast("long"))})
+    rest = rest.where("u <> v").select("u", "su", "v", "sv", each).select("x.*", "u", "su", "v", "sv")
+    whole = ranks.select("strategy").distinct().crossJoin(F.broadcast(sizes.agg(F.max("size").alias("largest")).where("largest IS NOT NULL"))).select("strategy", F.lit(steps).alias("step"), "largest")  # one row
+    largest_at = largest_components(rest, steps).unionByName(whole).groupBy("strategy", "step").agg(F.max("largest").alias("largest"))
     # (strategies x steps) rows from here on; what is left at a step is what later steps have, and its own
     frame = ranks.select("strategy").distinct().select("strategy", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
-    for t in (*counts, largest_components(held, steps)):
+    for t in (*counts, largest_at):
         frame = frame.join(t, ["strategy", "step"], "left")
     later = Window.partitionBy("strategy").orderBy(F.desc("step"))
     left, kept, largest = F.sum(F.coalesce("nodes", F.lit(0))).over(later), F.sum(F.coalesce("edges", F.lit(0))).over(later), F.max("largest").over(later)
@@ -146,20 +160,27 @@ def component_trajectory(edges: DataFrame, nodes: DataFrame, ranks: DataFrame, s
     return out.select("strategy", "step", F.bround(1 - F.col("nodes_left") / F.lit(n), 6).alias("removed_frac"), (size_of / F.lit(n)).alias("rho"), "nodes_left", "edges_left")
 
 
+def _once(edges: DataFrame) -> DataFrame:
+    """strategy, lo, hi, until, u, su, v, sv: of edges between the same two different ends, one that dies last."""
+    apart = edges.where("u <> v").select("strategy", "lo", "hi", "until", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.when(F.col("u") < F.col("v"), F.col("su")).otherwise(F.col("sv")).alias("sa"), F.when(F.col("u") < F.col("v"), F.col("sv")).otherwise(F.col("su")).alias("sb"))
+    last = apart.groupBy("strategy", "lo", "hi", "a", "b").agg(F.max("until").alias("until"), F.max("sa").alias("su"), F.max("sb").alias("sv"))
+    return last.select("strategy", "lo", "hi", "until", F.col("a").alias("u"), "su", F.col("b").alias("v"), "sv")
+
+
 def largest_components(held: DataFrame, steps: int) -> DataFrame:
     """strategy, step, largest: the size of the largest component that edges which live until ``step`` or later make.
 
-    A step is left out if none of its edges joins anything that later steps don't join. held: strategy, u, v, until
-    (0 to ``steps``). The range of steps is halved again and again: components at the middle step come from edges that
-    live so long; those that live longer are searched on in the upper half, the others in the lower half, between the
+    A step is left out if none of its edges joins anything that later steps don't join. held: strategy, u, su, v, sv,
+    until (0 to ``steps``), su and sv being how many nodes an end stands for. Most edges live to the end and are searched
+    first. Then the range of steps is halved again and again: components at the middle step come from edges that live so
+    long; those that live longer are searched on in the upper half, the others in the lower half, between the
     components that they join. So every edge is in one search at a time, all halves are one job, and there are as many
-    jobs as halvings; edges within a component drop out.
+    jobs as halvings; edges within a component drop out, and of those between the same two the last to die is kept.
     """
-    own = held.where("u <> v").groupBy("strategy", "u", "v").agg(F.max("until").alias("until"))
-    now = own.select("strategy", F.lit(0).alias("lo"), F.lit(steps).alias("hi"), "until", "u", F.lit(1).cast("long").alias("su"), "v", F.lit(1).cast("long").alias("sv"))
+    now = _once(held.withColumns({"lo": F.lit(0), "hi": F.lit(steps)})).withColumn("mid", F.lit(steps))
     found = []
     while True:
-        now = written(now.withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")), "halves")
+        now = written(now, "halves")
         if now.isEmpty():
             break
         upper = now.where("until >= mid")
@@ -174,8 +195,9 @@ def largest_components(held: DataFrame, steps: int) -> DataFrame:
             here = to.select("strategy", "mid", F.col("at").alias(c), F.col("to").alias(f"to_{c}"), F.col("size").alias(f"size_{c}"))
             lower = lower.join(here, ["strategy", "mid", c], "left").withColumns({c: F.coalesce(f"to_{c}", c), f"s{c}": F.coalesce(f"size_{c}", f"s{c}")})
         columns = ("strategy", "lo", "hi", "until", "u", "su", "v", "sv")
-        low = lower.withColumn("hi", F.col("mid") - 1).where("u <> v").select(*columns)
-        now = upper.where("until > mid").withColumn("lo", F.col("mid") + 1).select(*columns).unionByName(low)
+        low = _once(lower.withColumn("hi", F.col("mid") - 1))
+        now = upper.where("until > mid").withColumn("lo", F.col("mid") + 1).select(*columns).unionByName(low.select(*columns))
+        now = now.withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int"))
     return reduce(DataFrame.unionByName, found) if found else held.select("strategy", F.col("until").alias("step"), F.lit(1).cast("long").alias("largest")).where("false")
 
 
