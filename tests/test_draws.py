@@ -102,3 +102,12 @@ def test_few_nodes_are_sorted(spark, monkeypatch):
     assert ier.null_statistics(sets, inter, quartiles, repeats=5).count() == 5
     assert 0 < kept["null-parts"].where("key is not null").count() < 5 * 20_000 / 20
     assert kept["missed"].isEmpty()
+
+
+def test_inter_degrees_in_columns(spark):
+    """Edges aren't multiplied by the taus."""
+    edges = written(spark.createDataFrame([(0, 1), (0, 2), (1, 2), (2, 3)], "u long, v long"), "t")
+    members = written(spark.createDataFrame([(0, 1), (1, 1), (1, 2), (2, 3), (4, 1)], "node long, comm int"), "t")
+    got = ier.inter_degrees(edges, members, edges.selectExpr("explode(array(u, v)) as node").distinct(), (0.0, 0.6))
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == [(0.0, 0, 1), (0.0, 1, 1), (0.0, 2, 2), (0.0, 3, 0), (0.6, 0, 2), (0.6, 1, 2), (0.6, 2, 2), (0.6, 3, 0)]
